@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.constants import SPACE
-from rankloom.functions.urls import is_valid_url, sorted_params
+from rankloom.functions.constants import SPACE, TRACKING_PARAMS
 from rankloom.plans.durable import cut
 
 #: Bits of the filter for each record, and the bounds of the whole filter (2**29 bits are 64 MB).
@@ -30,37 +29,42 @@ HOT_COPIES = 1_000_000
 _FILTERS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 
 
-def canonical_url(url: Column) -> Column:
-    """Address without letter case, outer blanks, scheme, ``www.``, closing slash, fragment, tracking parameters and parameter order.
-
-    Null for an address that is null or not http or https.
-    """
-    u = F.lower(F.regexp_replace(url, rf"^{SPACE}+|{SPACE}+$", ""))
-    u = F.regexp_replace(u, r"#.*$", "")
-    u = F.regexp_replace(u, r"^https?://(www\.)?", "")
-    way = F.regexp_replace(F.regexp_extract(u, r"^([^?]*)", 1), "/$", "")
-    return F.when(is_valid_url(url), F.concat_ws("?", way, sorted_params(F.regexp_extract(u, r"\?(.*)$", 1))))
+#: White space and controls around an address.
+_OUTER = "".join(map(chr, [*range(0x21), 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+_VALID = r"^https?://(?:[^/?#@\s]*@)?[^/?#:\s]"
 
 
-def canonical_title(title: Column) -> Column:
-    """Title without letter case, white space, invisible characters and punctuation, its parts in order.
+def with_keys(df: DataFrame) -> DataFrame:
+    """``df`` with ``url_key`` and ``title_key``, made of its ``url`` and ``title``.
 
-    Parts are what a bar, middle dot or dash between blanks divides. A title of nothing but punctuation
-    stays as it is; null for a null or blank title.
+    The key of an address has no letter case, outer blanks, scheme, ``www.``, closing slash, fragment,
+    tracking parameters or parameter order; it is null for an address that is null or not http or https.
+    The key of a title has no letter case, white space, invisible characters or punctuation, and the parts
+    that a bar, middle dot or dash between blanks divides are in order; a title of nothing but punctuation
+    stays as it is, and a null or blank one has a null key. Each step is a projection of its own, so that
+    no expression is evaluated twice.
     """
-    t = F.lower(F.regexp_replace(title, r"[\p{Cf}\p{Cc}&&[^\t\n\r]]|[︀-️͏ᅟᅠㅤ]", ""))
-    parts = F.split(t, rf"{SPACE}+[|｜·•\-‐‑‒–—―]+{SPACE}+")
-    plain = F.transform(parts, lambda p: F.regexp_replace(p, rf"[\p{{P}}|`~^｜]|{SPACE}", ""))
-    joined = F.array_join(F.array_sort(plain), "")
-    bare = F.regexp_replace(t, SPACE, "")
-    return F.when(F.coalesce(bare, F.lit("")) != "", F.when(joined == "", bare).otherwise(joined))
+    u, t = F.col("_u"), F.col("_t")
+    gone = F.array(*[F.lit(x) for x in TRACKING_PARAMS])
+    d = df.withColumn("_u", F.lower(F.btrim("url", F.lit(_OUTER)))).withColumn("_t", F.regexp_replace(F.lower("title"), r"[\p{Cf}\p{Cc}&&[^\t\n\r]]|[\ufe00-\ufe0f\u034f\u115f\u1160\u3164]", ""))
+    d = d.withColumn("_u", F.when(u.rlike(_VALID), F.substring_index(F.regexp_replace(u, r"^https?://(?:www\.)?", ""), "#", 1)))
+    d = d.withColumn("_way", F.substring_index(u, "?", 1)).withColumn("_query", F.when(F.contains(u, F.lit("?")), F.substring(u, F.length(F.col("_way")) + 2, F.length(u))))
+    kept = F.filter(F.split("_query", "&"), lambda p: (p != "") & ~F.array_contains(gone, F.substring_index(p, "=", 1)))
+    pairs = F.array_join(F.array_sort(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))), "&")
+    way = F.when(F.endswith("_way", F.lit("/")), F.substring(F.col("_way"), F.lit(1), F.length("_way") - 1)).otherwise(F.col("_way"))
+    d = d.withColumn("url_key", F.concat(way, F.lit("?"), F.when(F.col("_query").isNull(), "").otherwise(pairs)))
+    marks, bar = rf"[\p{{P}}|`~^｜]|{SPACE}", rf"{SPACE}+[|｜·•\-‐‑‒–—―]+{SPACE}+"
+    several = F.array_join(F.array_sort(F.transform(F.split(t, bar), lambda p: F.regexp_replace(p, marks, ""))), "")
+    d = d.withColumn("_joined", F.when(t.rlike(bar), several).otherwise(F.regexp_replace(t, marks, "")))
+    d = d.withColumn("title_key", F.when(F.col("_joined") != "", F.col("_joined")).otherwise(F.nullif(F.regexp_replace(t, SPACE, ""), F.lit(""))))
+    return d.drop("_u", "_t", "_way", "_query", "_joined")
 
 
 def keyed(results: DataFrame) -> DataFrame:
-    """Records that can have copies, with ``url_key``, ``title_key`` and the canonical hash ``h``."""
-    k = results.select("result_id", "query_id", canonical_url(F.col("url")).alias("url_key"), canonical_title(F.col("title")).alias("title_key"))
-    k = k.where(F.col("query_id").isNotNull() & F.col("url_key").isNotNull() & F.col("title_key").isNotNull())
-    return k.withColumn("h", F.xxhash64("query_id", "url_key", "title_key"))
+    """``result_id``, ``query_id``, both keys and the canonical hash ``h``, null for records without copies; written to the shared folder."""
+    k = with_keys(results.select("result_id", "query_id", "url", "title")).drop("url", "title")
+    whole = F.col("query_id").isNotNull() & F.col("url_key").isNotNull() & F.col("title_key").isNotNull()
+    return cut(k.withColumn("h", F.when(whole, F.xxhash64("query_id", "url_key", "title_key"))))
 
 
 def _places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -141,12 +145,14 @@ def _maybe_repeated(spark: SparkSession, bits: int, bitmap: np.ndarray):
 
 
 def split_by_filter(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(possible repeats, written to the shared folder; certain singletons)."""
+    """(possible repeats with their keys; certain singletons)."""
     k = keyed(results)
-    bits, bitmap = repeat_filter(k.select("h"), results.count())
-    probe = _maybe_repeated(results.sparkSession, bits, bitmap)
-    probed = k.withColumn("maybe", probe("h"))
-    return cut(probed.where("maybe").drop("maybe", "h")), probed.where("not maybe").drop("maybe", "h")
+    whole = k.where("h is not null")
+    bits, bitmap = repeat_filter(whole.select("h"), k.count())
+    probed = whole.withColumn("maybe", _maybe_repeated(results.sparkSession, bits, bitmap)("h"))
+    columns = ["result_id", "query_id", "url_key", "title_key"]
+    maybe = cut(probed.where("maybe").select(*columns))
+    return maybe, probed.where("not maybe").select("result_id", "query_id").unionByName(k.where("h is null").select("result_id", "query_id"))
 
 
 def collapsed(results: DataFrame) -> DataFrame:
@@ -158,9 +164,7 @@ def collapsed(results: DataFrame) -> DataFrame:
     """
     maybe, single = split_by_filter(results)
     groups = maybe.groupBy("query_id", "url_key", "title_key").agg(F.min("result_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).select("first_id", "query_id", "copies")
-    ok = F.col("query_id").isNotNull() & canonical_url(F.col("url")).isNotNull() & canonical_title(F.col("title")).isNotNull()
-    others = results.where(~ok).select(F.col("result_id").alias("first_id"), "query_id", F.lit(1).cast("bigint").alias("copies"))
-    return groups.unionByName(single.select(F.col("result_id").alias("first_id"), "query_id", F.lit(1).cast("bigint").alias("copies"))).unionByName(others)
+    return groups.unionByName(single.select(F.col("result_id").alias("first_id"), "query_id", F.lit(1).cast("bigint").alias("copies")))
 
 
 def copies(results: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.p2_format_duplicates import canonical_url
 
 #: Lengths of the contexts in characters, and slots of the hashed table of each.
 ORDERS = (2, 4, 6, 9, 13, 18, 24)
@@ -151,7 +150,7 @@ def _log_odds(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float]):
 def scored(results: DataFrame) -> DataFrame:
     """``result_id``, ``source``, ``language``, ``marked``, ``log_odds``, ``cut`` of each snippet that isn't null or blank."""
     kept = results.where(F.coalesce(F.regexp_replace("snippet", r"[\s 　]", ""), F.lit("")) != "")
-    texts = kept.select(normal(F.col("snippet")).alias("text"), F.xxhash64(F.coalesce(canonical_url(F.col("url")), F.col("url"))).alias("address"))
+    texts = kept.select(normal(F.col("snippet")).alias("text"), F.xxhash64(F.lower(F.substring_index(F.substring_index("url", "#", 1), "://", -1))).alias("address"))
     score = _log_odds(results.sparkSession, train(texts))
     t = kept.select("result_id", "source", F.col("snippet").rlike(MARKS).alias("marked"), language(F.col("snippet")).alias("language"), F.substring(normal(F.col("snippet")), -40, 40).alias("tail"))
     t = t.withColumn("closed", F.col("tail").rlike(CLOSED) & ~F.col("marked")).withColumn("log_odds", score("tail")).drop("tail")
