@@ -10,6 +10,7 @@ some text ends with, so the model is bounded whatever the size of the corpus.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.plans.durable import cut
+
 
 #: Lengths of the contexts in characters, and slots of the hashed table of each.
 ORDERS = (2, 4, 6, 9, 13, 18, 24)
@@ -124,35 +127,46 @@ def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return ends, on, float(np.log(rate / max(1e-9, 1 - rate)))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in steps of an eighth of a doubling, compressed: a byte for each slot at most."""
+    return zlib.compress(np.round(8 * np.log2(1 + counts)).astype(np.uint8).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    counts = np.exp2(np.arange(256, dtype=np.float32) / 8) - 1
+    return counts[np.frombuffer(zlib.decompress(data), np.uint8)].reshape(len(ORDERS), -1)
+
+
 def _log_odds(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float]):
     ends, on, base = model
-    shared = spark.sparkContext.broadcast((ends.astype(np.float32), on.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((_packed(ends), _packed(on)))
 
-    @F.pandas_udf("double")
-    def score(tail):  # noqa: ANN001, ANN202
+    def run(tails: Iterator) -> Iterator:
         import pandas as pd
 
-        e_all, c_all = (x.reshape(len(ORDERS), -1) for x in shared.value)
-        texts = tail.tolist()
-        codes = _codes(texts)
-        last = np.flatnonzero(codes == 0)[1:] - 1
-        rate = np.full(len(texts), 1 / (1 + np.exp(-base)))
-        for k, inside, slots in _contexts(codes, last):
-            e, c = np.maximum(e_all[k][slots] - 1, 0), c_all[k][slots]
-            better = (e + BACKOFF * rate) / (e + c + BACKOFF)
-            rate = np.where(inside, better, rate)
-        rate = np.clip(rate, 1e-7, 1 - 1e-7)
-        return pd.Series(np.log(rate / (1 - rate)) - base)
+        e_all, c_all = map(_unpacked, shared.value)
+        for tail in tails:
+            texts = tail.tolist()
+            codes = _codes(texts)
+            last = np.flatnonzero(codes == 0)[1:] - 1
+            rate = np.full(len(texts), 1 / (1 + np.exp(-base)))
+            for k, inside, slots in _contexts(codes, last):
+                e, c = np.maximum(e_all[k][slots] - 1, 0), c_all[k][slots]
+                better = (e + BACKOFF * rate) / (e + c + BACKOFF)
+                rate = np.where(inside, better, rate)
+            rate = np.clip(rate, 1e-7, 1 - 1e-7)
+            yield pd.Series(np.log(rate / (1 - rate)) - base)
 
-    return score
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
 
 
 def scored(results: DataFrame) -> DataFrame:
     """``result_id``, ``source``, ``language``, ``marked``, ``log_odds``, ``cut`` of each snippet that isn't null or blank."""
-    kept = results.where(F.coalesce(F.regexp_replace("snippet", r"[\s 　]", ""), F.lit("")) != "")
-    texts = kept.select(normal(F.col("snippet")).alias("text"), F.xxhash64(F.lower(F.substring_index(F.substring_index("url", "#", 1), "://", -1))).alias("address"))
+    raw = results.select("result_id", "source", "snippet", F.xxhash64(F.lower(F.substring_index(F.substring_index("url", "#", 1), "://", -1))).alias("address"))
+    # normal text is made once and kept for the passes of the model
+    texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
     score = _log_odds(results.sparkSession, train(texts))
-    t = kept.select("result_id", "source", F.col("snippet").rlike(MARKS).alias("marked"), language(F.col("snippet")).alias("language"), F.substring(normal(F.col("snippet")), -40, 40).alias("tail"))
+    t = texts.select("result_id", "source", "marked", language(F.col("text")).alias("language"), F.substring("text", -40, 40).alias("tail"))
     t = t.withColumn("closed", F.col("tail").rlike(CLOSED) & ~F.col("marked")).withColumn("log_odds", score("tail")).drop("tail")
     bound = F.lit(None).cast("double")
     for (lang, _), x in THRESHOLDS.items():
