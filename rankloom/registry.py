@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    return []
+    import importlib
+
+    return [importlib.import_module(f"rankloom.catalog.{m}") for m in ("ranking", "evaluation", "pages", "state")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
