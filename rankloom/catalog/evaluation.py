@@ -47,7 +47,7 @@ agg_{source} AS (
   FROM flags_{source} GROUP BY ALL),
 metrics_{source} AS (
   SELECT * EXCLUDE (dcg, found), least(n, 5) AS shown, found::DOUBLE / greatest(1, least(n, 5)) AS p5,
-         CASE WHEN found > 0 THEN dcg / list_sum(list_transform(range(1, found + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) ELSE 0.0 END AS ndcg5 FROM agg_{source})"""
+         CASE WHEN found > 0 THEN dcg / list_sum(list_transform(range(1, (found + 1)::BIGINT), lambda i: 1.0::DOUBLE / log2(i + 1))) ELSE 0.0 END AS ndcg5 FROM agg_{source})"""
 
 
 _SUMMARY = """coalesce(lang, '(none)') AS lang"""

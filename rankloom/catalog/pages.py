@@ -1,2 +1,118 @@
+"""Queries over fetched pages: charset, text, headings, markdown, envelopes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions import urls as U
+from rankloom.functions.text import squeeze
+from rankloom.operators import extract as X
+from rankloom.plans import pools as L
+from rankloom.plans import sql as S
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _squeezed(t: str) -> str:
+    t = f"regexp_replace({t}, '[ \\t\\x{{00a0}}\\x{{3000}}]+', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({t}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9))"
+
+
+@query(f"SELECT extract_id, {_squeezed('plain')} AS text FROM extractions WHERE plain IS NOT NULL")
+def squeezed_text(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "extractions").where("plain is not null").select("extract_id", X.squeezed(F.col("plain")).alias("text"))
+
+
+@query("""
+SELECT extract_id, coalesce(nullif(lower(regexp_extract(charset, '([A-Za-z0-9_-]+)', 1)), ''), nullif(lower(regexp_extract(substr(html, 1, 4096), '(?i)<meta[^>]+charset=["'']?([A-Za-z0-9_-]+)', 1)), ''), 'utf-8') AS charset FROM extractions""")
+def charset_sniff(spark: SparkSession, d: str) -> DataFrame:
+    """Declared charset, else the one of a meta tag in the first 4 KB, else utf-8."""
+    return L.table(spark, d, "extractions").select("extract_id", X.charset(F.col("charset"), F.col("html")).alias("charset"))
+
+
+_HEAD = "regexp_replace(regexp_replace(regexp_replace({}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '^#+\\s*', ''), '\\s+', ' ', 'g')"
+_PIECES = "list_filter(list_transform(regexp_split_to_array({}, '\\s*[|｜·_–—]\\s*|\\s+-\\s+'), lambda p: lower(trim(p))), lambda p: p <> '')"
+
+
+@query(f"""
+SELECT extract_id, coalesce(list_reduce({_PIECES.format(_HEAD.format("coalesce(title, '')"))}, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END, ''), '') AS heading FROM extractions""")
+def heading_norm(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "extractions").select("extract_id", X.normal_heading(F.coalesce("title", F.lit(""))).alias("heading"))
+
+
+@query(f"""
+WITH t AS (SELECT extract_id, title, url, {_squeezed('plain')} AS text FROM extractions WHERE plain IS NOT NULL)
+SELECT extract_id, '# ' || coalesce(title, '') || chr(10) || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || chr(10) ||
+       CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || chr(10) || chr(10) || '[...truncated at 800 characters]' ELSE text END AS answer FROM t""")
+def fetch_envelope(spark: SparkSession, d: str) -> DataFrame:
+    t = L.table(spark, d, "extractions").where("plain is not null").withColumn("text", X.squeezed(F.col("plain")))
+    return t.select("extract_id", X.envelope(F.col("title"), F.col("url"), X.truncated(F.col("text"), 800)).alias("answer"))
+
+
+_TAGS = "|".join(sorted(X.BLOCK_TAGS))
+_ENT = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@query(f"""
+SELECT extract_id, {_squeezed(_ENT.format(f"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)</?({_TAGS}|br)(\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"))} AS text FROM extractions WHERE html IS NOT NULL""")
+def plain_text_basic(spark: SparkSession, d: str) -> DataFrame:
+    """Text of the html by patterns alone, without a parser."""
+    return L.table(spark, d, "extractions").where("html is not null").select("extract_id", X.text_by_patterns(F.col("html")).alias("text"))
+
+
+@query("""
+SELECT via, count(*) AS pages, count_if(length(coalesce(plain, '')) < 80) AS short, round(avg(length(plain)), 4) AS mean_chars FROM extractions GROUP BY via""")
+def extraction_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = L.table(spark, d, "extractions")
+    return e.groupBy("via").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length(F.coalesce("plain", F.lit(""))) < 80).alias("short"), F.round(F.avg(F.length("plain")), 4).alias("mean_chars"))
+
+
+@query("""
+SELECT page_id, max(fetched_at) AS fetched_at, arg_max(extract_id, {'a': fetched_at, 'b': extract_id}) AS extract_id, count(*) AS fetches FROM extractions GROUP BY page_id""")
+def latest_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """The latest fetch of each page; equal times go to the larger id."""
+    e = L.table(spark, d, "extractions")
+    return e.groupBy("page_id").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("extract_id", F.struct("fetched_at", "extract_id")).alias("extract_id"), F.count(F.lit(1)).alias("fetches"))
+
+
+@query(f"""
+WITH p AS (SELECT {S.url_key('url')} AS key, arg_max(regexp_replace(coalesce(plain, ''), '\\s+', ' ', 'g'), {{'a': fetched_at, 'b': extract_id}}) AS text FROM extractions WHERE url IS NOT NULL GROUP BY 1),
+s AS (SELECT result_id, snippet, {S.url_key('url')} AS key FROM search_results)
+SELECT result_id, CASE WHEN length(coalesce(snippet, '')) < 60 AND length(substr(text, 1, 300)) >= 60 THEN substr(text, 1, 300) ELSE snippet END AS snippet FROM s LEFT JOIN p USING (key)""")
+def enriched_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets under 60 characters replaced by the start of the page's text where it was fetched."""
+    e = L.table(spark, d, "extractions").where("url is not null")
+    p = e.groupBy(U.url_key(F.col("url")).alias("key")).agg(F.max_by(F.regexp_replace(F.coalesce("plain", F.lit("")), r"\s+", " "), F.struct("fetched_at", "extract_id")).alias("text"))
+    s = L.table(spark, d, "search_results").select("result_id", "snippet", U.url_key(F.col("url")).alias("key"))
+    start = F.substring("text", 1, 300)
+    new = F.when((F.length(F.coalesce("snippet", F.lit(""))) < 60) & (F.length(start) >= 60), start).otherwise(F.col("snippet"))
+    return s.join(p, "key", "left").select("result_id", new.alias("snippet"))
+
+
+@query()
+def page_content(spark: SparkSession, d: str) -> DataFrame:
+    """Title, text, markdown and the way taken of each page, by the parser (tested on small pages)."""
+    return X.extracted(L.table(spark, d, "extractions"))
+
+
+@query("""
+SELECT extract_id, len(regexp_extract_all(html, '(?i)<a\\s')) AS links, len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '(?i)<li[ >]')) AS items,
+       len(regexp_extract_all(html, '(?i)<tr[ >]')) AS table_rows, len(regexp_extract_all(html, '(?i)<pre[ >]')) AS code_blocks FROM extractions WHERE html IS NOT NULL""")
+def structure_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(f"(?i)({p})"), F.lit(1))).cast("bigint")
+    return L.table(spark, d, "extractions").where("html is not null").select("extract_id", n(r"<a\s").alias("links"), n("<h[1-6][ >]").alias("headings"), n("<li[ >]").alias("items"), n("<tr[ >]").alias("table_rows"), n("<pre[ >]").alias("code_blocks"))
+
+
+__all__ = ["QUERIES", "SQL", "squeeze"]

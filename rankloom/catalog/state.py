@@ -1,2 +1,149 @@
+"""Queries over state and dimensions: caches, negative caches, breakers, official hosts, host lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rankloom.functions import urls as U
+from rankloom.operators import official as O
+from rankloom.plans import pools as L
+from rankloom.plans import sql as S
+from rankloom.sources import engines as N
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""
+WITH c AS (SELECT * FROM result_cache QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY created_at DESC, engine NULLS LAST, results NULLS LAST) = 1)
+SELECT query_hash, coalesce(engine, '(none)') AS engine, created_at, CASE WHEN results IS NOT NULL THEN json_valid(results) AND coalesce(json_type(try_cast(results AS JSON)) = 'ARRAY', false) END AS ok, CASE WHEN json_valid(results) AND json_type(try_cast(results AS JSON)) = 'ARRAY' THEN json_array_length(results)::INT END AS n FROM c WHERE query_hash IS NOT NULL""")
+def cache_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The last write of each key wins; broken and null bodies are kept as misses."""
+    c = L.table(spark, d, "result_cache").where("query_hash is not null")
+    w = Window.partitionBy("query_hash").orderBy(F.col("created_at").desc(), F.col("engine").asc_nulls_last(), F.col("results").asc_nulls_last())
+    last = c.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    n = F.json_array_length("results")
+    return last.select("query_hash", F.coalesce("engine", F.lit("(none)")).alias("engine"), "created_at", F.when(F.col("results").isNull(), F.lit(None).cast("boolean")).otherwise(n.isNotNull()).alias("ok"), n.alias("n"))
+
+
+@query("""
+SELECT query_hash, created_at, (i - 1)::INT AS pos, json_extract_string(results, '$[' || (i - 1) || '].title') AS title, json_extract_string(results, '$[' || (i - 1) || '].url') AS url, json_extract_string(results, '$[' || (i - 1) || '].source') AS source
+FROM (SELECT query_hash, created_at, results, unnest(range(1, json_array_length(results)::BIGINT + 1)) AS i FROM result_cache WHERE json_valid(results))""")
+def cache_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows inside cached answers; broken and null bodies have none."""
+    c = L.table(spark, d, "result_cache").where(F.json_array_length("results").isNotNull())
+    rows = F.from_json("results", "array<struct<title:string,url:string,source:string>>")
+    return c.select("query_hash", "created_at", F.posexplode(rows).alias("pos", "r")).select("query_hash", "created_at", "pos", "r.title", "r.url", "r.source")
+
+
+#: Lifetime of a disk entry.
+DISK_TTL = "INTERVAL 360 MINUTES"
+
+
+@query(f"""
+WITH {S.QUERIES_CLEAN}, h AS (SELECT query_id, sha1(q) AS query_hash FROM queries_clean), a AS (SELECT DISTINCT query_id, captured_at FROM search_results WHERE query_id IS NOT NULL AND captured_at IS NOT NULL AND pos = 1),
+w AS (SELECT query_hash, created_at AS ts, NULL::BIGINT AS query_id, created_at AS written FROM result_cache WHERE json_valid(results) AND json_type(try_cast(results AS JSON)) = 'ARRAY' AND query_hash IS NOT NULL UNION ALL SELECT query_hash, captured_at, a.query_id, NULL FROM a JOIN h USING (query_id)),
+l AS (SELECT *, last_value(written IGNORE NULLS) OVER (PARTITION BY query_hash ORDER BY ts, query_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM w)
+SELECT query_id, ts AS asked_at, coalesce(seen > ts - {DISK_TTL}, false) AS hit FROM l WHERE query_id IS NOT NULL""")
+def cache_lookup_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """For each first-place capture: would the cache have answered, written at most DISK_TTL before?
+
+    An as-of look-back as a window over the union of writes and questions. A query that is asked again and
+    again is split by day with the writes of the day before, so that no key gathers all of its history.
+    """
+    h = L.queries_clean(spark, d).select("query_id", F.sha1("q").alias("query_hash"))
+    asked = L.table(spark, d, "search_results").where("query_id is not null and captured_at is not null and pos = 1").select("query_id", "captured_at").distinct().join(h, "query_id")
+    asked = asked.select("query_hash", F.col("captured_at").alias("ts"), "query_id", F.lit(None).cast("timestamp").alias("written"), F.to_date("captured_at").alias("day"))
+    writes = L.table(spark, d, "result_cache").where(F.json_array_length("results").isNotNull() & F.col("query_hash").isNotNull())
+    days = F.array(F.to_date("created_at"), F.date_add(F.to_date("created_at"), 1))
+    writes = writes.select("query_hash", F.col("created_at").alias("ts"), F.lit(None).cast("bigint").alias("query_id"), F.col("created_at").alias("written"), F.explode(days).alias("day"))
+    w = Window.partitionBy("query_hash", "day").orderBy(F.col("ts"), F.col("query_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = asked.unionByName(writes).withColumn("seen", F.last("written", ignorenulls=True).over(w)).where("query_id is not null")
+    return seen.select("query_id", F.col("ts").alias("asked_at"), F.coalesce(F.col("seen") > F.col("ts") - F.expr(DISK_TTL), F.lit(False)).alias("hit"))
+
+
+@query("""
+WITH l AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM events)
+SELECT event_id, coalesce(failed > ts - INTERVAL 5 MINUTES, false) AS refused FROM l""")
+def negative_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a key within five minutes of its last failure (the key's history is split by hour with the hour before)."""
+    e = L.table(spark, d, "events")
+    hour = F.date_trunc("hour", "ts")
+    each = e.select("event_id", "user_id", "ts", "event_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("hour", hour + F.make_dt_interval(hours=F.col("later")))
+    # the copy in the next hour only serves as history
+    w = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    l = each.withColumn("failed", F.last(F.when(F.col("event_type") == "error", F.col("ts")), ignorenulls=True).over(w)).where("later = 0")  # noqa: E741
+    return l.select("event_id", F.coalesce(F.col("failed") > F.col("ts") - F.expr("INTERVAL 5 MINUTES"), F.lit(False)).alias("refused"))
+
+
+@query("""
+SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
+def engine_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows of engine events (an extension: the streaming form is in ``rankloom.streaming``)."""
+    e = L.table(spark, d, "events")
+    return e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("""
+WITH e AS (SELECT * FROM events),
+o AS (SELECT event_id, ts FROM events WHERE event_type = 'error')
+SELECT event_id, EXISTS (SELECT 1 FROM o WHERE o.ts < e.ts AND o.ts > e.ts - INTERVAL 5 MINUTES) AS open FROM e""")
+def breaker(spark: SparkSession, d: str) -> DataFrame:
+    """The engine-wide breaker: open while any failure lies less than five minutes back.
+
+    Failures mark the five-minute slots they can reach into (their own and the next); events meet the
+    failures of their slot only through the slot's pre-aggregated distinct failure times.
+    """
+    e = L.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    slot = F.floor(F.unix_micros("ts") / 300_000_000)
+    failures = e.where("event_type = 'error'").select("ts", slot.alias("slot"))
+    # within its own slot an event needs the first failure, in the next slot the last one
+    first, last = failures.groupBy("slot").agg(F.min("ts").alias("first")), failures.groupBy((F.col("slot") + 1).alias("slot")).agg(F.max("ts").alias("last"))
+    s = e.withColumn("slot", slot).join(first, "slot", "left").join(last, "slot", "left")
+    opened = F.coalesce(F.col("first") < F.col("ts"), F.lit(False)) | F.coalesce(F.col("last") > F.col("ts") - F.expr("INTERVAL 5 MINUTES"), F.lit(False))
+    return s.select("event_id", opened.alias("open"))
+
+
+@query(f"""
+WITH u AS (SELECT DISTINCT {S.host('url')} AS host FROM search_results), l AS (SELECT host, CASE WHEN host LIKE '%.test' THEN 'hosts' ELSE 'abp' END AS list FROM u WHERE regexp_full_match(host, '[a-z0-9.-]+\\.[a-z0-9-]+')),
+n AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY host) AS rn FROM l)
+SELECT list, host AS rule FROM n WHERE rn <= CASE list WHEN 'hosts' THEN 1000 ELSE 1500 END""")
+def blocklist_etl(spark: SparkSession, d: str) -> DataFrame:
+    """Two host lists as text in their formats, parsed back, with each list's limit, repeats dropped, sorted (the limits are the feature)."""
+    hosts = L.table(spark, d, "search_results").select(U.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    lines = hosts.select(F.when(F.col("host").endswith(".test"), F.concat(F.lit("0.0.0.0 "), "host")).otherwise(F.concat(F.lit("||"), "host", F.lit("^"))).alias("value"))
+    return N.parse_blocklists(lines)
+
+
+@query(f"""
+WITH {S.QUERIES_CLEAN}, r AS (SELECT regexp_replace(lower(trim(rule)), '^\\*?\\.', '') AS dom, min(ord) AS ord FROM domain_rules WHERE action = 'authority' GROUP BY 1),
+stems AS (SELECT query_id, unnest(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(lower(q), '[a-z][a-z0-9+#]*'), lambda w: length(w) >= 3), lambda w: regexp_replace(regexp_replace(w, '[0-9]+$', ''), '[.+#-]', '', 'g')), lambda s: length(s) >= 3))) AS stem FROM queries_clean),
+labels AS (SELECT dom, ord, string_split(dom, '.') AS parts, unnest(string_split(dom, '.')) AS label FROM r),
+m AS (
+  SELECT query_id, dom, ord, label, CASE WHEN NOT list_contains([{S.quoted(O.LABEL_STOP)}], parts[1]) AND len(parts) >= 3 AND stem = parts[1] THEN 5 WHEN stem = label THEN 4
+         WHEN length(stem) >= 4 AND starts_with(label, stem) THEN 3 WHEN length(label) >= 4 AND starts_with(stem, label) THEN 3 WHEN length(stem) >= 4 AND contains(label, stem) THEN 2
+         WHEN substr(stem, 1, 3) = substr(label, 1, 3) AND levenshtein(stem, label) <= 2 THEN 1 ELSE 0 END AS score
+  FROM stems, labels WHERE length(label) >= 3 AND NOT list_contains([{S.quoted(O.LABEL_STOP)}], label))
+SELECT query_id, arg_min(dom, {{'s': -score, 'l': CASE WHEN score = 5 THEN 0 ELSE length(label) END, 'o': ord}}) AS domain, max(score) AS score FROM m WHERE score > 0 GROUP BY query_id""")
+def official_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The documentation host that a query's product words spell, of the authority hosts in the rule table."""
+    return O.inferred(L.queries_clean(spark, d), L.table(spark, d, "domain_rules"))
+
+
+@query(f"""
+SELECT result_id, title, url, substr(snippet, 1, CASE source WHEN 'tavily' THEN 800 ELSE 500 END) AS snippet, source FROM search_results WHERE list_contains(['tavily', 'bocha', 'zhipu'], source) AND {S.valid('url')} AND title IS NOT NULL""")
+def api_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of search interfaces written as each provider's JSON and parsed back by its parser."""
+    r = L.table(spark, d, "search_results").where(F.col("source").isin("tavily", "bocha", "zhipu") & F.col("url").isNotNull() & F.col("title").isNotNull())
+    return N.parsed(N.as_responses(r)).select(F.col("ref").alias("result_id"), "title", "url", "snippet", "source")
