@@ -38,8 +38,8 @@ _CONTENT_NAME = re.compile(r"(?:^|[-_\s])(?:content|article|post|entry|body|text
 #: Spread of the Gaussian in lines, for ratios and for the final scores of pages without markup.
 SIGMA, SIGMA_PLAIN = 0.9, 0.8
 TOKEN_BITS, LINE_BITS = 18, 21
-#: Evidence from which on a region counts as clear.
-SURE = 1.0
+#: Evidence from which on a region counts as clear, and as fair; fair ones teach where clear ones of a kind are too few a share.
+SURE, FAIR, FEW = 1.0, 0.3, 0.2
 #: Weight of the words' evidence against counts of the whole line, and of a region's and a name's evidence.
 WORDS_WEIGHT, REGION_WEIGHT, NAME_WEIGHT, LINK_WEIGHT, TITLE_WEIGHT = 3.0, 0.6, 3.0, 3.0, 6.0
 
@@ -261,23 +261,26 @@ def is_title(text: str, title: str, bare: str) -> bool:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = (1 << TOKEN_BITS) + (1 << LINE_BITS)
-    table = np.zeros((2, size), np.float32)  # furniture, content
+    table = np.zeros((4, size), np.float32)  # clear furniture, clear content, fair furniture, fair content
     for batch in batches:
-        slots: tuple[list[int], list[int]] = ([], [])
+        slots: tuple[list[int], ...] = ([], [], [], [])
         for title, lines, block, weak in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             bare = _EDGE.sub("", (title or "").lower())
             for text, score in zip(lines, _pooled(block, weak), strict=True):
                 # only clear regions teach, and a page's title says nothing about titles in lists of other pages
-                if abs(score) < SURE or bare and is_title(text, title, bare):
+                if abs(score) < FAIR or bare and is_title(text, title, bare):
                     continue
                 line, words = features(text)
-                to = slots[score > 0]
+                to = slots[(score > 0) + 2 * (abs(score) < SURE)]
                 to.append(line + (1 << TOKEN_BITS))
                 to.extend(words)
-        for k in (0, 1):
+        for k in range(4):
             table[k] += np.bincount(np.array(slots[k], np.int64), minlength=size).astype(np.float32)
     at = np.flatnonzero(table.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[0][at]), pa.array(table[1][at])], ["slot", "furniture", "content"])
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(row[at]) for row in table)], ["slot", *_KINDS])
+
+
+_KINDS = ("furniture", "content", "fair_furniture", "fair_content")
 
 
 def _pooled(block: list[int], scores: list[float]) -> list[float]:
@@ -292,12 +295,18 @@ def _pooled(block: list[int], scores: list[float]) -> list[float]:
 
 def train(pages: DataFrame) -> np.ndarray:
     """Counts of each slot outside and inside content regions; the size doesn't depend on the corpus."""
-    counted = pages.select("title", "lines", "block", "weak").mapInArrow(_count, "slot int, furniture float, content float")
-    got = counted.groupBy("slot").agg(F.sum("furniture").cast("float").alias("furniture"), F.sum("content").cast("float").alias("content")).toArrow()
-    table = np.zeros((2, (1 << TOKEN_BITS) + (1 << LINE_BITS)), np.float32)
-    for k, name in enumerate(("furniture", "content")):
+    counted = pages.select("title", "lines", "block", "weak").mapInArrow(_count, "slot int, " + ", ".join(f"{k} float" for k in _KINDS))
+    got = counted.groupBy("slot").agg(*[F.sum(k).cast("float").alias(k) for k in _KINDS]).toArrow()
+    table = np.zeros((4, (1 << TOKEN_BITS) + (1 << LINE_BITS)), np.float32)
+    for k, name in enumerate(_KINDS):
         table[k][got.column("slot").to_numpy()] = got.column(name).to_numpy()
-    return table
+    return settled(table)
+
+
+def settled(table: np.ndarray) -> np.ndarray:
+    """Clear counts, with the fair ones of a kind added if its clear lines are less than a share of FEW of the other kind's."""
+    lines = table[:2, 1 << TOKEN_BITS :].sum(axis=1)
+    return np.stack([table[k] + (table[k + 2] if lines[k] < FEW * lines[1 - k] else 0) for k in (0, 1)])
 
 
 class Wording:

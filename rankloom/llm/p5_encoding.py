@@ -59,6 +59,7 @@ class Legacy:
         return bytes(self.byte[c] for c in span)
 
 
+_C1 = re.compile("[\x80-\x9f]")
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
 
 
@@ -80,6 +81,8 @@ def _is_han(c: str) -> bool:
 def plausible(text: str) -> bool:
     """True if the decoded text holds only letters and signs that people write, in the amount they write them."""
     other, han, common = 0, 0, 0
+    if _C1.search(text):  # text garbled twice, of which one layer is off: what is left of it must be spans again
+        text = _legacy()["cp1252"].utf8.sub("", text)
     for c in text:
         o = ord(c)
         if o < 0x80 and c.isprintable():
@@ -196,7 +199,6 @@ def _double(line: str) -> tuple[str, int]:
     return new, covered
 
 
-_C1 = re.compile("[\x80-\x9f]")
 def _from_c1(m: re.Match) -> str:
     return bytes([ord(m[0])]).decode("cp1252", "ignore") or m[0]
 
