@@ -12,6 +12,7 @@ from rankloom.operators import evaluate as E
 from rankloom.operators import rank as R
 from rankloom.plans import pools as L
 from rankloom.plans import sql as S
+from rankloom.plans.skew import salted_join
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -167,7 +168,7 @@ SELECT strategy, count(*) AS rows, count(DISTINCT pool) AS pools FROM (
     CASE WHEN NOT api OR api_n <= 5 THEN 'max5' END, CASE WHEN NOT api OR prod < 8 THEN 'rescue8' END, CASE WHEN NOT api OR prod < 12 THEN 'rescue12' END], lambda x: x IS NOT NULL)) AS strategy FROM w) GROUP BY strategy""")
 def ab_strategies(spark: SparkSession, d: str) -> DataFrame:
     """Rows that each way of taking in rows of search interfaces would rank."""
-    rows = R.with_coverage(L.kept_rows(spark, d).join(L.queries_clean(spark, d).select("query_id", "q"), "query_id"))
+    rows = R.with_coverage(salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "q"), ["query_id"], by="pool"))
     api = F.exists("sources", lambda s: s.isin("tavily", "bocha", "zhipu"))
     pool = Window.partitionBy("pool")
     w = rows.withColumn("api", api).withColumn("prod", F.count_if(~F.col("api")).over(pool)).withColumn("known", F.bool_or(~F.col("api")).over(Window.partitionBy("pool", "domain")))
@@ -182,7 +183,7 @@ def ab_strategies(spark: SparkSession, d: str) -> DataFrame:
 WITH {S.KEPT}, {S.QUERIES_CLEAN}, g AS (SELECT k.pool, {_GOLD.replace('gold,', 'q.gold,')} AS is_gold FROM kept k JOIN queries_clean q USING (query_id))
 SELECT pool, count(*) AS rows, count_if(is_gold) AS gold_rows, bool_or(is_gold) AS gold_in_pool FROM g GROUP BY pool""")
 def pool_diagnosis(spark: SparkSession, d: str) -> DataFrame:
-    rows = L.kept_rows(spark, d).join(L.queries_clean(spark, d).select("query_id", "gold"), "query_id")
+    rows = salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "gold"), ["query_id"], by="pool")
     g = rows.withColumn("is_gold", E.is_gold(F.col("domain"), F.col("gold")))
     return g.groupBy("pool").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_gold").alias("gold_rows"), F.bool_or("is_gold").alias("gold_in_pool"))
 

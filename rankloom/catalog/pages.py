@@ -94,8 +94,8 @@ SELECT result_id, CASE WHEN length(coalesce(snippet, '')) < 60 AND length(substr
 def enriched_snippets(spark: SparkSession, d: str) -> DataFrame:
     """Snippets under 60 characters replaced by the start of the page's text where it was fetched."""
     e = L.table(spark, d, "extractions").where("url is not null")
-    p = e.groupBy(U.url_key(F.col("url")).alias("key")).agg(F.max_by(F.regexp_replace(F.coalesce("plain", F.lit("")), r"\s+", " "), F.struct("fetched_at", "extract_id")).alias("text"))
-    s = L.table(spark, d, "search_results").select("result_id", "snippet", U.url_key(F.col("url")).alias("key"))
+    p = U.with_address(e).groupBy("key").agg(F.max_by(F.regexp_replace(F.coalesce("plain", F.lit("")), r"\s+", " "), F.struct("fetched_at", "extract_id")).alias("text"))
+    s = U.with_address(L.table(spark, d, "search_results").select("result_id", "snippet", "url")).select("result_id", "snippet", "key")
     start = F.substring("text", 1, 300)
     new = F.when((F.length(F.coalesce("snippet", F.lit(""))) < 60) & (F.length(start) >= 60), start).otherwise(F.col("snippet"))
     return s.join(p, "key", "left").select("result_id", new.alias("snippet"))

@@ -12,6 +12,7 @@ from rankloom.operators import pool as P
 from rankloom.operators import rank as R
 from rankloom.plans import pools as L
 from rankloom.plans import sql as S
+from rankloom.plans.skew import salted_join
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,7 +56,7 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT result_id, {S.url_key('url')} AS key FROM search_results")
 def url_key(spark: SparkSession, d: str) -> DataFrame:
-    return L.table(spark, d, "search_results").select("result_id", U.url_key(F.col("url")).alias("key"))
+    return U.with_address(L.table(spark, d, "search_results").select("result_id", "url")).select("result_id", "key")
 
 
 @query(f"""
@@ -106,7 +107,7 @@ def title_merge(spark: SparkSession, d: str) -> DataFrame:
 WITH {S.QUERIES_CLEAN}, c AS (SELECT r.*, q.q, {S.query_terms('q.q')} AS terms FROM search_results r JOIN queries_clean q USING (query_id))
 SELECT result_id, {S.coverage('terms', "coalesce(title, '') || ' ' || coalesce(snippet, '')")} AS coverage FROM c""")
 def term_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = L.table(spark, d, "search_results").join(L.queries_clean(spark, d).select("query_id", "q"), "query_id")
+    rows = salted_join(L.table(spark, d, "search_results").select("result_id", "query_id", "title", "snippet"), L.queries_clean(spark, d).select("query_id", "q"), ["query_id"], by="result_id")
     return R.with_coverage(rows).select("result_id", "coverage")
 
 
@@ -259,7 +260,7 @@ n AS (SELECT *, count_if(NOT api) OVER (PARTITION BY pool) AS production FROM t
 SELECT result_id, pool, api FROM n WHERE NOT api OR production < 12""")
 def rescue_gate(spark: SparkSession, d: str) -> DataFrame:
     """Chinese pools: rows of search interfaces are appended only where the other engines gave fewer than RESCUE_FLOOR rows."""
-    t = L.captured(spark, d).join(L.queries_clean(spark, d).select("query_id", "route"), "query_id").where("route = 'cn'").withColumn("api", _api(F.col("source")))
+    t = salted_join(L.captured(spark, d).select("result_id", "query_id", "pool", "source"), L.queries_clean(spark, d).select("query_id", "route"), ["query_id"], by="result_id").where("route = 'cn'").withColumn("api", _api(F.col("source")))
     n = t.withColumn("production", F.count_if(~F.col("api")).over(Window.partitionBy("pool")))
     return n.where(~F.col("api") | (F.col("production") < RESCUE_FLOOR)).select("result_id", "pool", "api")
 
@@ -276,7 +277,7 @@ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pool ORDER BY tier ROWS BETWE
 SELECT result_id, pool, tier FROM t JOIN b USING (pool, tier) WHERE before < 3""")
 def tiered_fallback(spark: SparkSession, d: str) -> DataFrame:
     """English pools: a tier's rows come in while all tiers before gave fewer than QUALITY_FLOOR rows."""
-    e = L.captured(spark, d).join(L.queries_clean(spark, d).select("query_id", "route"), "query_id").where("route = 'en'")
+    e = salted_join(L.captured(spark, d).select("result_id", "query_id", "pool", "source"), L.queries_clean(spark, d).select("query_id", "route"), ["query_id"], by="result_id").where("route = 'en'")
     first = F.trim(F.get(F.split(F.coalesce("source", F.lit("")), r"\+"), F.lit(0)))
     tier = F.lit(None).cast("int")
     for k, (_, engines) in enumerate(TIERS):
@@ -292,7 +293,7 @@ WITH {_CAPTURED}, {S.QUERIES_CLEAN}, t AS (SELECT c.result_id, c.pool, trim(stri
 SELECT result_id, pool FROM t WHERE spare AND pool NOT IN (SELECT pool FROM t WHERE NOT spare)""")
 def empty_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Chinese pools that no main engine answered: rows of the spare engines."""
-    t = L.captured(spark, d).join(L.queries_clean(spark, d).select("query_id", "route"), "query_id").where("route = 'cn'")
+    t = salted_join(L.captured(spark, d).select("result_id", "query_id", "pool", "source"), L.queries_clean(spark, d).select("query_id", "route"), ["query_id"], by="result_id").where("route = 'cn'")
     spare = F.trim(F.get(F.split(F.coalesce("source", F.lit("")), r"\+"), F.lit(0))).isin("so360", "intlBing", "ddgs")
     t = t.select("result_id", "pool", spare.alias("spare"))
     return t.where("spare").join(t.where("not spare").select("pool").distinct(), "pool", "left_anti").select("result_id", "pool")
@@ -307,7 +308,7 @@ def site_search(spark: SparkSession, d: str) -> DataFrame:
 
     The pages of a hot query are pre-aggregated by address before they are numbered.
     """
-    rows = L.captured(spark, d).where(U.is_valid_url(F.col("url"))).select("query_id", "result_id", "pos", F.explode(U.host_suffixes(U.bare_host(F.col("url")))).alias("site"), U.url_key(F.col("url")).alias("key"))
+    rows = U.with_address(L.captured(spark, d).select("query_id", "result_id", "pos", "url")).where("host <> ''").select("query_id", "result_id", "pos", F.explode(U.host_suffixes(F.col("domain"))).alias("site"), "key")
     sites = L.table(spark, d, "queries").select("query_id", F.explode(F.array_distinct(F.transform("gold", lambda g: F.lower(g)))).alias("site"))
     m = rows.join(sites, ["query_id", "site"]).groupBy("query_id", "site", "key").agg(F.min("pos").alias("pos"), F.min("result_id").alias("result_id"))
     r = m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "site").orderBy("pos", "result_id")))

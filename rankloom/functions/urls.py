@@ -6,7 +6,7 @@ non-ASCII characters and blanks that browsers accept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.constants import TRACKING_PARAMS
@@ -108,3 +108,31 @@ def decode_bing_redirect(url: Column) -> Column:
     raw = F.translate(F.regexp_replace(u, "^a1", ""), "-_", "+/")
     target = F.try_validate_utf8(F.try_to_binary(raw, F.lit("base64")).cast("string"))
     return F.when((u != "") & target.rlike("^https?://"), target).otherwise(url)
+
+
+#: White space and controls that don't count around an address.
+_OUTER = "".join(map(chr, [*range(0x21), 0xA0, 0x3000, 0xFEFF]))
+
+
+def with_address(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with ``host``, ``domain`` (without ``www.``), ``path`` and ``key`` of an address column.
+
+    The same values as ``host``, ``bare_host``, ``path`` and ``url_key`` give, in projections that follow one
+    another, so that the address is cut up once however many of them are used.
+    """
+    gone = F.array(*[F.lit(x) for x in TRACKING_PARAMS])
+    d = df.withColumn("_t", F.btrim(url, F.lit(_OUTER)))
+    d = d.withColumn("host", F.coalesce(F.lower(F.regexp_extract("_t", _ADDRESS, 1)), F.lit("")))
+    found = F.regexp_extract("_t", _ADDRESS, 2)
+    d = d.withColumn("path", F.when(F.col("host") == "", "").otherwise(found)).withColumn("_q", F.when(F.contains("_t", F.lit("?")), F.regexp_extract("_t", _ADDRESS, 3)).otherwise(""))
+    d = d.withColumn("path", F.when((F.col("path") == "") & (F.col("host") != ""), "/").otherwise(F.col("path"))).drop("_t")
+    d = d.withColumn("domain", F.when(F.startswith("host", F.lit("www.")), F.substring("host", 5, 1 << 20)).otherwise(F.col("host")))
+    plain = lambda p: F.when(F.contains(p, F.lit("%")) | F.contains(p, F.lit("+")), F.replace(decoded(p), F.lit("&"), F.lit("%26"))).otherwise(p)
+    pairs = F.transform(F.filter(F.split("_q", "&"), lambda p: p != ""), plain)
+    named = F.transform(pairs, lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)).alias("v")))
+    kept = F.filter(named, lambda x: ~F.array_contains(gone, x["k"]))
+    params = F.array_join(F.array_sort(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), x["v"]))), "&")
+    d = d.withColumn("_params", F.when(F.col("_q") == "", "").otherwise(params))
+    way = F.when((F.length("path") > 1) & F.endswith("path", F.lit("/")), F.substring(F.col("path"), F.lit(1), F.length("path") - 1)).otherwise(F.col("path"))
+    key = F.when(F.col("host") == "", F.col(url)).otherwise(F.concat(F.col("domain"), F.lit("|"), way, F.lit("|"), F.col("_params")))
+    return d.withColumn("key", key).drop("_q", "_params")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.constants import AGGREGATOR_HOSTS
 from rankloom.functions.text import jaccard, split_sources, word_set
-from rankloom.functions.urls import bare_host, host, host_suffixes, is_valid_url, url_key
+from rankloom.functions.urls import host_suffixes, with_address
+from rankloom.plans.skew import salted_join
 
 #: Titles of two rows that are more alike than this are one page.
 SAME_TITLE = 0.85
@@ -38,13 +39,13 @@ def match_rules(hosts: DataFrame, rules: DataFrame, key: str = "host") -> DataFr
     host that ends with it, with or without the dot. Hosts are expanded into their parent domains, so the
     join is a hash join on equality; the rule table is fixed and small, and broadcast.
     """
-    r = F.broadcast(clean_rules(rules))
+    r = F.broadcast(clean_rules(rules).withColumnRenamed("domain", "_rule"))
     distinct = hosts.select(key).where(F.col(key) != "").distinct()
-    parts = distinct.select(key, F.posexplode(host_suffixes(F.col(key))).alias("depth", "domain"))
-    by_label = parts.join(r.where("kind <> 'tld'"), "domain").where((F.col("kind") == "domain") | (F.col("depth") > 0)).select(key, "action")
-    # a 'tld' rule may end inside a label: only the last label's endings have to be tried
-    last = distinct.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda k: F.substring(F.col(key), -k, k))).alias("domain"))
-    by_end = last.join(r.where("kind = 'tld'"), "domain").select(key, "action")
+    parts = distinct.select(key, F.posexplode(host_suffixes(F.col(key))).alias("_depth", "_rule"))
+    by_label = parts.join(r.where("kind <> 'tld'"), "_rule").where((F.col("kind") == "domain") | (F.col("_depth") > 0)).select(key, "action")
+    # a 'tld' rule may end inside a label, so every ending of the host is tried
+    ends = distinct.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda k: F.substring(F.col(key), -k, k))).alias("_rule"))
+    by_end = ends.join(r.where("kind = 'tld'"), "_rule").select(key, "action")
     return by_label.unionByName(by_end).groupBy(key).agg(F.collect_set("action").alias("actions"))
 
 
@@ -53,13 +54,12 @@ def kept(results: DataFrame, rules: DataFrame) -> DataFrame:
 
     Adds ``host``, ``domain`` (without ``www.``), ``key``, ``lower`` (the host ranks lower) and ``sources``.
     """
-    rows = results.where(is_valid_url(F.col("url")))
+    rows = with_address(results).where("host <> ''")
     rows = rows.where(~F.col("url").rlike(f"(?i){AGGREGATOR_HOSTS}") & ~F.coalesce(F.col("title"), F.lit("")).rlike("百度图片|视频大全"))
-    rows = rows.withColumn("host", host(F.col("url"))).withColumn("domain", bare_host(F.col("url")))
     acts = match_rules(rows, rules)
-    joined = rows.join(acts, "host", "left")
+    joined = salted_join(rows, acts, ["host"], by="result_id", how="left")
     has = lambda a: F.coalesce(F.array_contains("actions", F.lit(a)), F.lit(False))
-    return joined.where(~has("remove")).withColumn("lower", has("lower")).withColumn("sources", split_sources(F.col("source"))).withColumn("key", url_key(F.col("url")))
+    return joined.where(~has("remove")).withColumn("lower", has("lower")).withColumn("sources", split_sources(F.col("source")))
 
 
 def with_engine_ranks(rows: DataFrame, order: str = "idx") -> DataFrame:

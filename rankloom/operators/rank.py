@@ -11,6 +11,7 @@ from rankloom.functions.constants import AGGREGATOR_HOSTS, DEFAULT_ENGINE_WEIGHT
 from rankloom.functions.text import coverage, query_terms, tokens
 from rankloom.functions.urls import is_homepage, path_segments
 from rankloom.operators.pool import match_rules
+from rankloom.plans.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -64,8 +65,8 @@ def with_host_signals(rows: DataFrame, rules: DataFrame, config: RankConfig = DE
     documentation host; a host that holds a word of the query 0.6; a documentation path of two segments or
     more 0.4. The hosts come without ``www.`` from the merge, so 0.9 occurs for raw hosts only.
     """
-    acts = match_rules(rows.select(F.col("domain").alias("domain_")), rules, "domain_").withColumnRenamed("actions", "acts")
-    r = rows.join(acts, rows["domain"] == acts["domain_"], "left").drop("domain_")
+    acts = match_rules(rows, rules, "domain").withColumnRenamed("actions", "acts")
+    r = salted_join(rows, acts, ["domain"], by="key", how="left")
     has = lambda a: F.coalesce(F.array_contains("acts", F.lit(a)), F.lit(False))
     words = F.filter(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col("q"), F.lit(""))), F.lit(r"([a-z][a-z0-9.+#\-]{2,})"), F.lit(1)), lambda w: F.regexp_replace(w, r"[.+#\-]", "")), lambda w: F.length(w) >= 3)
     flat = F.regexp_replace("domain", r"[.\-]", "")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import clean_query, query_language
 from rankloom.operators import pool as P
 from rankloom.operators import rank as R
+from rankloom.plans.durable import cut
+from rankloom.plans.skew import salted_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,19 +34,23 @@ def queries_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates after the filters, numbered within their pool."""
-    return P.numbered(P.kept(captured(spark, sf_dir), table(spark, sf_dir, "domain_rules")))
+    """Candidates after the filters, numbered within their pool.
+
+    Later stages use them several times, so they are cut off here: the tables are scanned once.
+    """
+    raw = captured(spark, sf_dir).select("result_id", "query_id", "pool", "pos", "title", "url", "snippet", "source")
+    return cut(P.numbered(P.kept(raw, table(spark, sf_dir, "domain_rules"))))
 
 
 def with_query(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds ``query_id``, ``q``, ``lang`` and ``gold`` to rows with a pool."""
     rows = rows.withColumn("query_id", F.floor(F.col("pool") / 100_000_000).cast("bigint"))
-    return rows.join(queries_clean(spark, sf_dir), "query_id")
+    return salted_join(rows, queries_clean(spark, sf_dir), ["query_id"], by="pool")
 
 
 def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates merged by address and by title."""
-    return P.merged_by_title(P.merged_by_key(kept_rows(spark, sf_dir)))
+    return P.merged_by_title(cut(P.merged_by_key(kept_rows(spark, sf_dir))))
 
 
 def signals(spark: SparkSession, sf_dir: str, config: R.RankConfig = R.DEFAULT, with_bm25: bool = False) -> DataFrame:
