@@ -162,7 +162,7 @@ def _log_odds(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float]):
 
 def scored(results: DataFrame) -> DataFrame:
     """``result_id``, ``source``, ``language``, ``marked``, ``log_odds``, ``cut`` of each snippet that isn't null or blank."""
-    raw = results.select("result_id", "source", "snippet", F.xxhash64(F.lower(F.substring_index(F.substring_index("url", "#", 1), "://", -1))).alias("address"))
+    raw = results.select("result_id", "source", "snippet", F.xxhash64(F.regexp_replace(F.lower(F.substring_index(F.regexp_replace("url", "[?#].*$", ""), "://", -1)), r"^www\.|/\s*$", "")).alias("address"))
     # normal text is made once and kept for the passes of the model
     texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
     score = _log_odds(results.sparkSession, train(texts))
