@@ -313,3 +313,49 @@ def site_search(spark: SparkSession, d: str) -> DataFrame:
     m = rows.join(sites, ["query_id", "site"]).groupBy("query_id", "site", "key").agg(F.min("pos").alias("pos"), F.min("result_id").alias("result_id"))
     r = m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "site").orderBy("pos", "result_id")))
     return r.where("rank <= 10").select("query_id", "site", "key", "rank")
+
+
+@query(f"""
+WITH {_CAPTURED}, h AS (SELECT *, {S.host('url')} AS host, {_API_SQL} AS api FROM captured WHERE {S.valid('url')})
+SELECT pool, host, count(*) AS rows FROM h WHERE api AND NOT EXISTS (SELECT 1 FROM h p WHERE p.pool = h.pool AND p.host = h.host AND NOT p.api) GROUP BY pool, host""")
+def new_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts that only search interfaces brought into a pool."""
+    h = U.with_address(L.captured(spark, d).select("pool", "url", _api(F.col("source")).alias("api"))).where("host <> ''")
+    n = h.groupBy("pool", "host").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("api").alias("only"))
+    return n.where("only").select("pool", "host", "rows")
+
+
+@query("SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM search_results WHERE query_id IS NOT NULL)")
+def missing_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries without any captured row, which a further capture would ask."""
+    seen = L.table(spark, d, "search_results").where("query_id is not null").select("query_id").distinct()
+    return L.table(spark, d, "queries").select("query_id").join(seen, "query_id", "left_anti")
+
+
+_DOC = f"len(list_filter(string_split({S.path('url')}, '/'), lambda s: s <> '')) >= 2 AND regexp_matches(url, '{DOC_PATH}')"
+
+
+@query(f"""
+WITH {_CAPTURED}, o AS (SELECT *, official_dom || '' AS dom, {S.host('url')} AS host, {S.url_key('url')} AS key, ({_DOC}) AS doc FROM captured WHERE {S.valid('url')} AND official_dom IS NOT NULL),
+s AS (SELECT pool, key, min(pos) AS pos, min(result_id) AS result_id, bool_or(doc) AS doc FROM o WHERE host = lower(dom) OR host LIKE '%.' || lower(dom) GROUP BY ALL),
+n AS (SELECT *, bool_or(doc) OVER (PARTITION BY pool) AS any_doc, row_number() OVER (PARTITION BY pool ORDER BY doc DESC, pos, result_id) AS rank FROM s)
+SELECT pool, key, doc, rank, NOT any_doc AS second_phase FROM n""")
+def official_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows on a pool's official host, documentation pages first (stable); ``second_phase``: no such page, so the hint query would be asked."""
+    raw = L.captured(spark, d).where("official_dom is not null").select("pool", "pos", "result_id", "url", F.lower("official_dom").alias("dom"))
+    o = U.with_address(raw).where((F.col("host") == F.col("dom")) | F.endswith("host", F.concat(F.lit("."), F.col("dom"))))
+    doc = (F.size(F.filter(F.split("path", "/"), lambda s: s != "")) >= 2) & F.col("url").rlike(DOC_PATH)
+    s = o.withColumn("doc", doc).groupBy("pool", "key").agg(F.min("pos").alias("pos"), F.min("result_id").alias("result_id"), F.bool_or("doc").alias("doc"))
+    w = Window.partitionBy("pool")
+    n = s.withColumn("any_doc", F.bool_or("doc").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("doc").desc(), "pos", "result_id")))
+    return n.select("pool", "key", "doc", "rank", (~F.col("any_doc")).alias("second_phase"))
+
+
+@query(f"""
+WITH {S.KEPT}, {S.QUERIES_CLEAN}, e AS (SELECT r.pool, r.engine, {S.coverage(S.query_terms('q.q'), "coalesce(title, '') || ' ' || coalesce(snippet, '')")} AS coverage FROM ranks r JOIN queries_clean q USING (query_id))
+SELECT engine, round(avg(coverage), 6) AS quality, count(*) AS rows FROM e GROUP BY engine""")
+def engine_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Mean coverage of each engine's rows."""
+    rows = salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "q"), ["query_id"], by="pool")
+    each = R.with_coverage(rows).select(F.explode("sources").alias("engine"), "coverage")
+    return each.groupBy("engine").agg(F.round(F.avg("coverage"), 6).alias("quality"), F.count(F.lit(1)).alias("rows"))

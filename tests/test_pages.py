@@ -77,3 +77,21 @@ def test_streaming_windows_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) n, sum(errors) e from win").first() == events.selectExpr("count(*) n", "count_if(event_type = 'error') e").first()
+
+
+def test_streaming_negative_cache_matches_batch(spark, tmp_path):
+    from rankloom.catalog.state import negative_cache
+
+    (tmp_path / "in").mkdir()
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "in" / "e.parquet")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = spark.read.parquet(str(tmp_path / "in")).schema
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+        q = S.negative_cache(stream).writeStream.outputMode("append").format("memory").queryName("refused").option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r.event_id: r.refused for r in spark.table("refused").collect()}
+    assert got == {r.event_id: r.refused for r in negative_cache(spark, "/root/testdata/sf0.001").collect()}
