@@ -183,11 +183,11 @@ def _double(line: str) -> tuple[str, int]:
                     text += [data[at : s.start()].decode("gbk", "replace"), s[0].decode()]
                     at = s.end()
                 return "".join(text) + data[at:].decode("gbk", "replace")
-        if len(run) >= 2 and _common_share(run) < 0.6:
+        if len(run) >= 2 and _common_share(run) < 0.7:
             data = _double_bytes(run, "big5hkscs").rstrip(b"\xff")
             if b"\xff" not in data:
                 text = data.decode("gbk", "replace")
-                if _common_share(text) >= 0.9 and sum(map(_is_han, text)) >= 2:
+                if _common_share(text) >= max(0.85, _common_share(run) + 0.3) and sum(map(_is_han, text)) >= 2:
                     covered += len(run)
                     return text
         return run
@@ -221,10 +221,23 @@ def suspect() -> re.Pattern:
     return _suspect()
 
 
+def _replacement_sign(line: str) -> str | None:
+    """The garbled form of a replacement character in the line, which no one quotes by itself."""
+    for legacy in _legacy().values():
+        for m in legacy.utf8.finditer(line):
+            text = legacy.data(m[0]).decode("utf-8", "replace")
+            if text == "\ufffd" or text != m[0] and _legacy()["cp1252"].utf8.fullmatch(text) and _legacy()["cp1252"].data(text).decode("utf-8", "replace") == "\ufffd":
+                return m[0]
+    return None
+
+
 def repair_line(line: str) -> tuple[str, bool]:
     """(line with what can be restored, whether it was garbled)."""
     if not suspect().search(line):
         return line, False
+    about = bool(ABOUT_ENCODINGS.search(line))
+    if about and (sign := _replacement_sign(line)):
+        return line.replace(sign, "\ufffd"), True
     text, garbled, isolated = line, False, True
     for _ in range(ROUNDS):
         new, covered = _single(text)
@@ -232,13 +245,14 @@ def repair_line(line: str) -> tuple[str, bool]:
             new, covered = _double(text)
         if not covered or new == text:
             break
-        if garbled or not _isolated(text, new):
-            isolated = False
+        if garbled and about and isolated:  # a quotation that was garbled itself: its own layer stays
+            return text, True
+        isolated = isolated and not garbled and _isolated(text, new)
         text, garbled = new, True
     if _C1.search(text):
         text, garbled, isolated = _C1.sub(_from_c1, text), True, False
     lost = "\ufffd" in line
-    if ABOUT_ENCODINGS.search(line) and isolated and not _inside_words(line):
+    if about and isolated and not _inside_words(line):
         return line, False
     if not garbled and lost:
         return text, True

@@ -151,3 +151,11 @@ def test_subjects_on_held_out(spark):
     assert not {900, 901, 902} & set(got) and len(got[903]) == 1 and got[904] == {"sport"}
     assert p8.subject_areas(documents, labels.limit(0), areas).count() >= len(truth)
     assert p8.subject_areas(documents.limit(0), labels, areas).count() == 0
+
+
+def test_garbled_quotations():
+    quote = "When UTF-8 is read as Latin-1, é shows up as Ã© and a quote as â€™."
+    assert p5.repair(quote.encode().decode("cp1252")) == (quote, True)
+    sign = "The replacement character � marks bytes that a decoder could not read."
+    assert p5.repair(sign.encode().decode("cp1252")) == (sign, True)
+    assert p5.repair(sign.encode().decode("mac_roman")) == (sign, True)
