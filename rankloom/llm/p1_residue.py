@@ -65,6 +65,14 @@ STEMS = (
     + ["introuvable", "trouvée", "erreur", "refusé", "expiré", "indisponible", "gefunden", "fehler", "verweigert", "abgelaufen", "vorübergehend", "encontrada", "denegado", "expirado", "caducada", "no disponible", "n/a", "request id", "try again", "please wait", "plus tard", "später erneut", "más tarde", "persists", "noscript"]
 )
 
+#: The vocabulary of Latin filler; the first are words that hardly any other text has.
+FILLER_OWN = (
+    "lorem ipsum amet consectetur adipiscing eiusmod incididunt labore aliqua minim veniam nostrud exercitation ullamco laboris aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat pariatur excepteur occaecat cupidatat proident deserunt mollit laborum"
+).split()
+FILLER_WORDS = [*FILLER_OWN, *"dolor dolore sit elit sed do tempor ut et magna enim ad quis nisi ex ea in esse eu nulla sint non sunt culpa qui officia anim id est".split()]
+#: Different words of FILLER_OWN, and share of FILLER_WORDS, from which a text is filler.
+OWN_WORDS, FILLER_SHARE = 3, 0.5
+
 #: Evidence a segment needs.
 THRESHOLD = 2.0
 #: A line of more characters is a paragraph; only its placeholders are looked at.
@@ -93,13 +101,21 @@ def signature(segment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^ | $", "")
 
 
+def _filler(segment: Column) -> Column:
+    """True if the segment is mostly words of Latin filler, in whatever order."""
+    words = F.regexp_extract_all(F.lower(segment), F.lit(r"([a-zà-ÿ'’]+)"), F.lit(1))
+    own = F.size(F.array_intersect(words, F.array(*map(F.lit, FILLER_OWN))))
+    return (own >= OWN_WORDS) & (F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS))) >= FILLER_SHARE * _words(segment))
+
+
 _PERCENT = re.compile(r"%[A-Z][A-Z_]{2,30}%")
+_LATIN, _OWN = re.compile(r"[a-z]+"), frozenset(FILLER_OWN)
 
 
 def promising(text: str) -> bool:
     """True if a detector may hold for the text."""
     low = text.lower()
-    return any(x in low for x in STEMS) or "%" in text and bool(_PERCENT.search(text))
+    return any(x in low for x in STEMS) or "%" in text and bool(_PERCENT.search(text)) or len(_OWN.intersection(_LATIN.findall(low))) >= OWN_WORDS
 
 
 def _promising_lines(text: Column) -> Column:
@@ -110,7 +126,7 @@ def _promising_lines(text: Column) -> Column:
 
         return pd.Series(["\n".join(filter(promising, t.split("\n"))) or None if t and promising(t) else None for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(run, "string").asNondeterministic()(text)  # else it runs again in filters made from it
 
 
 def _detected(segments: DataFrame) -> DataFrame:
@@ -118,8 +134,8 @@ def _detected(segments: DataFrame) -> DataFrame:
     s = F.col("segment")
     short = F.length(s) <= PARAGRAPH
     d = segments.withColumn("placeholders", F.size(F.regexp_extract_all(s, F.lit(f"({PLACEHOLDER})"), F.lit(1))))
-    d = d.withColumn("notice", short & (s.rlike(FILLER) | s.rlike(SCRIPTS) | s.rlike(ERRORS))).withColumn("weak", short & s.rlike(WEAK))
-    return d.where("placeholders > 0 or notice or weak")
+    d = d.withColumn("notice", short & (s.rlike(FILLER) | s.rlike(SCRIPTS) | s.rlike(ERRORS))).withColumn("weak", short & s.rlike(WEAK)).withColumn("filler", _filler(s))
+    return d.where("placeholders > 0 or notice or weak or filler")
 
 
 def judged(segments: DataFrame) -> DataFrame:
@@ -129,7 +145,7 @@ def judged(segments: DataFrame) -> DataFrame:
     d = d.withColumn("words", _words(s)).withColumn("talk", s.rlike(TALK)).withColumn("sig", F.xxhash64(signature(s)))
     text = F.lower(s)
     d = d.withColumn("mismatch", ~F.exists(_topic(F.col("url"), F.col("title")), lambda t: F.contains(text, t)))
-    d = d.withColumn("host", bare_host(F.col("url"))).select("origin", "row_id", "segment", "placeholders", "notice", "weak", "words", "talk", "sig", "mismatch", "host", F.xxhash64("url").alias("address"))
+    d = d.withColumn("host", bare_host(F.col("url"))).select("origin", "row_id", "segment", "placeholders", "notice", "weak", "filler", "words", "talk", "sig", "mismatch", "host", F.xxhash64("url").alias("address"))
     d = cut(d)
     # the same segment on many addresses and hosts: pre-aggregated, and joined back over salts as one segment may be very frequent
     seen = d.groupBy("sig").agg(F.approx_count_distinct("address", 0.1).alias("addresses"), F.approx_count_distinct("host", 0.1).alias("hosts"), F.avg(F.col("mismatch").cast("double")).alias("astray"))
@@ -137,7 +153,7 @@ def judged(segments: DataFrame) -> DataFrame:
     d = d.withColumn("salt", F.pmod(F.xxhash64("row_id", "origin"), F.lit(SALTS)).cast("int")).join(seen, ["sig", "salt"])
     dense = (F.col("placeholders") > 0) & (F.col("words") <= 6 * F.col("placeholders"))
     score = (
-        F.when(dense, 2.0).when(F.col("placeholders") > 0, 0.8).otherwise(0.0)
+        F.when(dense | F.col("filler"), 2.0).when(F.col("placeholders") > 0, 0.8).otherwise(0.0)
         + F.when(F.col("notice"), 1.8).otherwise(0.0)
         + F.when(F.col("weak") & ~F.col("notice"), 0.8).otherwise(0.0)
         - F.when(F.col("talk"), 1.8).otherwise(0.0)
@@ -154,7 +170,7 @@ def segments_of(results: DataFrame, extractions: DataFrame) -> DataFrame:
     one_line = F.regexp_replace("snippet", r"[\r\n]+", " ")
     snippets = results.select(F.lit("search_results").alias("origin"), F.col("result_id").alias("row_id"), "url", "title", _promising_lines(one_line).alias("text"))
     pages = extractions.select(F.lit("extractions").alias("origin"), F.col("extract_id").alias("row_id"), "url", "title", _promising_lines(F.col("plain")).alias("text"))
-    both = snippets.unionByName(pages).where("text is not null")
+    both = snippets.unionByName(pages)
     return both.select("origin", "row_id", "url", "title", F.explode(F.split("text", "\n")).alias("segment")).withColumn("segment", F.trim(F.regexp_replace("segment", r"\s+", " "))).where("segment <> ''")
 
 

@@ -39,6 +39,15 @@ def test_quick_test_lets_residue_through():
     assert all(map(p1.promising, RESIDUE))
 
 
+def test_filler_by_vocabulary(spark):
+    found = ["Aute sit minim ipsum laboris nisi dolor ut.", "Host number 1 - Nisi do do tempor ut magna veniam do eiusmod nostrud aliqua minim laboris enim aute aute nostrud.", "MINIM QUIS AMET DOLOR VENIAM NISI " * 12]
+    kept = ["Il est non sit qui en id et sed ut.", "The words dolor, amet and nisi come up in a list of the words that typesetters like to use most.", "Typesetters like lorem, ipsum and amet, and there are many other words that they use in a text of this kind."]
+    assert all(map(p1.promising, found))
+    assert {x.row_id for x in p1.residue(results(spark, found + kept), pages(spark, ("T", None, None, None))).collect()} == set(range(len(found)))
+    lines = pages(spark, ("T", None, None, f"A line of text.\n{found[0]}\nMore."), ("T", None, None, "\n".join(kept)))
+    assert [x.row_id for x in p1.residue(results(spark, kept[:1]), lines).collect()] == [0]
+
+
 def sentences(n, seed=0):
     rng = random.Random(seed)
     who, does, what = ["The worker", "Each node", "A client", "The agent"], ["reads", "writes", "drops", "checks"], ["the settings file", "a snapshot of the table", "every pending request", "the audit log"]
