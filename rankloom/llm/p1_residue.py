@@ -1,6 +1,6 @@
 """Problem 1: template residue, filler, error messages and script notices in place of content.
 
-Every segment (a snippet, or a line of a page's text) is judged by evidence that adds up: placeholder
+Every segment (a snippet, or a line of a page's text; of longer ones each sentence) is judged by evidence that adds up: placeholder
 detectors, phrases of notices, how little it says, whether its words meet the words of the page's address
 slug and title, and how many addresses and hosts show the very same segment once digits and names are
 masked. Talk about templates, errors or scripts counts against. Only segments that some detector holds
@@ -23,10 +23,10 @@ PLACEHOLDER = (
     r"\{\{\{?[^{}\n]{1,40}\}\}|\$\{[^{}\n]{1,40}\}|#\{[^{}\n]{1,40}\}|\{%[^{}\n]{1,40}%\}|<%=?[^<>\n]{1,40}%>|\[\[[^\[\]\n]{1,40}\]\]"
     r"|\[[A-Z][A-Z_]{2,30}\]|%[A-Z][A-Z_]{2,30}%|__[A-Z][A-Z_]{1,30}__|@@[A-Z_a-z]{2,30}@@|\{[a-z]+(?:[_.][a-z_]+)+\}|【(?:在此|请)[^】]{1,20}】|\{[A-Za-z]{3,30}\}|\[object Object\]"
 )
-#: Text that stands where text should come, by its own wording.
+#: Text that stands where text should come, by its own wording. Groups that may repeat at any length are possessive, as others recurse; a longer run of x is data.
 FILLER = (
-    r"(?i)lorem ipsum dolor|\bipsum dolor sit|consectetur adipiscing|^\W*(?:(?:undefined|null|NaN|none|text|test|content|title)\W+)+(?:undefined|null|NaN|none|text|test|content|title)\W*$"
-    r"|^\W*(?:x{4,}\W*)+$|^\W*(?:(?:asdf|qwer|zxcv|qwerty|foo|bar|baz|blah)\W*){2,}$|^\W*(?:todo|tbd|fixme|tba)\b[\W]*(?:$|:|write|add|fill)|^\W*untitled (?:document|page)|\bNaN results\b|results found for (?:null|undefined)"
+    r"(?i)lorem ipsum dolor|\bipsum dolor sit|consectetur adipiscing|^\W*(?:(?:undefined|null|NaN|none|text|test|content|title)(?:\W++|$)){2,}+$"
+    r"|^\W*(?:x{4,240}+(?:\W++|$))++$|^\W*(?:(?:asdf|qwerty|qwer|zxcv|foo|bar|baz|blah)\W*+){2,}+$|^\W*(?:todo|tbd|fixme|tba)\b[\W]*(?:$|:|write|add|fill)|^\W*untitled (?:document|page)|\bNaN results\b|results found for (?:null|undefined)"
     r"|\b(?:sample|dummy|placeholder|example|filler) (?:text|copy|content)[.,:]? (?:replace|edit|to be|goes|please|only)|\breplace this (?:with|text)|this is an example page|\bto be supplied by\b"
     r"|\byour (?:\w+ ){1,2}(?:goes|comes|here)\b|\binsert (?:a |your |the )?(?:\w+ ){1,6}here\b|\bcomes? in this box|edit or delete (?:it|this)|\bcoming soon\W*$"
     r"|^(?:示例(?:内容|文字|文本)\W*){2,}|此处为.{0,4}(?:示例|占位)|(?:示例|占位)(?:文字|文本|内容)[，,].{0,2}请|请(?:在此|输入|填写)(?:输入|填写)?.{0,4}(?:描述|内容|简介|标题|摘要)|在此(?:填写|输入)"
@@ -75,8 +75,10 @@ OWN_WORDS, FILLER_SHARE = 3, 0.5
 
 #: Evidence a segment needs.
 THRESHOLD = 2.0
-#: A line of more characters is a paragraph; only its placeholders are looked at.
+#: A line of more characters is a paragraph; it is judged sentence by sentence.
 PARAGRAPH = 240
+#: A shorter sentence is judged with the next one.
+SENTENCE = 20
 SALTS = 16
 
 
@@ -118,23 +120,43 @@ def promising(text: str) -> bool:
     return any(x in low for x in STEMS) or "%" in text and bool(_PERCENT.search(text)) or len(_OWN.intersection(_LATIN.findall(low))) >= OWN_WORDS
 
 
+_BESIDE = "\x1f"
+#: Between two sentences, but not inside a placeholder.
+_BREAK = re.compile(r"(?<=[.!?])\s+(?![^{}\n]{0,40}\}|[^<>\n]{0,40}%>|[^\[\]\n]{0,40}\]\])|(?<=[。！？])(?![^【】\n]{0,20}】)")
+
+
+def pieces(line: str) -> list[str]:
+    """The line, or the sentences of one that is a paragraph, each with those beside it after a separator."""
+    line = line.replace(_BESIDE, " ")
+    if len(line) <= PARAGRAPH:
+        return [line]
+    out = [""]
+    for sentence in _BREAK.split(line):
+        if len(out[-1]) >= SENTENCE:
+            out.append(sentence)
+        else:
+            out[-1] = f"{out[-1]} {sentence}"
+    if len(out) > 1 and len(out[-1]) < SENTENCE:
+        out[-2:] = [f"{out[-2]} {out[-1]}"]
+    return [s + _BESIDE + " ".join(out[max(0, k - 1) : k + 2]) for k, s in enumerate(out) if promising(s)]
+
+
 def _promising_lines(text: Column) -> Column:
-    """The lines that a detector may hold for; null if there are none."""
+    """The lines, or sentences of paragraphs, that a detector may hold for, one a line; null if there are none."""
 
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(["\n".join(filter(promising, t.split("\n"))) or None if t and promising(t) else None for t in texts], dtype=object)
+        return pd.Series(["\n".join(p for line in t.split("\n") if promising(line) for p in pieces(line)) or None if t and promising(t) else None for t in texts], dtype=object)
 
     return F.pandas_udf(run, "string").asNondeterministic()(text)  # else it runs again in filters made from it
 
 
 def _detected(segments: DataFrame) -> DataFrame:
-    """Adds the detectors' columns to ``origin, row_id, url, title, segment`` and keeps the segments that one holds for."""
+    """Adds the detectors' columns to ``origin, row_id, url, title, segment, beside`` and keeps the segments that one holds for."""
     s = F.col("segment")
-    short = F.length(s) <= PARAGRAPH
     d = segments.withColumn("placeholders", F.size(F.regexp_extract_all(s, F.lit(f"({PLACEHOLDER})"), F.lit(1))))
-    d = d.withColumn("notice", short & (s.rlike(FILLER) | s.rlike(SCRIPTS) | s.rlike(ERRORS))).withColumn("weak", short & s.rlike(WEAK)).withColumn("filler", _filler(s))
+    d = d.withColumn("notice", s.rlike(FILLER) | s.rlike(SCRIPTS) | s.rlike(ERRORS)).withColumn("weak", s.rlike(WEAK)).withColumn("filler", _filler(s))
     return d.where("placeholders > 0 or notice or weak or filler")
 
 
@@ -142,7 +164,7 @@ def judged(segments: DataFrame) -> DataFrame:
     """``origin, row_id, segment, score`` of the segments that a detector holds for."""
     s = F.col("segment")
     d = _detected(segments)
-    d = d.withColumn("words", _words(s)).withColumn("talk", s.rlike(TALK)).withColumn("sig", F.xxhash64(signature(s)))
+    d = d.withColumn("words", _words(s)).withColumn("talk", F.col("beside").rlike(TALK)).withColumn("sig", F.xxhash64(signature(s)))
     text = F.lower(s)
     d = d.withColumn("mismatch", ~F.exists(_topic(F.col("url"), F.col("title")), lambda t: F.contains(text, t)))
     d = d.withColumn("host", bare_host(F.col("url"))).select("origin", "row_id", "segment", "placeholders", "notice", "weak", "filler", "words", "talk", "sig", "mismatch", "host", F.xxhash64("url").alias("address"))
@@ -166,12 +188,15 @@ def judged(segments: DataFrame) -> DataFrame:
 
 
 def segments_of(results: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Snippets, and the lines of pages' texts, that a detector may hold for: ``origin, row_id, url, title, segment``. Null and blank ones give none."""
+    """Snippets, and the lines of pages' texts, that a detector may hold for: ``origin, row_id, url, title, segment, beside``.
+
+    A paragraph gives its sentences; ``beside`` has the text in which talk counts, the segment and the sentences next to it. Null and blank ones give none.
+    """
     one_line = F.regexp_replace("snippet", r"[\r\n]+", " ")
     snippets = results.select(F.lit("search_results").alias("origin"), F.col("result_id").alias("row_id"), "url", "title", _promising_lines(one_line).alias("text"))
     pages = extractions.select(F.lit("extractions").alias("origin"), F.col("extract_id").alias("row_id"), "url", "title", _promising_lines(F.col("plain")).alias("text"))
     both = snippets.unionByName(pages)
-    return both.select("origin", "row_id", "url", "title", F.explode(F.split("text", "\n")).alias("segment")).withColumn("segment", F.trim(F.regexp_replace("segment", r"\s+", " "))).where("segment <> ''")
+    return both.select("origin", "row_id", "url", "title", F.explode(F.split("text", "\n")).alias("piece")).select("origin", "row_id", "url", "title", *(F.trim(F.regexp_replace(F.substring_index("piece", _BESIDE, n), r"\s+", " ")).alias(name) for name, n in (("segment", 1), ("beside", -1)))).where("segment <> ''")
 
 
 def residue(results: DataFrame, extractions: DataFrame) -> DataFrame:

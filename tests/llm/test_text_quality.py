@@ -48,6 +48,15 @@ def test_filler_by_vocabulary(spark):
     assert [x.row_id for x in p1.residue(results(spark, kept[:1]), lines).collect()] == [0]
 
 
+def test_residue_in_paragraphs(spark):
+    plain = "The worker reads the settings file and writes a snapshot of the table. " * 5
+    found = [f"{plain}Please enable JavaScript to continue. {plain}", f"{plain}The page you requested does not exist. {plain}", f"升级到以后，默认值发生了变化。{'每个节点都会保存快照。' * 30}页面不存在或已被删除。", "asdf asdf qwer " * 20, "undefined null " * 5_000, f"{plain}Lorem ipsum dolor sit amet. {plain}", f"{plain}Sold by ${{shop. name}} today. {plain}"]
+    kept = [plain, f"{plain}This guide explains such answers. Whoever lacks the role sees access denied on every page. {plain}", "word " * 5_000, "foo bar and more " * 3_000]
+    assert {x.row_id for x in p1.residue(results(spark, found + kept), pages(spark, ("T", None, None, None))).collect()} == set(range(len(found)))
+    lines = pages(spark, ("T", None, None, f"Menu\n{found[0]}"), ("T", None, None, f"Menu\n{kept[1]}"))
+    assert [x.row_id for x in p1.residue(results(spark, kept[:1]), lines).collect()] == [0]
+
+
 def sentences(n, seed=0):
     rng = random.Random(seed)
     who, does, what = ["The worker", "Each node", "A client", "The agent"], ["reads", "writes", "drops", "checks"], ["the settings file", "a snapshot of the table", "every pending request", "the audit log"]
