@@ -4,13 +4,12 @@ A backward character n-gram model counts, for contexts read from their last char
 text ends after them and how often it goes on. For the final context of each text the two likelihoods are
 interpolated from short contexts to long ones (without the text's own end) and compared with the rate at
 which texts of that language end; a text whose log-odds are below the threshold of its language and column
-was cut, unless it ends with a sentence's stop. Counts live in hashed tables of fixed size, and continuations are only counted for contexts that
-some text ends with, so the model is bounded whatever the size of the corpus.
+was cut, unless it ends with a sentence's stop. Continuations are only counted for contexts that some text ends with;
+counts are exact and stay distributed, and the driver only holds bits of a fixed number, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,13 @@ from pyspark.sql import functions as F
 from rankloom.plans.durable import cut
 
 
-#: Lengths of the contexts in characters, and slots of the hashed table of each.
+#: Lengths of the contexts in characters, and slots of the bits that tell which may be an end.
 ORDERS = (2, 4, 6, 9, 13, 18, 24)
-SLOT_BITS = 21
+SLOT_BITS = 24
+#: Counts that a task holds before it hands them on.
+HELD = 4_000_000
+#: Orders whose contexts are joined over salts.
+SALTED, SALTS = 3, 8
 #: Weight of the shorter context in the estimate by the next longer one.
 BACKOFF = 4.0
 #: Log-odds below which a text counts as cut, by (language, column); marked ones end with a mark of omission.
@@ -34,7 +37,8 @@ MARKS = r"(?:\s*(?:…|\.{3,}|\.(?: \.){2,}|。{3,}|\[(?:…|\.{3})\]|\((?:…|\
 #: A stop that ends a sentence, with what may close after it; after a digit it may be a decimal point.
 CLOSED = r"(?:[。！？]|[^0-9\s][.!?])[\"'”’)）」』】]*\s*(?:[(（][^()（）]{1,30}[)）])?[^\p{L}\p{N}\p{P}]*$"
 _SEP, _START = "\x00", "\x01"
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_MASK = (1 << 64) - 1
+_BASE, _MIX, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), 0xD6E8FEB86659FD93
 
 
 def normal(text: Column) -> Column:
@@ -52,112 +56,113 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer((_SEP + "".join(f"{_START}{t}{_SEP}" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _contexts(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, which of ``at``, slots) for the k-th order: contexts that end at the positions and lie within a text."""
-    h, power = np.zeros(len(at), np.uint64), np.uint64(1)
-    inside = np.ones(len(at), bool)
-    for back in range(max(ORDERS)):
-        x = codes[np.maximum(at - back, 0)]
-        inside &= x != 0
-        h = h + (x + np.uint64(7)) * power
-        power = power * _BASE
-        if back + 1 in ORDERS:
-            mixed = (h ^ (h >> np.uint64(31))) * _MIX
-            yield ORDERS.index(back + 1), inside.copy(), (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _contexts(codes: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, positions, keys) for the k-th order: contexts that end at the positions and lie within a text.
 
-
-def _emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k, row in enumerate(table):
-        slots = np.flatnonzero(row)
-        if len(slots):
-            yield pa.RecordBatch.from_arrays([pa.array(slots + (k << SLOT_BITS), pa.int32()), pa.array(row[slots].astype(np.int64))], ["slot", "n"])
-
-
-def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((len(ORDERS), 1 << SLOT_BITS), np.uint32)
+    With ``known``, only contexts whose bit is set there; a longer one whose shorter one isn't can't be an end either.
+    """
+    h, power, done = np.zeros(len(at), np.uint64), 1, 0
+    for k, order in enumerate(ORDERS):
+        inside = np.ones(len(at), bool)
+        for back in range(done, order):
+            x = codes[np.maximum(at - back, 0)]
+            inside &= x != 0
+            h = h + (x + np.uint64(7)) * np.uint64(power)
+            power = power * _BASE & _MASK
+        done = order
+        at, h = at[inside], h[inside]
+        mixed = h + np.uint64((k + 1) * _STEP & _MASK)
+        keys = (mixed ^ (mixed >> np.uint64(31))) * _MIX
+        if known is not None:
+            slots = keys >> np.uint64(59 - known.shape[1].bit_length())  # 64 slots a word
+            is_set = (known[k][slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+            at, h, keys = at[is_set], h[is_set], keys[is_set]
+        yield k, at, keys.view(np.int64)
+
+
+def _of_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tail_id, k, key, n`` of the final contexts of ``tail_id, tail, n``."""
     for batch in batches:
-        codes = _codes(batch.column(0).to_pylist())
+        codes = _codes(batch.column(1).to_pylist())
         last = np.flatnonzero(codes == 0)[1:] - 1
-        for k, inside, slots in _contexts(codes, last):
-            table[k] += np.bincount(slots[inside], minlength=1 << SLOT_BITS).astype(np.uint32)
-    yield from _emit(table)
+        for k, at, keys in _contexts(codes, last):
+            rows = batch.take(pa.array(np.searchsorted(last, at)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(at), k, np.int32)), pa.array(keys), rows.column(2)], ["tail_id", "k", "key", "n"])
 
 
-def _count_on(spark: SparkSession, ends: np.ndarray):
-    shared = spark.sparkContext.broadcast(np.packbits(ends > 0))  # one bit for each slot
+def _count_on(spark: SparkSession, words: np.ndarray):
+    shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value)[: len(ORDERS) << SLOT_BITS].reshape(len(ORDERS), -1).astype(bool)
-        table = np.zeros((len(ORDERS), 1 << SLOT_BITS), np.uint32)
+        known, kept, size = shared.value.reshape(len(ORDERS), -1), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, where = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+            return keys, np.bincount(where, np.concatenate([n for _, n in kept])).astype(np.int64)
+
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 2000):
-                codes = _codes(texts[k : k + 2000])
+            for i in range(0, len(texts), 2000):
+                codes = _codes(texts[i : i + 2000])
                 at = np.flatnonzero((codes[:-1] > 1) & (codes[1:] != 0))
-                for order, inside, slots in _contexts(codes, at):
-                    s = slots[inside]
-                    s = s[known[order][s]]
-                    u, n = np.unique(s, return_counts=True)
-                    table[order][u] += n.astype(np.uint32)
-        yield from _emit(table)
+                for _, _, keys in _contexts(codes, at, known):
+                    kept.append(np.unique(keys, return_counts=True))
+                    size += len(kept[-1][0])
+            if size > HELD:
+                kept = [merged()]
+                if (size := len(kept[0][0])) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, kept[0])), ["key", "n"])
+                    kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), ["key", "n"])
 
     return run
 
 
-def _table(counted: DataFrame) -> np.ndarray:
-    """Counts by slot; at most len(ORDERS) << SLOT_BITS rows come to the driver, whatever the corpus."""
-    out = np.zeros(len(ORDERS) << SLOT_BITS, np.float32)
-    got = counted.groupBy("slot").agg(F.sum("n").alias("n")).select("slot", F.col("n").cast("float")).toArrow()
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+def _words(ends: DataFrame) -> np.ndarray:
+    """A bit for the slot of each end; at most len(ORDERS) << SLOT_BITS - 6 rows come to the driver, whatever the corpus."""
+    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
+    word = F.shiftright(slot, 6) + F.col("k").cast("bigint") * (1 << SLOT_BITS - 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    got = ends.select(word.alias("word"), bit.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(len(ORDERS) << SLOT_BITS - 6, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(ends, continuations, base log-odds of an end) from ``text`` (normal) and ``address``.
+def counts(texts: DataFrame) -> DataFrame:
+    """``tail_id``, ``k``, ``ends``, ``on`` of the final contexts of each distinct ``tail``, from ``text`` (normal), ``address``, ``tail``, ``tail_id``.
 
-    Copies of a text at one address count as one end.
+    Copies of a text at one address count as one end. Counts are kept by the context's 64-bit hash; the bits only
+    spare counting contexts that no text ends with, and what passes them by chance finds no end to join.
     """
-    spark = texts.sparkSession
-    tails = texts.groupBy("address", F.substring("text", -40, 40).alias("tail")).agg(F.max(F.length("text")).alias("n"))
     # a tail shorter than the longest context is the whole text
-    ends = _table(tails.select("tail").mapInArrow(_count_ends, "slot int, n bigint"))
-    on = _table(texts.select("text").mapInArrow(_count_on(spark, ends), "slot int, n bigint"))
+    tails = texts.select("tail_id", "tail", "address").distinct().groupBy("tail_id", "tail").agg(F.count(F.lit(1)).alias("n"))
+    contexts = cut(tails.select("tail_id", "tail", "n").mapInArrow(_of_tails, "tail_id bigint, k int, key bigint, n bigint"))
+    ends = cut(contexts.groupBy("key", "k").agg(F.sum("n").alias("ends")))
+    on = texts.select("text").mapInArrow(_count_on(texts.sparkSession, _words(ends)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("on"))
+    # short contexts are few and frequent, so they are joined over salts
+    salts = F.sequence(F.lit(0), F.when(F.col("k") < SALTED, SALTS - 1).otherwise(0))
+    model = ends.join(on, "key", "left").select("key", "ends", F.coalesce("on", F.lit(0)).alias("on"), F.explode(salts).alias("salt"))
+    salt = F.when(F.col("k") < SALTED, F.pmod("tail_id", F.lit(SALTS)).cast("int")).otherwise(0)
+    return contexts.select("tail_id", "k", "key", salt.alias("salt")).join(model, ["key", "salt"]).select("tail_id", "k", "ends", "on")
+
+
+def rates(counted: DataFrame) -> DataFrame:
+    """``tail_id``, ``fixed``, ``slope``: the rate at which texts end after the tail is fixed + slope * the rate without context."""
+    step = lambda r, x: F.struct(
+        ((F.greatest(x.ends - 1, F.lit(0)) + BACKOFF * r.fixed) / (F.greatest(x.ends - 1, F.lit(0)) + x.on + BACKOFF)).alias("fixed"),
+        (BACKOFF * r.slope / (F.greatest(x.ends - 1, F.lit(0)) + x.on + BACKOFF)).alias("slope"),
+    )
+    chain = F.sort_array(F.collect_list(F.struct("k", "ends", "on")))
+    r = counted.groupBy("tail_id").agg(chain.alias("chain")).withColumn("r", F.aggregate("chain", F.struct(F.lit(0.0).alias("fixed"), F.lit(1.0).alias("slope")), step))
+    return r.select("tail_id", "r.fixed", "r.slope")
+
+
+def base_rate(texts: DataFrame) -> float:
+    """The rate at which texts end."""
     size = texts.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
-    rate = (size.n or 1) / max(1, size.chars or 1)
-    return ends, on, float(np.log(rate / max(1e-9, 1 - rate)))
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in steps of an eighth of a doubling, compressed: a byte for each slot at most."""
-    return zlib.compress(np.round(8 * np.log2(1 + counts)).astype(np.uint8).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    counts = np.exp2(np.arange(256, dtype=np.float32) / 8) - 1
-    return counts[np.frombuffer(zlib.decompress(data), np.uint8)].reshape(len(ORDERS), -1)
-
-
-def _log_odds(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float]):
-    ends, on, base = model
-    shared = spark.sparkContext.broadcast((_packed(ends), _packed(on)))
-
-    def run(tails: Iterator) -> Iterator:
-        import pandas as pd
-
-        e_all, c_all = map(_unpacked, shared.value)
-        for tail in tails:
-            texts = tail.tolist()
-            codes = _codes(texts)
-            last = np.flatnonzero(codes == 0)[1:] - 1
-            rate = np.full(len(texts), 1 / (1 + np.exp(-base)))
-            for k, inside, slots in _contexts(codes, last):
-                e, c = np.maximum(e_all[k][slots] - 1, 0), c_all[k][slots]
-                better = (e + BACKOFF * rate) / (e + c + BACKOFF)
-                rate = np.where(inside, better, rate)
-            rate = np.clip(rate, 1e-7, 1 - 1e-7)
-            yield pd.Series(np.log(rate / (1 - rate)) - base)
-
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return min(0.5, max(1e-9, (size.n or 1) / max(1, size.chars or 1)))
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -165,9 +170,13 @@ def scored(results: DataFrame) -> DataFrame:
     raw = results.select("result_id", "source", "snippet", F.xxhash64(F.regexp_replace(F.lower(F.substring_index(F.regexp_replace("url", "[?#].*$", ""), "://", -1)), r"^www\.|/\s*$", "")).alias("address"))
     # normal text is made once and kept for the passes of the model
     texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
-    score = _log_odds(results.sparkSession, train(texts))
-    t = texts.select("result_id", "source", "marked", language(F.col("text")).alias("language"), F.substring("text", -40, 40).alias("tail"))
-    t = t.withColumn("closed", F.col("tail").rlike(CLOSED) & ~F.col("marked")).withColumn("log_odds", score("tail")).drop("tail")
+    texts = texts.withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
+    base = base_rate(texts)
+    # a tail may be very frequent
+    known = rates(counts(texts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    t = texts.select("result_id", "source", "marked", language(F.col("text")).alias("language"), "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    rate = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.coalesce("fixed", F.lit(0.0)) + F.coalesce("slope", F.lit(1.0)) * base))
+    t = t.join(known, ["tail_id", "salt"], "left").withColumn("log_odds", F.log(rate / (1 - rate)) - F.lit(float(np.log(base / (1 - base))))).drop("tail_id", "salt", "fixed", "slope")
     bound = F.lit(None).cast("double")
     for (lang, _), x in THRESHOLDS.items():
         bound = F.when(F.col("language") == lang, F.when(F.col("marked"), MARKED_THRESHOLDS[lang, "snippet"]).otherwise(x)).otherwise(bound)

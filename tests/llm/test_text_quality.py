@@ -81,6 +81,24 @@ def test_truncation(spark):
     assert p3.truncated(df.limit(0)).count() == 0
 
 
+def test_foreign_contexts_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(p3, "SLOT_BITS", 9)  # nearly all contexts share their slot with an end
+    texts = [*sentences(80, 4), *[s[:30] for s in sentences(20, 6)], "ab", "", "重试次数越多，等待的时间越长"]
+    df = spark.createDataFrame([(s, k % 50, s[-40:], k) for k, s in enumerate(sorted(set(texts)))], "text string, address bigint, tail string, id int")
+    df = df.withColumn("tail_id", F.xxhash64("tail"))
+    got = {(r.tail, r.k): (r.ends, r.on) for r in p3.counts(df).join(df.select("tail", "tail_id").distinct(), "tail_id").collect()}
+    rows = df.collect()
+    ends = {(r.tail, r.address) for r in rows}
+    want = {}
+    for tail in {r.tail for r in rows}:
+        for k, n in enumerate(p3.ORDERS):
+            if n <= len(tail) + 1:
+                c = ("\x01" + tail)[-n:]
+                on = sum(("\x01" + r.text)[i : i + n] == c for r in rows for i in range(len(r.text) + 1 - n))
+                want[tail, k] = (sum(("\x01" + t).endswith(c) for t, _ in ends), on)
+    assert got == want
+
+
 def page(k, body, named):
     nav, foot = ("<nav>", "</nav>") if named else ("<div>", "</div>")
     return (
