@@ -29,9 +29,11 @@ HELD = 4_000_000
 SALTED, SALTS = 3, 8
 #: Weight of the shorter context in the estimate by the next longer one.
 BACKOFF = 4.0
-#: Log-odds below which a text counts as cut, by (language, column); marked ones end with a mark of omission.
+#: Log-odds below which a text counts as cut, by (language, column), in groups too small for a distribution of their own; marked ones end with a mark of omission.
 THRESHOLDS = {("han", "snippet"): 0.7, ("latin", "snippet"): 0.7}
 MARKED_THRESHOLDS = {("han", "snippet"): 2.0, ("latin", "snippet"): 2.0}
+#: Texts that end from which a group's own distribution sets its threshold, how far that may be from the value above, the width of a bin, and the share of the highest that is few.
+GROUP, REACH, BIN, SPARSE = 1000, 1.5, 0.25, 0.1
 #: Marks of omission at the end of a text.
 MARKS = r"(?:\s*(?:…|\.{3,}|\.(?: \.){2,}|。{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|&hellip;))+\s*$"
 #: A stop that ends a sentence, with what may close after it; after a digit it may be a decimal point.
@@ -159,10 +161,22 @@ def rates(counted: DataFrame) -> DataFrame:
     return r.select("tail_id", "r.fixed", "r.slope")
 
 
-def base_rate(texts: DataFrame) -> float:
-    """The rate at which texts end."""
-    size = texts.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
-    return min(0.5, max(1e-9, (size.n or 1) / max(1, size.chars or 1)))
+def base_rates(texts: DataFrame) -> dict[str, float]:
+    """The rate at which the texts of each ``language`` end, of ``language``, ``text``."""
+    sizes = texts.groupBy("language").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).collect()
+    return {r.language: min(0.5, max(1e-9, r.n / max(1, r.chars))) for r in sizes}
+
+
+def valley(histogram: dict[int, int], start: float) -> float:
+    """Log-odds where a group's texts, counted by bin, stop getting fewer down from the many that end; ``start`` if few of them end."""
+    if sum(n for b, n in histogram.items() if b * BIN >= start) < GROUP:
+        return start
+    smooth = lambda b: sum(w * histogram.get(b + d, 0) for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1)))
+    b = max((b for b in histogram if b * BIN >= start), key=smooth)
+    peak = smooth(b)
+    while b * BIN > start - REACH and (smooth(b - 1) < smooth(b) or smooth(b) > SPARSE * peak):
+        b -= 1
+    return min(start + REACH, max(start - REACH, (b + 0.5) * BIN))
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -170,16 +184,22 @@ def scored(results: DataFrame) -> DataFrame:
     raw = results.select("result_id", "source", "snippet", F.xxhash64(F.regexp_replace(F.lower(F.substring_index(F.regexp_replace("url", "[?#].*$", ""), "://", -1)), r"^www\.|/\s*$", "")).alias("address"))
     # normal text is made once and kept for the passes of the model
     texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
-    texts = texts.withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
-    base = base_rate(texts)
+    texts = texts.withColumn("language", language(F.col("text"))).withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
+    rate_of = base_rates(texts)
+    base = F.element_at(F.create_map(*(F.lit(x) for pair in (rate_of or {"": 0.5}).items() for x in pair)), F.col("language"))
     # a tail may be very frequent
     known = rates(counts(texts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    t = texts.select("result_id", "source", "marked", language(F.col("text")).alias("language"), "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    t = texts.select("result_id", "source", "marked", "language", "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
     rate = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.coalesce("fixed", F.lit(0.0)) + F.coalesce("slope", F.lit(1.0)) * base))
-    t = t.join(known, ["tail_id", "salt"], "left").withColumn("log_odds", F.log(rate / (1 - rate)) - F.lit(float(np.log(base / (1 - base))))).drop("tail_id", "salt", "fixed", "slope")
+    t = t.join(known, ["tail_id", "salt"], "left").withColumn("log_odds", F.log(rate / (1 - rate)) - F.log(base / (1 - base))).drop("tail_id", "salt", "fixed", "slope")
+    t = cut(t)
+    histograms: dict[tuple[str, bool], dict[int, int]] = {}
+    for r in t.groupBy("language", "marked", F.floor(F.col("log_odds") / BIN).alias("bin")).count().collect():
+        histograms.setdefault((r.language, r.marked), {})[r.bin] = r["count"]
     bound = F.lit(None).cast("double")
-    for (lang, _), x in THRESHOLDS.items():
-        bound = F.when(F.col("language") == lang, F.when(F.col("marked"), MARKED_THRESHOLDS[lang, "snippet"]).otherwise(x)).otherwise(bound)
+    for marked, starts in ((False, THRESHOLDS), (True, MARKED_THRESHOLDS)):
+        for (lang, _), start in starts.items():
+            bound = F.when((F.col("language") == lang) & (F.col("marked") == marked), valley(histograms.get((lang, marked), {}), start)).otherwise(bound)
     return t.withColumn("cut", (F.col("log_odds") < bound) & ~F.col("closed")).drop("closed")
 
 

@@ -99,6 +99,21 @@ def test_foreign_contexts_do_not_count(spark, monkeypatch):
     assert got == want
 
 
+def test_one_language_does_not_move_another(spark):
+    words = lambda s: "".join(c for c in s if not c.isdigit())
+    latin = [words(s) for s in sentences(300, 4)] + [words(s)[:-9] for s in sentences(40, 8)]
+    han = [f"{a}{b}" for a in ("节点", "客户端", "管理员", "工作线程") for b in ("会保存快照。", "检查设置。", "等待请求", "写入日志。")] * 60
+    alone, mixed = ({r.result_id: (r.log_odds, r.cut) for r in p3.scored(results(spark, texts)).where("language = 'latin'").collect()} for texts in (latin, latin + han))
+    assert alone.keys() == mixed.keys()
+    assert all(alone[k][0] == pytest.approx(mixed[k][0], abs=1e-6) and alone[k][1] == mixed[k][1] for k in alone)
+
+
+def test_threshold_of_a_distribution():
+    ends = {b: 4 ** max(0, 8 - abs(b - 16)) for b in range(4, 24)}
+    assert 1.5 <= p3.valley(ends | {b: 300 for b in range(-20, 5)}, 0.7) <= 2.2
+    assert p3.valley({b: 30 for b in range(-20, 20)}, 0.7) == 0.7
+
+
 def page(k, body, named):
     nav, foot = ("<nav>", "</nav>") if named else ("<div>", "</div>")
     return (
