@@ -166,10 +166,18 @@ def regions(ratio: np.ndarray, pooled: np.ndarray | None = None) -> np.ndarray:
     return np.clip((x - (low + high) / 2) / max(0.25, (high - low) / 2), -2, 2)
 
 
+_WIDE = re.compile("[\u2e80-\U0010ffff]+")
+
+
+def _said(line: str) -> int:
+    """Characters of the line; a Han character says about as much as two letters."""
+    return len(line) if line.isascii() else 2 * len(line) - len(_WIDE.sub("", line))
+
+
 def _weak(lines: list[tuple[str, int, int, int]], names: list[float]) -> list[float]:
     """Evidence of each line before wording counts: below 0 for furniture."""
     length = np.array([len(x[0]) for x in lines], float)
-    chars = length + [0 if x[0].isascii() else sum(c > "\u2e7f" for c in x[0][:40]) for x in lines]  # a Han character says about as much as two letters
+    chars = np.array([_said(x[0]) for x in lines], float)
     tags, links, block = (np.array(x) for x in list(zip(*lines, strict=True))[1:])
     linked = np.minimum(1, links / length)
     free = chars * (1 - linked)
@@ -193,7 +201,7 @@ def page_lines(html: str | None, plain: str | None) -> tuple[list[str], list[int
     own = _plain_lines(plain) if plain is not None else None
     if not html:
         own = own or []
-        lengths = np.array([len(x) + sum(c > "⹿" for c in x[:40]) for x in own], float)
+        lengths = np.array([_said(x) for x in own], float)
         return own, [-1] * len(own), (regions(lengths) * REGION_WEIGHT).tolist() if own else []
     page = parse(html)
     if not page.lines:

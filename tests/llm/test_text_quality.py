@@ -146,6 +146,14 @@ def test_lines_of_html():
     assert got == ["a & b", "c", "d", "e", "f", "g"]
 
 
+def test_wide_characters_count_over_the_whole_line(monkeypatch):
+    seen = []
+    monkeypatch.setattr(p4, "regions", lambda *a: seen.append(list(a[0])) or a[0] * 0)
+    p4.page_lines(None, f"{'页' * 100}\n{'a' * 60}{'页' * 50}\nabc\né")
+    p4.page_lines(f"<p>{'页' * 100}</p>", None)
+    assert seen == [[200, 160, 3, 1], [200 / 2]]  # by tag
+
+
 PLAIN = ["Größere Gruppen prüfen für Ärger", "Le délai a été réduit à l'été – déjà “vu”", "升级到以后，默认值发生了变化。", "La conexión rápida: ¿qué cambió?"]
 
 
