@@ -220,5 +220,5 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_clean_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``result_id`` of the search results that remain once residue is excluded (rows without a snippet stay)."""
     results, extractions = _tables(spark, sf_dir)
-    bad = residue(results, extractions.where("false")).where("origin = 'search_results'").select(F.col("row_id").alias("result_id"))
+    bad = residue(results, extractions).where("origin = 'search_results'").select(F.col("row_id").alias("result_id"))
     return results.select("result_id").join(bad, "result_id", "left_anti")

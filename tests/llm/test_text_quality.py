@@ -57,6 +57,15 @@ def test_residue_in_paragraphs(spark):
     assert [x.row_id for x in p1.residue(results(spark, kept[:1]), lines).collect()] == [0]
 
 
+def test_clean_results_are_those_not_found(spark, tmp_path):
+    # a weak wording alone is too little; with three addresses and hosts, two of them pages, it is residue
+    weak = "Try again later, please wait for {{ name }} until all of it is here and the rest of it has come in too"
+    spark.createDataFrame([(1, "Caches", "https://a.example/x", weak, "a"), (2, "Caches", "https://b.example/y", "A plain snippet about caches.", "a"), (3, None, None, None, "a")], RESULTS).write.parquet(f"{tmp_path}/search_results.parquet")
+    pages(spark, *((None, f"https://p{k}.example/z", None, weak) for k in range(4))).write.parquet(f"{tmp_path}/extractions.parquet")
+    found = {r.row_id for r in p1.p1_found(spark, str(tmp_path)).where("origin = 'search_results'").collect()}
+    assert {r.result_id for r in p1.p1_clean_results(spark, str(tmp_path)).collect()} == {1, 2, 3} - found == {2, 3}
+
+
 def sentences(n, seed=0):
     rng = random.Random(seed)
     who, does, what = ["The worker", "Each node", "A client", "The agent"], ["reads", "writes", "drops", "checks"], ["the settings file", "a snapshot of the table", "every pending request", "the audit log"]
