@@ -30,7 +30,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 def flagged(rows: DataFrame) -> DataFrame:
     """Adds what the metrics need to ranked rows with ``gold``."""
-    return rows.withColumn("is_gold", E.is_gold(bare_host(F.col("url")), F.col("gold"))).withColumn("junk", E.is_junk(bare_host(F.col("url")))).withColumn("aggregator", E.is_aggregator(F.col("url")))
+    return rows.withColumn("is_gold", E.is_gold(bare_host(F.col("url")), F.col("gold"))).withColumn("junk", E.is_junk(bare_host(F.col("url")))).withColumn("aggregator", E.is_aggregator(F.col("url"))).withColumn("chars", F.length(F.coalesce("snippet", F.lit(""))))
 
 
 _JUNK = "({})$".format("|".join(t.replace(".", r"\.") for t in E.JUNK_TLDS))
@@ -89,7 +89,9 @@ plain AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, fi
 WITH RECURSIVE {S.SIGNALS}, {_PLAIN_SQL}, {_metrics_sql('ranking', 'pool, query_id, lang')}, {_metrics_sql('plain', 'pool, query_id, lang')}
 SELECT a.pool, round(a.ndcg5, 6) AS ndcg5_a, round(b.ndcg5, 6) AS ndcg5_b, round(b.ndcg5 - a.ndcg5, 6) AS delta FROM metrics_plain a JOIN metrics_ranking b USING (pool) WHERE abs(b.ndcg5 - a.ndcg5) >= 0.005""")
 def run_compare(spark: SparkSession, d: str) -> DataFrame:
-    c = E.compared(_by_query(spark, d, PLAIN), _by_query(spark, d), ["pool"])
+    both = _grid(spark, d, [("a", PLAIN), ("b", R.DEFAULT)])
+    one = both.groupBy("pool").agg(*[F.max(F.when(F.col("config") == x, F.col("ndcg5"))).alias(f"ndcg5_{x}") for x in "ab"])
+    c = one.withColumn("delta", F.col("ndcg5_b") - F.col("ndcg5_a")).where(F.abs("delta") >= 0.005)
     return c.select("pool", *[F.round(x, 6).alias(x) for x in ("ndcg5_a", "ndcg5_b", "delta")])
 
 
@@ -99,17 +101,35 @@ PENALTIES = [(e, p) for e in (0.0, 0.15, 0.25, 0.4, 0.6, 0.8) for p in (0.0, 0.1
 FLOORS = (0.12, 0.2, 0.25, 0.3, 0.4, 0.5)
 
 
-def _grid(spark: SparkSession, d: str, settings: list[tuple[str, R.RankConfig]], with_bm25: bool) -> DataFrame:
-    """All configurations in one job: the table of configurations (a fixed number) crosses the signals, which are made once."""
-    table = F.broadcast(R.configs(spark, settings))
-    rows = flagged(L.signals(spark, d, with_bm25=with_bm25).drop("terms")).crossJoin(table)
+#: What the configurations of a grid need of each row.
+SIGNALS = ["pool", "query_id", "lang", "first_idx", "engines", "lower", "coverage", "bm25", "authority", "tutorial", "mirror", "homepage", "host_n", "listed", "echo_share", "pool_coverage", "pool_authority", "is_gold", "junk", "aggregator", "chars"]
+
+
+def _ranked_grid(spark: SparkSession, d: str, settings: list[tuple[str, R.RankConfig]]) -> DataFrame:
+    """Ranked rows of all configurations in one job: the list of configurations crosses the signals, which are made once.
+
+    What differs by pool only (the normalised fusion of each setting, the best of the pool) is made before the
+    crossing, so that crossed rows are sorted once, for their rank, and never shuffled.
+    """
+    fusions = list(dict.fromkeys((c.rrf_k, c.engine_weighted, c.quality_power) for _, c in settings))
+    rows = R.with_pool_best(flagged(L.signals(spark, d, with_bm25=any(c.w_bm25 or c.mode == "legacy" for _, c in settings), with_qualities=any(p for *_, p in fusions))))
+    pool = Window.partitionBy("pool")
+    for k, x in enumerate(fusions):
+        rows = rows.withColumn(f"_raw{k}", R.rrf_raw(*x))
+    rows = rows.select(*SIGNALS, F.array(*[F.col(f"_raw{k}") / F.greatest(F.max(f"_raw{k}").over(pool), F.lit(1e-9)) for k in range(len(fusions))]).alias("fusions"))
+    table = R.configs(spark, settings).withColumn("fusion", F.lit(None).cast("int"))
+    for k, (n, w, p) in enumerate(fusions):
+        table = table.withColumn("fusion", F.when((F.col("rrf_k") == n) & (F.col("engine_weighted") == w) & (F.col("quality_power") == p), k).otherwise(F.col("fusion")))
+    crossed = rows.crossJoin(F.broadcast(table)).withColumn("rrf", F.get("fusions", F.col("fusion")))  # as many rows as the caller lists
     column = R.RankConfig(**{f.name: F.col(f.name) for f in fields(R.RankConfig)})
-    scored = rows.withColumn("final_score", R.fused_score(column))
-    w = Window.partitionBy("config", "pool")
-    ok = ((F.col("coverage") >= F.col("cov_floor")) | ((F.col("w_authority") > 0) & (F.col("authority") >= 0.9))).cast("int")
-    floored = scored.withColumn("_ok", ok).withColumn("_best", F.max("coverage").over(w)).withColumn("_left", F.sum("_ok").over(w)).where((F.col("_best") < F.col("cov_best_gate")) | (F.col("_ok") == 1) | (F.col("_left") == 0))
-    ranked = R.ranked(floored, by=["config", "pool"])
-    return E.metrics(ranked, ["config", "pool", "query_id", "lang"])
+    kept = crossed.where(R.above_floor(column)).withColumn("echo", R.echo_penalty(column))
+    score = F.when(F.col("mode") == "legacy", R.legacy_score()).otherwise(R.fused_score(column))
+    return R.ranked(kept.withColumn("final_score", score), by=["config", "pool"])
+
+
+def _grid(spark: SparkSession, d: str, settings: list[tuple[str, R.RankConfig]]) -> DataFrame:
+    """Metrics of each configuration and pool."""
+    return E.metrics(_ranked_grid(spark, d, settings), ["config", "pool", "query_id", "lang"])
 
 
 def _means(m: DataFrame) -> DataFrame:
@@ -132,26 +152,26 @@ _MEANS3 = "config, count(*) AS queries, round(avg(hit1), 4) AS hit1, round(avg(m
     f"scored_bm AS (SELECT * FROM scored), cfg AS (SELECT * FROM (VALUES {', '.join(f'''('echo={e} lower={p}', {e}::DOUBLE, {p}::DOUBLE)''' for e, p in PENALTIES)}) t(config, e, p))",
     "rrf - p * lower_host::INT - e * echo + 0.18 * authority - 0.08 * tutorial - 0.18 * mirror - 0.10 * homepage") + f" SELECT {_MEANS3} FROM metrics_grid GROUP BY config")
 def penalty_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _means(_grid(spark, d, [(f"echo={e} lower={p}", R.RankConfig(echo_penalty=e, lower_penalty=p)) for e, p in PENALTIES], False))
+    return _means(_grid(spark, d, [(f"echo={e} lower={p}", R.RankConfig(echo_penalty=e, lower_penalty=p)) for e, p in PENALTIES]))
 
 
 @query(_grid_sql(
     f"scored_bm AS (SELECT * FROM scored), cfg AS (SELECT * FROM (VALUES {', '.join(f'''('floor={x}', {x}::DOUBLE)''' for x in FLOORS)}) t(config, cf))", f"rrf - 0.15 * lower_host::INT {_BASE}", "cf") + f" SELECT {_MEANS3} FROM metrics_grid GROUP BY config")
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _means(_grid(spark, d, [(f"floor={x}", R.RankConfig(cov_floor=x)) for x in FLOORS], False))
+    return _means(_grid(spark, d, [(f"floor={x}", R.RankConfig(cov_floor=x)) for x in FLOORS]))
 
 
 @query()
 def config_grid(spark: SparkSession, d: str) -> DataFrame:
     """The joint grid of 108 points (no SQL: the crossed rows are slow there; the smaller grids check the same plan)."""
-    return _means(_grid(spark, d, [(f"rrf={a} cov={b} bm25={c}", R.RankConfig(w_rrf=a, w_coverage=b, w_bm25=c)) for a, b, c in GRID], True))
+    return _means(_grid(spark, d, [(f"rrf={a} cov={b} bm25={c}", R.RankConfig(w_rrf=a, w_coverage=b, w_bm25=c)) for a, b, c in GRID]))
 
 
 @query(_grid_sql(
     f"scored_bm AS (SELECT * FROM scored), cfg AS (SELECT * FROM (VALUES {', '.join(f'''('floor={x}', {x}::DOUBLE)''' for x in FLOORS)}) t(config, cf))", f"rrf - 0.15 * lower_host::INT {_BASE}", "cf") + """
 SELECT lang, arg_max(config, {'n': ndcg5, 'c': config}) AS best, max(ndcg5) AS ndcg5 FROM (SELECT coalesce(lang, '(none)') AS lang, config, round(avg(ndcg5), 4) AS ndcg5 FROM metrics_grid GROUP BY ALL) GROUP BY lang""")
 def best_config(spark: SparkSession, d: str) -> DataFrame:
-    m = _grid(spark, d, [(f"floor={x}", R.RankConfig(cov_floor=x)) for x in FLOORS], False)
+    m = _grid(spark, d, [(f"floor={x}", R.RankConfig(cov_floor=x)) for x in FLOORS])
     means = m.groupBy(F.coalesce("lang", F.lit("(none)")).alias("lang"), "config").agg(F.round(F.avg("ndcg5"), 4).alias("ndcg5"))
     return means.groupBy("lang").agg(F.max_by("config", F.struct("ndcg5", "config")).alias("best"), F.max("ndcg5").alias("ndcg5"))
 

@@ -115,7 +115,7 @@ _WORDS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\
 
 
 @query(f"""
-WITH w AS (SELECT result_id, query_id * 100000000 + coalesce(floor(epoch(captured_at) / 60), 0)::BIGINT AS pool, {_WORDS.format('title')} AS w FROM search_results WHERE query_id IS NOT NULL)
+WITH w AS (SELECT result_id, {S.POOL} AS pool, {_WORDS.format('title')} AS w FROM search_results WHERE query_id IS NOT NULL)
 SELECT a.result_id AS a, b.result_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity
 FROM w a JOIN w b ON a.pool = b.pool AND a.result_id < b.result_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.85""")
 def title_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ stats AS (SELECT pool, field, avg(len(words)) AS avg_n, count(*) AS n_docs FROM
 hits AS (SELECT * FROM (SELECT pool, key, field, boost, len(words) AS n, word, len(list_filter(words, lambda w: w = word)) AS tf FROM (SELECT *, unnest(list_distinct(wanted)) AS word FROM fields)) WHERE tf > 0),
 dfs AS (SELECT pool, field, word, count(*) AS df FROM hits GROUP BY ALL),
 bm AS (
-  SELECT pool, key, sum(boost * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * n / avg_n)))) AS bm25_raw
+  SELECT pool, key, count(DISTINCT word) * sum(boost * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * n / avg_n)))) AS bm25_raw
   FROM hits JOIN dfs USING (pool, field, word) JOIN stats USING (pool, field) GROUP BY pool, key),
 bms AS (SELECT pool, key, bm25_raw, bm25_raw / max(bm25_raw) OVER (PARTITION BY pool) AS bm25 FROM bm)
 """
@@ -181,7 +181,7 @@ bms AS (SELECT pool, key, bm25_raw, bm25_raw / max(bm25_raw) OVER (PARTITION BY
 @query(f"WITH RECURSIVE {S.TITLES}, {S.QUERIES_CLEAN}, {_FIELDS} SELECT pool, key, round(bm25_raw, 6) AS bm25_raw, round(bm25, 6) AS bm25 FROM bms")
 def bm25_pool(spark: SparkSession, d: str) -> DataFrame:
     rows = L.with_query(L.merged_rows(spark, d), spark, d)
-    return R.bm25(rows, ["key"]).select("pool", "key", F.round("bm25_raw", 6).alias("bm25_raw"), F.round("bm25", 6).alias("bm25"))
+    return R.with_bm25(rows).where("bm25_raw is not null").select("pool", "key", F.round("bm25_raw", 6).alias("bm25_raw"), F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"""
@@ -251,7 +251,7 @@ def _api(source):  # noqa: ANN001, ANN202
 
 
 _API_SQL = "len(list_intersect(list_transform(string_split(coalesce(source, ''), '+'), lambda s: trim(s)), ['tavily', 'bocha', 'zhipu'])) > 0"
-_CAPTURED = "captured AS (SELECT *, query_id * 100000000 + coalesce(floor(epoch(captured_at) / 60), 0)::BIGINT AS pool FROM search_results WHERE query_id IS NOT NULL)"
+_CAPTURED = f"captured AS (SELECT *, {S.POOL} AS pool FROM search_results WHERE query_id IS NOT NULL)"
 
 
 @query(f"""

@@ -16,9 +16,10 @@ def is_gold(host: Column, gold: Column) -> Column:
     return F.coalesce(F.exists(gold, lambda g: (host == F.lower(g)) | F.endswith(host, F.concat(F.lit("."), F.lower(g)))), F.lit(False))
 
 
-def is_junk(host: Column) -> Column:
-    """True for hosts of junk top-level domains."""
-    return host.rlike("(" + "|".join(t.replace(".", r"\.") for t in JUNK_TLDS) + ")$")
+def is_junk(host: Column, actions: Column | None = None) -> Column:
+    """True for hosts of junk top-level domains, and for those that a rule removes (``actions``: the rules' actions for the host, or null)."""
+    junk = host.rlike("(" + "|".join(t.replace(".", r"\.") for t in JUNK_TLDS) + ")$")
+    return junk if actions is None else junk | F.coalesce(F.array_contains(actions, F.lit("remove")), F.lit(False))
 
 
 def is_aggregator(url: Column) -> Column:
@@ -28,13 +29,13 @@ def is_aggregator(url: Column) -> Column:
 def metrics(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each of ``keys``: hits, MRR, precision, nDCG over the first K ranks, and snippet counts.
 
-    ``ranked`` has ``rank``, ``is_gold``, ``junk``, ``aggregator``, ``snippet`` and ``coverage``. Precision
+    ``ranked`` has ``rank``, ``is_gold``, ``junk``, ``aggregator``, ``chars`` (of the snippet) and ``coverage``. Precision
     divides by the smaller of K and the number of rows; the ideal of nDCG has as many gold rows as were
     found. One aggregation with map-side combination; nothing is gathered by query.
     """
     top = F.col("rank") <= K
     gold = F.col("is_gold")
-    length = F.length(F.coalesce(F.col("snippet"), F.lit("")))
+    length = F.col("chars")
     hit = lambda k: F.max(F.when(gold & (F.col("rank") <= k), 1).otherwise(0))
     agg = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.constants import AGGREGATOR_HOSTS
 from rankloom.functions.text import jaccard, split_sources, word_set
 from rankloom.functions.urls import host_suffixes, with_address
-from rankloom.plans.skew import salted_join
+from rankloom.plans.skew import bounded, salted_join
 
 #: Titles of two rows that are more alike than this are one page.
 SAME_TITLE = 0.85
@@ -33,33 +33,38 @@ def clean_rules(rules: DataFrame) -> DataFrame:
 
 
 def match_rules(hosts: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    """``key`` of each distinct host with the ``actions`` of all rules that match it (hosts without a match don't appear).
+    """``key`` of each distinct host with the ``actions`` of all rules that match it and, as ``bare_actions``, of those that match
+    it without its ``www.`` (hosts without a match don't appear).
 
     A domain rule matches the host itself and its subdomains, a 'sub' rule only subdomains, a 'tld' rule any
-    host that ends with it, with or without the dot. Hosts are expanded into their parent domains, so the
-    join is a hash join on equality; the rule table is fixed and small, and broadcast.
+    host that ends with it, with or without the dot. Hosts are expanded into their parent domains and, for
+    'tld' rules, into all their endings, so that one hash join on equality matches all kinds; the aggregation
+    keeps the partitioning of the distinct hosts.
     """
-    r = F.broadcast(clean_rules(rules).withColumnRenamed("domain", "_rule"))
-    distinct = hosts.select(key).where(F.col(key) != "").distinct()
-    parts = distinct.select(key, F.posexplode(host_suffixes(F.col(key))).alias("_depth", "_rule"))
-    by_label = parts.join(r.where("kind <> 'tld'"), "_rule").where((F.col("kind") == "domain") | (F.col("_depth") > 0)).select(key, "action")
-    # a 'tld' rule may end inside a label, so every ending of the host is tried
-    ends = distinct.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda k: F.substring(F.col(key), -k, k))).alias("_rule"))
-    by_end = ends.join(r.where("kind = 'tld'"), "_rule").select(key, "action")
-    return by_label.unionByName(by_end).groupBy(key).agg(F.collect_set("action").alias("actions"))
+    h = F.col(key)
+    r = bounded(clean_rules(rules).select(F.struct("domain", (F.col("kind") == "tld").alias("end")).alias("_rule"), "kind", "action"))
+    distinct = hosts.select(key).where(h != "").distinct()
+    parents = F.transform(host_suffixes(h), lambda x: F.struct(x.alias("domain"), F.lit(False).alias("end")))
+    # a 'tld' rule may end inside a label
+    ends = F.transform(F.sequence(F.lit(1), F.length(h)), lambda k: F.struct(F.substring(h, -k, k).alias("domain"), F.lit(True).alias("end")))
+    found = distinct.select(key, F.explode(F.concat(parents, ends)).alias("_rule")).join(r, "_rule")
+    own, bare = F.length(h), F.length(h) - F.when(F.startswith(h, F.lit("www.")), 4).otherwise(0)
+    n = F.length("_rule.domain")
+    fits = lambda size: F.when(F.col("kind") == "sub", n < size).otherwise(n <= size)
+    return found.groupBy(key).agg(F.collect_set(F.when(fits(own), F.col("action"))).alias("actions"), F.collect_set(F.when(fits(bare), F.col("action"))).alias("bare_actions")).where(F.size("actions") > 0)
 
 
 def kept(results: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates that stay: valid address, no picture or video list, host not removed.
 
-    Adds ``host``, ``domain`` (without ``www.``), ``key``, ``lower`` (the host ranks lower) and ``sources``.
+    Adds ``host``, ``domain`` (without ``www.``), ``key``, ``lower`` (the host ranks lower), ``acts`` (the rules' actions for the domain) and ``sources``.
     """
     rows = with_address(results).where("host <> ''")
     rows = rows.where(~F.col("url").rlike(f"(?i){AGGREGATOR_HOSTS}") & ~F.coalesce(F.col("title"), F.lit("")).rlike("百度图片|视频大全"))
-    acts = match_rules(rows, rules)
+    acts = match_rules(with_address(results.select("url")), rules)
     joined = salted_join(rows, acts, ["host"], by="result_id", how="left")
     has = lambda a: F.coalesce(F.array_contains("actions", F.lit(a)), F.lit(False))
-    return joined.where(~has("remove")).withColumn("lower", has("lower")).withColumn("sources", split_sources(F.col("source")))
+    return joined.where(~has("remove")).withColumn("lower", has("lower")).withColumn("sources", split_sources(F.col("source"))).withColumn("acts", F.coalesce("bare_actions", F.array().cast("array<string>"))).drop("actions", "bare_actions")
 
 
 def with_engine_ranks(rows: DataFrame, order: str = "idx") -> DataFrame:
@@ -77,50 +82,63 @@ def merged_by_key(rows: DataFrame) -> DataFrame:
     """One row for each query and address key.
 
     The first row gives title and url; the engines are united in order of appearance, each with its best
-    rank; ``snippet`` is the longest one, the earliest among equals; ``first_idx`` is the first place.
+    rank; ``snippet`` is the longest one, the earliest among equals; ``first_idx`` is the first place. Rows
+    that are partitioned by pool stay so: there is no shuffle and no join.
     """
-    ranks = with_engine_ranks(rows).groupBy("pool", "key", "engine").agg(F.min("rank").alias("rank"), F.min("idx").alias("seen"))
-    engines = ranks.groupBy("pool", "key").agg(F.array_sort(F.collect_list(F.struct("seen", "engine", "rank"))).alias("engines"))
-    s = F.coalesce(F.col("snippet"), F.lit(""))
-    first = rows.groupBy("pool", "key").agg(
-        F.min_by(F.struct("title", "url", "host", "domain"), "idx").alias("f"),
-        F.max_by(F.col("snippet"), F.struct(F.length(s), -F.col("idx"))).alias("snippet"),
-        F.min("idx").alias("first_idx"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max_by(F.col("lower"), -F.col("idx")).alias("lower"),
+    each = rows.select("pool", "key", "idx", "title", "url", "host", "domain", "acts", "lower", "snippet", F.posexplode_outer("sources").alias("nth", "engine"))
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("pool", "engine").orderBy("idx", "nth")))
+    size = F.length(F.coalesce("snippet", F.lit("")))
+    by_engine = each.groupBy("pool", "key", "engine").agg(
+        F.min("rank").alias("rank"),
+        F.min("idx").alias("seen"),
+        F.min_by(F.struct("title", "url", "host", "domain", "acts", "lower"), "idx").alias("f"),
+        F.max_by(F.struct(size.alias("size"), (-F.col("idx")).alias("place"), "snippet"), F.struct(size, -F.col("idx"))).alias("s"),
+        F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("n_rows"),
     )
-    one = first.join(engines, ["pool", "key"], "left")
-    return one.select("pool", "key", "f.*", "snippet", "first_idx", "n_rows", "lower", F.coalesce("engines", F.array().cast("array<struct<seen:int,engine:string,rank:int>>")).alias("engines"))
+    one = by_engine.groupBy("pool", "key").agg(
+        F.min_by("f", "seen").alias("f"),
+        F.max_by("s", F.struct("s.size", "s.place"))["snippet"].alias("snippet"),
+        F.min("seen").alias("first_idx"),
+        F.sum("n_rows").alias("n_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("engine").isNotNull(), F.struct("seen", "engine", "rank")))).alias("engines"),
+    )
+    return one.select("pool", "key", "f.*", "snippet", "first_idx", "n_rows", "engines")
 
 
 def merged_by_title(rows: DataFrame) -> DataFrame:
     """Rows of a query whose titles are alike joined to the first such row, in order and not transitively.
 
     A row joins the first kept row whose title's word set it is more than SAME_TITLE like; the kept row's
-    title stays. Only rows that share a rare word with another can be alike, so each query's fold runs over
-    its merged rows, not over its captures.
+    title stays. Each query's fold runs over its merged rows, not over its captures. Rows that are
+    partitioned by pool stay so: there is no shuffle and no join.
     """
-    item = F.struct("first_idx", "key", word_set(F.col("title")).alias("words"))
-    pools = rows.groupBy("pool").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    carried = ["title", "url", "host", "domain", "acts", "lower", "snippet", "n_rows", "engines"]
+    pools = rows.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("first_idx", "key", word_set(F.col("title")).alias("words"), F.struct(*carried).alias("row")))).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
-        heads = F.filter(acc, lambda h: (h["head"] == h["key"]) & (jaccard(h["words"], x["words"]) > SAME_TITLE))
-        head = F.when(F.size(heads) > 0, F.get(heads, F.lit(0))["key"]).otherwise(x["key"])
-        return F.concat(acc, F.array(F.struct(x["key"].alias("key"), head.alias("head"), x["words"].alias("words"))))
-
-    start = F.array().cast("array<struct<key:string,head:string,words:array<string>>>")
-    folded = pools.select("pool", F.explode(F.aggregate("items", start, step)).alias("x")).select("pool", "x.key", "x.head")
-    both = rows.join(folded, ["pool", "key"])
-    s = F.coalesce(F.col("snippet"), F.lit(""))
-    first = both.groupBy("pool", "head").agg(
-        F.min_by(F.struct("title", "url", "host", "domain", "lower"), "first_idx").alias("f"),
-        F.max_by(F.col("snippet"), F.struct(F.length(s), -F.col("first_idx"))).alias("snippet"),
+        like = F.filter(acc, lambda h: jaccard(h["words"], x["words"]) > SAME_TITLE)
+        return F.when(F.size(like) > 0, acc).otherwise(F.concat(acc, F.array(F.struct(x["key"].alias("key"), x["words"].alias("words")))))
+
+    start = F.array().cast("array<struct<key:string,words:array<string>>>")
+    # the first kept row that is like a row was kept before it, or is the row itself
+    heads = F.aggregate("items", start, step)
+    head_of = lambda x: F.coalesce(F.get(F.filter(F.col("heads"), lambda h: (h["key"] == x["key"]) | (jaccard(h["words"], x["words"]) > SAME_TITLE)), F.lit(0))["key"], x["key"])
+    both = pools.withColumn("heads", heads).select("pool", F.explode(F.transform("items", lambda x: F.struct(head_of(x).alias("head"), x["first_idx"].alias("first_idx"), x["key"].alias("key"), x["row"].alias("row")))).alias("x"))
+    each = both.select("pool", "x.head", "x.first_idx", "x.row", F.posexplode_outer("x.row.engines").alias("nth", "e"))
+    size = F.length(F.coalesce("row.snippet", F.lit("")))
+    best = each.groupBy("pool", "head", "e.engine").agg(
+        F.min("e.rank").alias("rank"),
+        F.min(F.struct("first_idx", "e.seen")).alias("seen"),
+        F.min_by(F.struct("row.title", "row.url", "row.host", "row.domain", "row.acts", "row.lower"), "first_idx").alias("f"),
+        F.max_by(F.struct(size.alias("size"), (-F.col("first_idx")).alias("place"), F.col("row.snippet").alias("snippet")), F.struct(size, -F.col("first_idx"))).alias("s"),
+        F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("row.n_rows")).otherwise(0)).alias("n_rows"),
+        F.min("first_idx").alias("first_idx"),
+    )
+    one = best.groupBy("pool", "head").agg(
+        F.min_by("f", "first_idx").alias("f"),
+        F.max_by("s", F.struct("s.size", "s.place"))["snippet"].alias("snippet"),
         F.min("first_idx").alias("first_idx"),
         F.sum("n_rows").alias("n_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("engine").isNotNull(), F.struct("seen", "engine", "rank")))).alias("engines"),
     )
-    each = both.select("pool", "head", "first_idx", F.explode("engines").alias("e"))
-    best = each.groupBy("pool", "head", "e.engine").agg(F.min("e.rank").alias("rank"), F.min(F.struct("first_idx", "e.seen")).alias("seen"))
-    engines = best.groupBy("pool", "head").agg(F.array_sort(F.collect_list(F.struct("seen", "engine", "rank"))).alias("engines"))
-    one = first.join(engines, ["pool", "head"], "left")
-    empty = F.array().cast("array<struct<seen:struct<first_idx:int,seen:int>,engine:string,rank:int>>")
-    return one.select("pool", F.col("head").alias("key"), "f.*", "snippet", "first_idx", "n_rows", F.coalesce("engines", empty).alias("engines"))
+    return one.select("pool", F.col("head").alias("key"), "f.*", "snippet", "first_idx", "n_rows", "engines")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.constants import AGGREGATOR_HOSTS, DEFAULT_ENGINE_WEIGHT, DOC_HOST, DOC_PATH, ECHO_WORDS, ENGINE_WEIGHTS
 from rankloom.functions.text import coverage, query_terms, tokens
 from rankloom.functions.urls import is_homepage, path_segments
-from rankloom.operators.pool import match_rules
-from rankloom.plans.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -58,66 +56,93 @@ def with_coverage(rows: DataFrame, q: str = "q") -> DataFrame:
     return rows.withColumn("terms", query_terms(F.col(q))).withColumn("coverage", coverage(F.col("terms"), F.col("title"), F.col("snippet")))
 
 
-def with_host_signals(rows: DataFrame, rules: DataFrame, config: RankConfig = DEFAULT) -> DataFrame:
-    """Adds ``authority`` (0 to 1), ``tutorial``, ``mirror``, ``homepage`` and ``host_n``.
+def with_host_signals(rows: DataFrame, config: RankConfig = DEFAULT) -> DataFrame:
+    """Adds ``authority`` (0 to 1), ``tutorial``, ``mirror``, ``homepage`` and ``host_n`` to merged rows with ``acts`` of the rules.
 
     Tiers of authority: a mirror has none; an authority host 1, or 0.9 if it is a ``www.`` host that isn't a
     documentation host; a host that holds a word of the query 0.6; a documentation path of two segments or
     more 0.4. The hosts come without ``www.`` from the merge, so 0.9 occurs for raw hosts only.
     """
-    acts = match_rules(rows, rules, "domain").withColumnRenamed("actions", "acts")
-    r = salted_join(rows, acts, ["domain"], by="key", how="left")
-    has = lambda a: F.coalesce(F.array_contains("acts", F.lit(a)), F.lit(False))
+    has = lambda a: F.array_contains("acts", F.lit(a))
     words = F.filter(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col("q"), F.lit(""))), F.lit(r"([a-z][a-z0-9.+#\-]{2,})"), F.lit(1)), lambda w: F.regexp_replace(w, r"[.+#\-]", "")), lambda w: F.length(w) >= 3)
     flat = F.regexp_replace("domain", r"[.\-]", "")
     named = F.exists(words, lambda w: F.contains(flat, w))
     doc_path = F.col("url").rlike(DOC_PATH) & (path_segments(F.col("url")) >= 2)
     www = F.col("domain").rlike(r"^www\.") & ~F.col("domain").rlike(DOC_HOST)
     authority = F.when(has("mirror"), 0.0).when(has("authority"), F.when(www, 0.9).otherwise(1.0)).when(named, 0.6).when(doc_path, 0.4).otherwise(0.0)
-    r = r.withColumn("authority", authority).withColumn("tutorial", has("tutorial").cast("int")).withColumn("mirror", has("mirror").cast("int"))
+    r = rows.withColumn("authority", authority).withColumn("tutorial", has("tutorial").cast("int")).withColumn("mirror", has("mirror").cast("int"))
     r = r.withColumn("homepage", (is_homepage(F.col("url")) & (F.col("coverage") <= config.homepage_cov_max)).cast("int")).drop("acts")
     return r.withColumn("host_n", F.count(F.lit(1)).over(Window.partitionBy("pool", "domain")))
 
 
-def echo_penalty(config: RankConfig = DEFAULT) -> Column:
-    """1 for picture and video lists, and for titles that repeat the query among catch-all words."""
+def with_echo(rows: DataFrame) -> DataFrame:
+    """Adds ``listed`` (a picture or video list) and ``echo_share``: how much of the query a title with catch-all words repeats, else null."""
     title = F.coalesce(F.col("title"), F.lit(""))
-    repeats = (title != "") & (coverage(F.col("terms"), title, F.lit("")) >= config.echo_ratio) & title.rlike(f"(?i){ECHO_WORDS}")
-    return F.when(F.col("url").rlike(f"(?i){AGGREGATOR_HOSTS}") | repeats, 1).otherwise(0)
+    share = F.when((title != "") & title.rlike(f"(?i){ECHO_WORDS}"), coverage(F.col("terms"), title, F.lit("")))
+    return rows.withColumn("listed", F.col("url").rlike(f"(?i){AGGREGATOR_HOSTS}")).withColumn("echo_share", share)
+
+
+def echo_penalty(config: RankConfig = DEFAULT) -> Column:
+    """1 for picture and video lists, and for titles that repeat the query among catch-all words; of rows from ``with_echo``."""
+    return F.when(F.col("listed") | F.coalesce(F.col("echo_share") >= config.echo_ratio, F.lit(False)), 1).otherwise(0)
+
+
+def rrf_raw(k: float | Column = 20.0, weighted: bool | Column = False, power: float | Column = 0.0) -> Column:
+    """Sum over the engines of w / (k + rank), of an ``engines`` array of structs.
+
+    ``w`` is 1, or the engine's weight if ``weighted``, times the quality of the engine in the pool to the ``power``; a
+    power other than 0 needs ``qualities``, a map from engine to quality. The settings may be Columns.
+    """
+    k, weighted = (x if isinstance(x, Column) else F.lit(x) for x in (k, weighted))
 
+    def one(e: Column) -> Column:
+        w = F.when(weighted, engine_weight(e["engine"])).otherwise(1.0)
+        if isinstance(power, Column) or power:
+            quality = F.greatest(F.element_at("qualities", e["engine"]), F.lit(0.01))
+            w = w * F.coalesce(F.pow(quality, power if isinstance(power, Column) else F.lit(power)), F.lit(1.0))
+        return w / (k + e["rank"])
 
-def rrf_raw(k: float = 20.0, weighted: bool = False) -> Column:
-    """Sum over the engines of 1 / (k + rank), of an ``engines`` array of structs; engines may be weighted."""
-    w = (lambda e: engine_weight(e["engine"])) if weighted else (lambda e: F.lit(1.0))
-    return F.aggregate("engines", F.lit(0.0), lambda acc, e: acc + w(e) / (F.lit(k) + e["rank"]))
+    return F.aggregate("engines", F.lit(0.0), lambda acc, e: acc + one(e))
 
 
-def with_rrf(rows: DataFrame, k: float = 20.0, weighted: bool = False) -> DataFrame:
+def with_qualities(rows: DataFrame) -> DataFrame:
+    """Adds ``qualities``: for each engine of the pool the mean coverage of its merged rows. No shuffle for rows partitioned by pool."""
+    pool = Window.partitionBy("pool")
+    own = F.flatten(F.collect_list(F.transform("engines", lambda e: F.struct(e["engine"].alias("engine"), F.col("coverage").alias("coverage")))).over(pool))
+    names = F.array_distinct(F.transform("_all", lambda x: x["engine"]))
+    mean = lambda n: F.aggregate(F.filter("_all", lambda x: x["engine"] == n), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x["coverage"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / a["n"])
+    return rows.withColumn("_all", own).withColumn("qualities", F.map_from_arrays(names, F.transform(names, mean))).drop("_all")
+
+
+def with_rrf(rows: DataFrame, k: float | Column = 20.0, weighted: bool | Column = False, power: float | Column = 0.0, by: list[str] | None = None) -> DataFrame:
     """Adds ``rrf_raw`` and ``rrf``, which is relative to the best of the pool."""
-    best = F.max("rrf_raw").over(Window.partitionBy("pool"))
-    return rows.withColumn("rrf_raw", rrf_raw(k, weighted)).withColumn("rrf", F.col("rrf_raw") / F.greatest(best, F.lit(1e-9)))
+    best = F.max("rrf_raw").over(Window.partitionBy(*(by or ["pool"])))
+    return rows.withColumn("rrf_raw", rrf_raw(k, weighted, power)).withColumn("rrf", F.col("rrf_raw") / F.greatest(best, F.lit(1e-9)))
 
 
-def bm25(rows: DataFrame, key: list[str], k1: float = 1.2, b: float = 0.7, d: float = 0.5, title_boost: float = 3.0) -> DataFrame:
-    """``pool``, ``key``, ``bm25_raw``, ``bm25`` of the rows that hold a word of their query.
+def with_bm25(rows: DataFrame, k1: float = 1.2, b: float = 0.7, d: float = 0.5, title_boost: float = 3.0) -> DataFrame:
+    """``rows`` (unique by pool and key) with ``bm25_raw``, null for rows without a word of their query, and ``bm25``, relative to the best of the pool (0 for those).
 
-    BM25+ over the pool's own statistics, with title and body as fields; relative to the best of the pool.
-    Words are pre-aggregated by row before the statistics of the pool are gathered.
+    BM25+ over the pool's own statistics, with title and body as fields; the sum is multiplied by the number
+    of different words that matched. Rows that are partitioned by pool stay so: windows, no join.
     """
+    names = rows.columns
     fields = F.array(
         F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("words"), F.lit(title_boost).alias("boost")),
         F.struct(F.lit("text").alias("field"), tokens(F.concat_ws(" ", F.coalesce("snippet", F.lit("")), "domain", "url")).alias("words"), F.lit(1.0).alias("boost")),
     )
-    own = rows.select("pool", *key, tokens(F.col("q")).alias("wanted"), F.explode(fields).alias("f")).select("pool", *key, "wanted", "f.*", F.size("f.words").alias("n"))
-    pools = own.groupBy("pool", "field").agg(F.avg("n").alias("avg_n"), F.count(F.lit(1)).alias("rows"))
-    hits = own.select("pool", *key, "field", "boost", "n", F.explode(F.array_distinct("wanted")).alias("word"), "words")
-    hits = hits.select("pool", *key, "field", "boost", "n", "word", F.size(F.filter("words", lambda w: w == F.col("word"))).alias("tf")).where("tf > 0")
-    seen = hits.groupBy("pool", "field", "word").agg(F.count(F.lit(1)).alias("df"))
-    h = hits.join(seen, ["pool", "field", "word"]).join(pools, ["pool", "field"])
-    idf = F.log(1 + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("boost") * idf * (d + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("avg_n"))))
-    total = h.groupBy("pool", *key).agg(F.sum(part).alias("bm25_raw"))
-    return total.withColumn("bm25", F.col("bm25_raw") / F.max("bm25_raw").over(Window.partitionBy("pool")))
+    own = rows.select("pool", "key", F.struct(*names).alias("_row"), F.array_distinct(tokens(F.col("q"))).alias("_wanted"), F.explode(fields).alias("_f"))
+    own = own.select("pool", "key", "_row", F.col("_f.field").alias("_field"), F.col("_f.boost").alias("_boost"), F.size("_f.words").alias("_n"), F.transform("_wanted", lambda w: F.struct(w.alias("word"), F.size(F.filter("_f.words", lambda x: x == w)).alias("tf"))).alias("_hits"))
+    field = Window.partitionBy("pool", "_field")
+    own = own.withColumn("_avg", F.avg("_n").over(field)).withColumn("_rows", F.count(F.lit(1)).over(field))
+    hits = own.select("*", F.explode_outer(F.filter("_hits", lambda h: h["tf"] > 0)).alias("_hit")).drop("_hits").withColumn("_word", F.col("_hit.word"))
+    hits = hits.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("pool", "_field", "_word")))
+    idf = F.log(1 + (F.col("_rows") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    tf = F.col("_hit.tf")
+    part = F.col("_boost") * idf * (d + tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / F.col("_avg"))))
+    total = hits.groupBy("pool", "key").agg(F.first("_row").alias("_row"), (F.sum(F.when(F.col("_word").isNotNull(), part)) * F.countDistinct("_word")).alias("bm25_raw"))
+    best = F.max("bm25_raw").over(Window.partitionBy("pool"))
+    return total.select("_row.*", "bm25_raw").withColumn("bm25", F.coalesce(F.col("bm25_raw") / best, F.lit(0.0)))
 
 
 def fused_score(config: RankConfig = DEFAULT) -> Column:
@@ -143,14 +168,25 @@ def legacy_score() -> Column:
     return 0.5 * F.col("coverage") + 0.25 * F.col("bm25") + 0.25 * best / (F.col("first_idx") + 1) - 0.3 * F.col("lower").cast("int")
 
 
-def coverage_floor(rows: DataFrame, config: RankConfig = DEFAULT, by: list[str] | None = None) -> DataFrame:
-    """Rows left by the floor: active if the pool's best coverage reaches the gate; authority hosts are exempt while their
-    weight is above 0; a pool that would be left empty stays whole."""
-    w = Window.partitionBy(*(by or ["pool"]))
-    exempt = (F.lit(config.w_authority) > 0) & (F.col("authority") >= 0.9)
-    ok = ((F.col("coverage") >= config.cov_floor) | exempt).cast("int")
-    r = rows.withColumn("_ok", ok).withColumn("_best", F.max("coverage").over(w)).withColumn("_left", F.sum("_ok").over(w))
-    return r.where((F.col("_best") < config.cov_best_gate) | (F.col("_ok") == 1) | (F.col("_left") == 0)).drop("_ok", "_best", "_left")
+def with_pool_best(rows: DataFrame) -> DataFrame:
+    """Adds ``pool_coverage`` and ``pool_authority``, the best of the pool, which the floor needs whatever its settings."""
+    w = Window.partitionBy("pool")
+    return rows.withColumn("pool_coverage", F.max("coverage").over(w)).withColumn("pool_authority", F.max("authority").over(w))
+
+
+def above_floor(config: RankConfig = DEFAULT) -> Column:
+    """True for rows (``with_pool_best``) that the floor leaves: it is active if the pool's best coverage reaches the gate; authority hosts are exempt
+    while their weight is above 0; a pool that would be left empty stays whole. Fields of ``config`` may be Columns."""
+    c = config
+    weighs = (c.w_authority if isinstance(c.w_authority, Column) else F.lit(c.w_authority)) > 0
+    exempt = weighs & (F.col("authority") >= 0.9)
+    emptied = (F.col("pool_coverage") < c.cov_floor) & ~(weighs & (F.col("pool_authority") >= 0.9))
+    return (F.col("pool_coverage") < c.cov_best_gate) | (F.col("coverage") >= c.cov_floor) | exempt | emptied
+
+
+def coverage_floor(rows: DataFrame, config: RankConfig = DEFAULT) -> DataFrame:
+    """Rows left by the floor."""
+    return with_pool_best(rows).where(above_floor(config)).drop("pool_coverage", "pool_authority")
 
 
 def ranked(rows: DataFrame, score: str = "final_score", tie: str = "first_idx", by: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if configured:
         sc.setCheckpointDir(configured)
-        return configured
+        return sc._jsc.sc().getCheckpointDir().get()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that later stages don't repeat it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as a table to the shared folder and read back, so that later stages don't repeat it.
+
+    Later stages read only the columns they need. The table is deleted when the driver ends, or by ``release``.
+    """
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables written so far and returns their number; no DataFrame made from them may be used afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    own = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("rankloom-")]
+    for path in own:
+        fs.delete(path, True)
+    return len(own)

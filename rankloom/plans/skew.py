@@ -1,20 +1,32 @@
-"""Joins that a hot key can't slow down."""
+"""Joins that a hot key can't slow down, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which the rows of one key are divided.
-SALTS = 8
+#: Rows of one key that go to one part.
+ROWS_A_PART = 1_000_000
+#: Rows that a table may have to be broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def salted_join(rows: DataFrame, dimension: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to a smaller table on ``keys``; each key's rows are spread over SALTS parts by the hash of ``by``.
+def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` marked for broadcast if it has ``most`` rows or fewer; else as it is, and Spark shuffles both sides."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
-    The smaller table is repeated for each part, so it should be an eighth of the rows at most. ``how`` is
-    'inner', 'left' or 'left_semi'. Where Spark finds the table small enough it broadcasts it as ever.
+
+def salted_join(rows: DataFrame, dimension: DataFrame, keys: list[str], by: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined to a smaller table on ``keys``; a key of more than ``most`` (ROWS_A_PART) rows is spread over parts by the hash of ``by``.
+
+    Keys are counted first, with map-side combination. The hot ones are at most one for every ``most`` rows,
+    so they are broadcast, and only their rows of the smaller table are repeated, once for each part. ``how``
+    is 'inner', 'left' or 'left_semi'. Null keys match nothing.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    most = most or ROWS_A_PART
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copies = dimension.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -94,10 +94,13 @@ QUERIES_CLEAN = f"""
 queries_clean AS (SELECT query_id, {clean_query('q')} AS q, lang, {language(clean_query('q'))} AS route, gold FROM queries)
 """
 
+#: The pool of a captured row.
+POOL = "query_id * 100000000 + coalesce(floor(epoch(coalesce(captured_at, ingested_at)) / 60), 90000000 + (result_id // 64) % 10000000)::BIGINT"
+
 KEPT = f"""
 {CLEAN_RULES},
 captured AS (
-  SELECT *, query_id * 100000000 + coalesce(floor(epoch(captured_at) / 60), 0)::BIGINT AS pool FROM search_results WHERE query_id IS NOT NULL),
+  SELECT *, {POOL} AS pool FROM search_results WHERE query_id IS NOT NULL),
 hosted AS (
   SELECT *, {host('url')} AS host FROM captured
   WHERE {valid('url')} AND NOT regexp_matches(url, '(?i){AGGREGATOR_HOSTS}') AND NOT regexp_matches(coalesce(title, ''), '百度图片|视频大全')),
