@@ -2,18 +2,20 @@
 
 A text is divided by the vocabulary's pattern into pieces, each of which is encoded alone. A long text is
 first cut where a piece must end whatever surrounds it (between a letter and a blank before a letter), and
-the cuts are encoded in parallel. A long run that the pattern doesn't divide is encoded by tree
-concatenation: halves are encoded apart, then a window around their join is encoded again and grows until
-it agrees with both sides. A sequence of tokens is the BPE encoding of its bytes if each pair of
-neighbours is the encoding of the pair's bytes, so agreement at both ends of the window makes the joined
-sequence exact.
+the cuts are encoded in parallel by the threads of its task (the encoder runs outside Python's lock). A long
+run that the pattern doesn't divide is encoded by tree concatenation: its parts are encoded in parallel, then
+level by level two neighbours are joined: a window around their join is encoded again and grows until it
+agrees with both sides. A sequence of tokens is the BPE encoding of its bytes if each pair of neighbours is
+the encoding of the pair's bytes, so agreement at both ends of the window makes the joined sequence exact.
+All this happens in the one scan of the table: nothing is shuffled and no text is read twice.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -26,46 +28,75 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern published with that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts of more characters are cut and encoded in parallel; pieces of more bytes are encoded by halves.
-LONG_TEXT, LONG_PIECE = 32_768, 4_096
+#: Texts of more characters are cut and encoded in parallel; runs of more characters are encoded in parts and joined.
+LONG_TEXT, LONG_PIECE = 32_768, 2_048
+#: Threads that encode the parts of one long text.
+THREADS = 4
+#: Ids that a batch of results may hold.
+IDS_AT_ONCE = 4_000_000
 
 _SPLIT = regex.compile(PATTERN)
 _SAFE_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
+@functools.cache
+def _ranks(path: str) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+
+
 @functools.cache
 def encoding(path: str = VOCABULARY):
     """The vocabulary at ``path`` (one for each worker process)."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@functools.cache
+def run_encoding(path: str = VOCABULARY):
+    """The same vocabulary for undivided runs: whatever it is given is one piece."""
+    import tiktoken
+
+    return tiktoken.Encoding("byte_bpe_run", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@functools.cache
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(THREADS)
 
 
-def _bytes_of(enc, ids: list[int]) -> bytes:
-    return b"".join(map(enc.decode_single_token_bytes, ids))
+def _window(enc, left: list[int], right: list[int], width: int) -> tuple[int, int, str]:
+    """Numbers of tokens of both sides, ``width`` or a few more, whose bytes are whole characters, and their text."""
+    a, b = min(width, len(left)), min(width, len(right))
+    while True:
+        data = b"".join(enc.decode_tokens_bytes(left[len(left) - a :] + right[:b]))
+        try:
+            return a, b, data.decode()
+        except UnicodeDecodeError:  # a token may begin or end within a character
+            a, b = min(a + 1, len(left)), min(b + 1, len(right))
 
 
 def join(enc, left: list[int], right: list[int]) -> list[int]:
-    """The encoding of two neighbouring parts of one piece, from the encodings of the parts."""
+    """The encoding of two neighbouring parts of one run, from the encodings of the parts (both of whole characters); ``enc`` is for runs."""
     if not left or not right:
         return left + right
     width = 4
     while True:
-        a, b = min(width, len(left)), min(width, len(right))
-        window = left[len(left) - a :] + right[:b]
-        middle = enc._core_bpe.encode_single_piece(_bytes_of(enc, window))
-        if (a == len(left) or middle[0] == window[0]) and (b == len(right) or middle[-1] == window[-1]):
+        a, b, text = _window(enc, left, right, width)
+        middle = enc.encode_ordinary(text)
+        if (a == len(left) or middle[0] == left[len(left) - a]) and (b == len(right) or middle[-1] == right[b - 1]):
             return left[: len(left) - a] + middle + right[b:]
         width *= 2
 
 
-def encode_run(enc, data: bytes, most: int = LONG_PIECE) -> list[int]:
-    """Encoding of the bytes of one piece, by halves where it is long."""
-    if len(data) <= most:
-        return enc._core_bpe.encode_single_piece(data)
-    half = len(data) // 2
-    return join(enc, encode_run(enc, data[:half], most), encode_run(enc, data[half:], most))
+def encode_run(enc, run: str, most: int = 0, each: Callable = map) -> list[int]:
+    """Encoding of one undivided run: of its parts, by ``each`` (a map that may work in parallel), joined as a tree."""
+    most = most or LONG_PIECE
+    parts = list(each(enc.encode_ordinary, [run[k : k + most] for k in range(0, len(run), most)]))
+    while len(parts) > 1:
+        pairs = [parts[k : k + 2] for k in range(0, len(parts), 2)]
+        parts = list(each(lambda p: join(enc, *p) if len(p) > 1 else p[0], pairs))
+    return parts[0] if parts else []
 
 
 def cuts(text: str, size: int = LONG_TEXT) -> list[str]:
@@ -80,90 +111,57 @@ def cuts(text: str, size: int = LONG_TEXT) -> list[str]:
     return [*parts, text[start:]]
 
 
-def encode(text: str | None, path: str = VOCABULARY) -> list[int]:
-    """Ids of a text without special tokens; [] for an empty text and for null."""
-    if not text:
-        return []
-    enc = encoding(path)
-    if len(text) <= LONG_PIECE:
-        return enc.encode_ordinary(text)
+def _encode_part(part: str, path: str, each: Callable) -> np.ndarray:
+    if len(part) <= 2 * LONG_PIECE:
+        return np.array(encoding(path).encode_ordinary(part), np.int32)
     out: list[int] = []
-    for part in cuts(text, LONG_PIECE):
-        if len(part) <= 2 * LONG_PIECE:
-            out += enc.encode_ordinary(part)
-        else:
-            for piece in _SPLIT.findall(part):
-                out += encode_run(enc, piece.encode())
-    return out
-
+    plain: list[str] = []
+    for m in _SPLIT.finditer(part):
+        piece = m[0]
+        if len(piece) <= LONG_PIECE:
+            plain.append(piece)
+            continue
+        # pieces that follow one another give the same pieces again, as the run after them isn't there to change the last one
+        out += [i for p in plain for i in run_encoding(path).encode_ordinary(p)]
+        plain = []
+        out += encode_run(run_encoding(path), piece, each=each)
+    out += [i for p in plain for i in run_encoding(path).encode_ordinary(p)]
+    return np.array(out, np.int32)
+
+
+def encode(text: str | None, path: str = VOCABULARY) -> np.ndarray:
+    """Ids of a text without special tokens; none for an empty text and for null."""
+    if not text:
+        return np.zeros(0, np.int32)
+    if len(text) <= 2 * LONG_PIECE:
+        return np.array(encoding(path).encode_ordinary(text), np.int32)
+    parts = cuts(text, LONG_PIECE)
+    if len(text) <= LONG_TEXT:
+        return np.concatenate([_encode_part(p, path, map) for p in parts])
+    pool = _threads().map
+    # parts in parallel; within a long run, its own parts
+    short = iter(pool(lambda p: _encode_part(p, path, map), [p for p in parts if len(p) <= LONG_TEXT]))
+    return np.concatenate([next(short) if len(p) <= LONG_TEXT else _encode_part(p, path, pool) for p in parts])
 
-def _short(path: str, counts: bool):
-    ids_type = pa.int32() if counts else pa.list_(pa.int32())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encode(t, path) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids] if counts else ids, ids_type)], ["id", "ids"])
+def _encoder(path: str, counts: bool):
+    kind = pa.int32() if counts else pa.list_(pa.int32())
 
-    return run
+    def batch_of(ids: list[int], values: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, kind)], ["id", "ids"])
 
-
-_PART = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("joined", pa.bool_()), ("data", pa.binary())])
-
-
-def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long texts into parts; ``joined`` says that a part goes on the undivided run of the part before."""
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows: list[tuple[bool, bytes]] = []
-            for part in cuts(text):
-                if len(part) <= 2 * LONG_TEXT:
-                    rows.append((False, part.encode()))
-                    continue
-                plain: list[str] = []
-                for piece in _SPLIT.findall(part):
-                    data = piece.encode()
-                    if len(data) <= LONG_TEXT:
-                        plain.append(piece)
-                        continue
-                    if plain:
-                        rows.append((False, "".join(plain).encode()))
-                        plain = []
-                    rows += [(k > 0, data[k : k + LONG_TEXT]) for k in range(0, len(data), LONG_TEXT)]
-                if plain:
-                    rows.append((False, "".join(plain).encode()))
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], schema=_PART)
-
-
-def _encode_parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
         for batch in batches:
-            ids = []
-            for joined, run_, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ids.append(encode_run(enc, data) if joined or run_ else encode(data.decode(), path))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["id", "n", "joined", "ids"])
-
-    return run
-
-
-def _join_parts(path: str, counts: bool):
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        enc = encoding(path)
-        runs: list[list[list[int]]] = []
-        for joined, ids in pdf.sort_values("n")[["joined", "ids"]].itertuples(index=False):
-            if joined:
-                runs[-1].append([int(x) for x in ids])
-            else:
-                runs.append([[int(x) for x in ids]])
-        out: list[int] = []
-        for parts in runs:
-            while len(parts) > 1:  # the tree's levels
-                parts = [join(enc, *parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-            out += parts[0]
-        return pd.DataFrame({"id": [int(pdf["id"].iloc[0])], "ids": [len(out) if counts else np.array(out, np.int32)]})
+            ids, values, held = [], [], 0
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = encode(text, path)
+                ids.append(i)
+                values.append(len(own) if counts else own)
+                held += len(own)
+                if held > IDS_AT_ONCE:
+                    yield batch_of(ids, values)
+                    ids, values, held = [], [], 0
+            yield batch_of(ids, values)
 
     return run
 
@@ -172,17 +170,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY,
     """``id`` and ``ids`` (or with ``counts`` their number) of each row.
 
     Null and empty texts give [] (0). Rows with a repeated text are encoded each. The id column must be an
-    integer, unique and not null. Other columns don't matter.
+    integer, unique and not null. Other columns don't matter. An empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    kind = "int" if counts else "array<int>"
-    long = F.coalesce(F.length("text") > LONG_TEXT, F.lit(False))
-    short = rows.where(~long).mapInArrow(_short(path, counts), f"id bigint, ids {kind}")
-    parts = rows.where(long).mapInArrow(_divide, "id bigint, n int, joined boolean, data binary")
-    # a part whose successor goes on its run is itself a part of a run
-    from pyspark.sql import Window
-
-    flagged = parts.withColumn("run", F.coalesce(F.lead("joined").over(Window.partitionBy("id").orderBy("n")), F.lit(False))).select("id", "n", "joined", "run", "data")
-    encoded = flagged.repartition("id", "n").mapInArrow(_encode_parts(path), "id bigint, n int, joined boolean, ids array<int>")
-    whole = encoded.groupBy("id").applyInPandas(_join_parts(path, counts), f"id bigint, ids {kind}")
-    return short.unionByName(whole)
+    return rows.mapInArrow(_encoder(path, counts), f"id bigint, ids {'int' if counts else 'array<int>'}")
