@@ -5,11 +5,18 @@ title. The canonical hash of every record goes into Bloom filters that each part
 one of hashes seen and one of hashes seen again, and that are merged segment by segment. Only records
 whose hash the merged "again" filter holds are shuffled for exact grouping; all others are singletons
 without a shuffle. A false positive of the filter only costs a shuffled record, and a repeat can't be
-missed, so the result is exact at any filter size; the size of the filter has an upper bound.
+missed, so the result is exact at any filter size.
+
+The filter grows with the records, a segment for each RECORDS_A_SEGMENT of them, so its false positives stay
+as rare at any size. A partition hands on a segment as bits or, where it has few records for it, as their
+hashes, whichever is smaller: never more than eight bytes a record, however many partitions there are. The
+merged segments are a table; they are probed in groups of SEGMENTS_AT_ONCE, one broadcast each, by the records
+whose hashes lie in the group.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +27,12 @@ from pyspark.sql import functions as F
 from rankloom.functions.constants import SPACE, TRACKING_PARAMS
 from rankloom.plans.durable import cut
 
-#: Bits of the filter for each record, and the bounds of the whole filter (2**29 bits are 64 MB).
-BITS_PER_RECORD, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
-SEGMENT_BITS = 1 << 20
+#: Bits of a segment, records for which there is one (16 bits each), and segments that are probed at once (64 MB).
+SEGMENT_BITS, RECORDS_A_SEGMENT, SEGMENTS_AT_ONCE = 1 << 20, 1 << 16, 512
 PROBES = 4
 #: A group of more copies than this is joined by broadcast instead of being shuffled to one task.
 HOT_COPIES = 1_000_000
-_FILTERS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
+_FILTERS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("again", pa.binary()), ("hashes", pa.binary())])
 
 
 #: White space and controls around an address.
@@ -67,12 +73,15 @@ def keyed(results: DataFrame) -> DataFrame:
     return cut(k.withColumn("h", F.when(whole, F.xxhash64("query_id", "url_key", "title_key"))))
 
 
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of hashes: PROBES rows, all within one segment of the filter."""
-    u = h.view(np.uint64)
-    start = (u >> np.uint64(44)) % np.uint64(bits // SEGMENT_BITS) * np.uint64(SEGMENT_BITS)
-    a, b = u & np.uint64(0x3FFFFF), (u >> np.uint64(22)) & np.uint64(0x3FFFFF) | np.uint64(1)
-    return np.stack([start + (a + np.uint64(i) * b + np.uint64(i * i)) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]).astype(np.int64)
+def _segment(h: np.ndarray, segments: int) -> np.ndarray:
+    return ((h.view(np.uint64) >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
+
+
+def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment of each hash; its bits there, in PROBES rows)."""
+    u = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the segment takes the upper bits of the hash itself
+    a, b = u >> np.uint64(42), (u >> np.uint64(20)) & np.uint64(0x3FFFFF) | np.uint64(1)
+    return _segment(h, segments), np.stack([(a + np.uint64(i) * b + np.uint64(i * i)) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]).astype(np.int64)
 
 
 def _put(bitmap: np.ndarray, places: np.ndarray) -> None:
@@ -83,76 +92,119 @@ def _held(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _partition_filters(bits: int):
+def _bits(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(once, again) of the different hashes ``h`` of one segment, seen ``n`` times."""
+    once, again = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)
+    places = _places(h, 1)[1]
+    _put(once, places)
+    _put(again, places[:, n > 1])
+    return once, again
+
+
+#: Different hashes that a partition holds before it hands their segments on.
+_AT_ONCE = 4_000_000
+
+
+def _partition_filters(segments: int):
+    def parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        segment = _segment(h, segments)
+        order = np.argsort(segment, kind="stable")
+        h, n, segment = h[order], n[order], segment[order]
+        names, starts = np.unique(segment, return_index=True)
+        for s, own, times in zip(names.tolist(), np.split(h, starts[1:]), np.split(n, starts[1:]), strict=True):
+            if 8 * len(own) < 2 * SEGMENT_BITS // 8:  # a repeated hash is handed on twice
+                row = {"segment": [s], "once": [None], "again": [None], "hashes": [np.repeat(own, np.minimum(times, 2)).tobytes()]}
+            else:
+                once, again = _bits(own, times)
+                row = {"segment": [s], "once": [once.tobytes()], "again": [again.tobytes()], "hashes": [None]}
+            yield pa.RecordBatch.from_pydict(row, schema=_FILTERS)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        held, size = [], 0
         for batch in batches:
-            h, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            at = _places(h, bits)
-            repeat = (n > 1) | _held(once, at)
-            _put(again, at[:, repeat])
-            _put(once, at)
-        size = SEGMENT_BITS // 8
-        for s in range(bits // SEGMENT_BITS):
-            if (part := once[s * size : (s + 1) * size]).any():
-                yield pa.RecordBatch.from_pydict({"segment": [s], "once": [part.tobytes()], "again": [again[s * size : (s + 1) * size].tobytes()]}, schema=_FILTERS)
+            held.append(batch.column(0).to_numpy())
+            size += len(held[-1])
+            if size >= _AT_ONCE:
+                yield from parts(held)
+                held, size = [], 0
+        if size:
+            yield from parts(held)
 
     return build
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Filters of a segment into one: a bit that two partitions set once is set again."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Filters of a segment into one, with the partition sorted by segment: a bit that two parts set once is set again."""
+    at, once, again, few = -1, None, None, []
+
+    def add(o: np.ndarray, g: np.ndarray) -> None:
+        nonlocal once, again
+        once, again = (o, g) if once is None else (once | o, again | g | (once & o))
+
+    def done() -> pa.RecordBatch:
+        if few:
+            add(*_bits(*np.unique(np.concatenate(few), return_counts=True)))
+        return pa.RecordBatch.from_pydict({"segment": [at], "again": [again.tobytes()]}, schema=pa.schema([("segment", pa.int32()), ("again", pa.binary())]))
+
     for batch in batches:
-        for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            once, again = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            if s in held:
-                o, g = held[s]
-                once, again = o | once, g | again | (o & once)
-            held[s] = once, again
-    for s, (once, again) in held.items():
-        yield pa.RecordBatch.from_pydict({"segment": [s], "once": [once.tobytes()], "again": [again.tobytes()]}, schema=_FILTERS)
-
-
-def filter_bits(records: int) -> int:
-    """Size of the filter: a power of two near BITS_PER_RECORD for each record, within the bounds."""
-    return int(min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, records * BITS_PER_RECORD)))))))
-
-
-def repeat_filter(hashes: DataFrame, records: int) -> tuple[int, np.ndarray]:
-    """(bits, bitmap) of the hashes that may occur more than once in the only column of ``hashes``."""
-    bits = filter_bits(records)
-    schema = "segment int, once binary, again binary"
-    parts = hashes.mapInArrow(_partition_filters(bits), schema)
-    merged = parts.repartition(max(1, min(bits // SEGMENT_BITS, 64)), "segment").mapInArrow(_merge, schema)
-    bitmap = np.zeros(bits // 8, np.uint8)
-    size = SEGMENT_BITS // 8
-    for row in merged.select("segment", "again").collect():  # at most MOST_BITS / 8 bytes, whatever the number of records
-        bitmap[row.segment * size : (row.segment + 1) * size] = np.frombuffer(bytes(row.again), np.uint8)
-    return bits, bitmap
-
-
-def _maybe_repeated(spark: SparkSession, bits: int, bitmap: np.ndarray):
+        for s, o, g, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if s != at and at >= 0:
+                yield done()
+                once, again, few = None, None, []
+            at = s
+            if hashes is None:
+                add(np.frombuffer(o, np.uint8), np.frombuffer(g, np.uint8))
+            else:
+                few.append(np.frombuffer(hashes, np.int64))
+    if at >= 0:
+        yield done()
+
+
+def segments_for(records: int) -> int:
+    """Segments of the filter for so many records."""
+    return max(1, -(-records // RECORDS_A_SEGMENT))
+
+
+def repeat_filter(hashes: DataFrame, segments: int) -> DataFrame:
+    """``segment``, ``again`` of the only column of ``hashes``: bits of the hashes that may occur more than once; written to the shared folder."""
+    parts = hashes.mapInArrow(_partition_filters(segments), "segment int, once binary, again binary, hashes binary")
+    merged = parts.repartition(max(1, min(segments, 4_096)), "segment").sortWithinPartitions("segment")
+    return cut(merged.mapInArrow(_merge, "segment int, again binary"))
+
+
+def _maybe_repeated(spark: SparkSession, segments: int, first: int, bitmap: np.ndarray):
     shared = spark.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def probe(h):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(_held(shared.value, _places(h.to_numpy(), bits)))
+        segment, places = _places(h.to_numpy(), segments)
+        return pd.Series(_held(shared.value, places + (segment - first) * SEGMENT_BITS))
 
     return probe
 
 
 def split_by_filter(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(possible repeats with their keys; certain singletons)."""
+    spark = results.sparkSession
     k = keyed(results)
     whole = k.where("h is not null")
-    bits, bitmap = repeat_filter(whole.select("h"), k.count())
-    probed = whole.withColumn("maybe", _maybe_repeated(results.sparkSession, bits, bitmap)("h"))
-    columns = ["result_id", "query_id", "url_key", "title_key"]
-    maybe = cut(probed.where("maybe").select(*columns))
-    return maybe, probed.where("not maybe").select("result_id", "query_id").unionByName(k.where("h is null").select("result_id", "query_id"))
+    segments = segments_for(k.count())  # of a written table: read from its footers
+    filters = repeat_filter(whole.select("h"), segments)
+    segment_of = F.pmod(F.shiftrightunsigned("h", 33), F.lit(segments))
+    maybe, single = [], k.where("h is null").select("result_id", "query_id")
+    for first in range(0, segments, SEGMENTS_AT_ONCE):
+        bitmap = np.zeros(min(SEGMENTS_AT_ONCE, segments - first) * SEGMENT_BITS // 8, np.uint8)
+        for row in filters.where(F.col("segment").between(first, first + SEGMENTS_AT_ONCE - 1)).toLocalIterator():  # 64 MB at most
+            at = (row.segment - first) * SEGMENT_BITS // 8
+            bitmap[at : at + SEGMENT_BITS // 8] = np.frombuffer(bytes(row.again), np.uint8)
+        own = whole if segments <= SEGMENTS_AT_ONCE else whole.where(segment_of.between(first, first + SEGMENTS_AT_ONCE - 1))
+        probed = own.withColumn("maybe", _maybe_repeated(spark, segments, first, bitmap)("h"))
+        maybe.append(probed.where("maybe").select("result_id", "query_id", "url_key", "title_key"))
+        single = single.unionByName(probed.where("not maybe").select("result_id", "query_id"))
+    return cut(functools.reduce(DataFrame.unionByName, maybe)), single
 
 
 def collapsed(results: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,17 +53,42 @@ def test_copies_of_nothing_and_of_one_hot_group(spark, monkeypatch):
 def test_filter_misses_no_repeat():
     rng = np.random.default_rng(1)
     h = rng.integers(-(2**63), 2**63 - 1, 20_000)
-    parts = [np.concatenate((h[:9_000], h[:50])), h[8_900:]]
-    import pyarrow as pa
-
-    blobs = [b for p in parts for b in p2._partition_filters(p2.LEAST_BITS)(iter([pa.RecordBatch.from_pydict({"h": p})]))]
-    merged = list(p2._merge(iter(blobs)))
-    again = np.frombuffer(merged[0].column(2)[0].as_py(), np.uint8)
-    held = p2._held(again, p2._places(h, p2.LEAST_BITS))
-    assert held[:50].all() and held[8_900:9_000].all()
+    parts = [np.concatenate((h[:9_000], h[:50])), h[8_900:], h[100:110]]
+    segments = p2.segments_for(len(h))
+    blobs = [b for p in parts for b in p2._partition_filters(segments)(iter([pa.RecordBatch.from_pydict({"h": p})]))]
+    again = {r["segment"]: np.frombuffer(r["again"], np.uint8) for b in p2._merge(iter(blobs)) for r in b.to_pylist()}
+    segment, places = p2._places(h, segments)
+    held = np.array([p2._held(again[s], places[:, [k]])[0] for k, s in enumerate(segment)])
+    assert held[:50].all() and held[8_900:9_000].all() and held[100:110].all()
     assert held.mean() < 0.05
 
 
+def test_sparse_and_dense_parts_give_the_same_filter():
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63 - 1, 60_000)
+    sparse = [b for p in np.array_split(h, 60) for b in p2._partition_filters(1)(iter([pa.RecordBatch.from_pydict({"h": p})]))]
+    dense = list(p2._partition_filters(1)(iter([pa.RecordBatch.from_pydict({"h": h})])))
+    assert all(b.to_pylist()[0]["hashes"] is not None for b in sparse) and dense[0].to_pylist()[0]["hashes"] is None
+    a, b = (next(iter(p2._merge(iter(x)))).to_pylist()[0]["again"] for x in (sparse, dense))
+    assert a == b
+
+
+def test_many_filters_shuffle_no_more_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, 1, f"title {rng.randrange(5_000)}", "https://x.example/p") for k in range(6_000)]
+    df = results(spark, *rows).repartition(3)
+    want, most = sorted(map(tuple, p2.copies(df).collect())), p2.split_by_filter(df)[0].count()
+    first = {}
+    for k, _, t, _ in rows:
+        first.setdefault(t, k)
+    assert want == sorted((first[t], k) for k, _, t, _ in rows if first[t] != k)
+    monkeypatch.setattr(p2, "RECORDS_A_SEGMENT", 200)
+    monkeypatch.setattr(p2, "SEGMENTS_AT_ONCE", 8)
+    assert p2.segments_for(6_000) == 30
+    assert sorted(map(tuple, p2.copies(df).collect())) == want
+    assert p2.split_by_filter(df)[0].count() <= 1.02 * most
+
+
 TEXTS = ["", None, "Hello  world's end.\n\n x", "naïve café 中文字符 🚀🚀", "<|endoftext|> x", " \t \n", "a" * 20_000, "中文" * 9_000, "ab1-" * 6_000, ("word " * 9_000).strip(), " " * 9_000 + "x"]
 
 
@@ -72,7 +98,7 @@ def plain(text):
 
 @pytest.mark.parametrize("k", range(len(TEXTS)))
 def test_encode_equals_plain_encoding(k):
-    ids = tk.encode(TEXTS[k])
+    ids = tk.encode(TEXTS[k]).tolist()
     assert ids == plain(TEXTS[k])
     assert tk.encoding().decode(ids) == (TEXTS[k] or "")
 
@@ -82,16 +108,36 @@ def test_encode_equals_plain_encoding(k):
 def test_cuts_and_runs_are_exact(text, size):
     assert "".join(tk.cuts(text, size)) == text
     assert [i for part in tk.cuts(text, size) for i in plain(part)] == plain(text)
-    data = text.replace(" ", "").encode()
-    if data:
-        enc = tk.encoding()
-        assert tk.encode_run(enc, data, 3) == enc._core_bpe.encode_single_piece(data)
+    enc = tk.run_encoding()
+    assert tk.encode_run(enc, text, 3) == enc.encode_ordinary(text)
+
 
+def test_trees_of_long_runs():
+    rng = random.Random(3)
+    enc = tk.run_encoding()
+    for alphabet in ("a", "ab", "abcde", "中文字é", " ", "-=", "🚀é"):
+        run = "".join(rng.choice(alphabet) for _ in range(30_000))
+        assert tk.encode_run(enc, run, 500, tk._threads().map) == enc.encode_ordinary(run)
 
-def test_long_texts_in_parallel(spark, monkeypatch):
+
+def test_long_texts_by_parts(monkeypatch):
     monkeypatch.setattr(tk, "LONG_TEXT", 1_000)
+    monkeypatch.setattr(tk, "LONG_PIECE", 100)
+    rng = random.Random(1)
+    long = ["x" * 5_000, "".join(rng.choice("abc") for _ in range(7_000)), " ".join(rng.choice(["one", "two's", "3", "四"]) for _ in range(2_000)), "中" * 4_000 + " mixed text " * 300, "a b " * 300 + "-" * 900 + " c d" * 300]
+    for text in long:
+        assert tk.encode(text).tolist() == plain(text)
+
+
+def test_one_scan_without_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 40_000), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    plan = tk.token_ids(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Exchange" not in plan
+
+
+def test_long_texts_in_parallel(spark):
     rng = random.Random(1)
-    long = ["x" * 5_000, "".join(rng.choice("abc") for _ in range(7_000)), " ".join(rng.choice(["one", "two's", "3", "四"]) for _ in range(2_000)), "中" * 4_000 + " mixed text " * 300]
+    long = ["x" * 500_000, "y z" * 100_000, "".join(rng.choice("abc") for _ in range(7_000)), " ".join(rng.choice(["one", "two's", "3", "四"]) for _ in range(2_000)), "中" * 4_000 + " mixed text " * 300]
     df = spark.createDataFrame(list(enumerate([*TEXTS[:6], *long])), "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
     got = {r.id: r.ids for r in tk.token_ids(df, "doc_id", "text").collect()}
     assert got == {r.doc_id: plain(r.text) for r in df.collect()}
