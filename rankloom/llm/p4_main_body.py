@@ -29,7 +29,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside div footer form header main nav section".split())
-SKIPPED = frozenset(("script", "style", "noscript"))
+SKIPPED = frozenset(("script", "style"))
+#: Text for browsers without scripts; one that is never closed hides nothing.
+_NOSCRIPT = re.compile(r"<noscript\b[^>]*>(?:(?!<noscript\b).)*?</noscript\s*>", re.I | re.S)
 #: Container names of page furniture and of content, as HTML defines them or authors name them.
 FURNITURE_TAGS, CONTENT_TAGS = frozenset(("nav", "header", "footer", "aside", "form")), frozenset(("article", "main"))
 _FURNITURE_NAME = re.compile(r"(?:^|[-_\s])(?:top|main|site)?(?:nav\w*|menu|breadcrumbs?|footer|bottom|header|sidebar|widget|share|social|comments?|cookies?|consent|banner|ads?|advert\w*|promo|related|overlay|popup|newsletter|toolbar)(?:$|[-_\s])", re.I)
@@ -41,6 +43,7 @@ TOKEN_BITS, LINE_BITS = 18, 21
 #: Evidence from which on a region counts as clear, and as fair; fair ones teach where clear ones of a kind are too few a share.
 SURE, FAIR, FEW = 1.0, 0.3, 0.2
 #: Weight of the words' evidence against counts of the whole line, and of a region's and a name's evidence.
+STRONG = 12
 WORDS_WEIGHT, REGION_WEIGHT, NAME_WEIGHT, LINK_WEIGHT, TITLE_WEIGHT = 3.0, 0.6, 3.0, 3.0, 6.0
 
 
@@ -132,7 +135,7 @@ class _Page(HTMLParser):
 
 def parse(html: str) -> _Page:
     page = _Page()
-    page.feed(html)
+    page.feed(_NOSCRIPT.sub("", html) if "<noscript" in html.lower() else html)
     page.close()
     return page
 
@@ -330,8 +333,9 @@ class Wording:
         sig = _DIGITS.sub("#", text.lower())
         if (s := self.seen.get(sig)) is None:
             line, words = _short_features(sig) if len(sig) <= 60 else _features(sig)
-            strong = sorted((self.odds[w] for w in words), key=abs)[-12:]
-            by_words = 1 / (1 + math.exp(-max(-6.0, min(6.0, sum(strong)))))
+            # every word counts; those of a long line are no independent witnesses, so together they count as STRONG of them
+            total = sum([self.odds[w] for w in words]) * min(1.0, STRONG / max(1, len(words)))
+            by_words = 1 / (1 + math.exp(-max(-6.0, min(6.0, total))))
             n_f, n_c = float(self.furniture[line]), float(self.content[line])
             p = (n_c + WORDS_WEIGHT * by_words) / (n_f + n_c + WORDS_WEIGHT)
             s = math.log((p + 1e-3) / (1 - p + 1e-3))
