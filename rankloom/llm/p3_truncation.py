@@ -4,7 +4,8 @@ A backward character n-gram model counts, for contexts read from their last char
 text ends after them and how often it goes on. For the final context of each text the two likelihoods are
 interpolated from short contexts to long ones (without the text's own end) and compared with the rate at
 which texts of that language end; a text whose log-odds are below the threshold of its language and column
-was cut, unless it ends with a sentence's stop. Continuations are only counted for contexts that some text ends with;
+was cut, unless it ends with a sentence's stop and so not inside a sentence. A text cut in transfer may end
+inside a character, an entity or an element; then nothing is left to estimate. Continuations are only counted for contexts that some text ends with;
 counts are exact and stay distributed, and the driver only holds bits of a fixed number, whatever the size of the corpus.
 """
 
@@ -29,29 +30,46 @@ HELD = 4_000_000
 SALTED, SALTS = 3, 8
 #: Weight of the shorter context in the estimate by the next longer one.
 BACKOFF = 4.0
-#: Log-odds below which a text counts as cut, by (language, column), in groups too small for a distribution of their own; marked ones end with a mark of omission.
-THRESHOLDS = {("han", "snippet"): 0.7, ("latin", "snippet"): 0.7}
-MARKED_THRESHOLDS = {("han", "snippet"): 2.0, ("latin", "snippet"): 2.0}
+#: Log-odds below which a text counts as cut, plain ones and those with a mark of omission, of languages and columns too small for a distribution of their own.
+THRESHOLD, MARKED_THRESHOLD = 0.7, 2.0
 #: Texts that end from which a group's own distribution sets its threshold, how far that may be from the value above, the width of a bin, and the share of the highest that is few.
-GROUP, REACH, BIN, SPARSE = 1000, 1.5, 0.25, 0.1
+GROUP, REACH, BIN, SPARSE = 1000, 1.25, 0.25, 0.1
 #: Marks of omission at the end of a text.
 MARKS = r"(?:\s*(?:…|\.{3,}|\.(?: \.){2,}|。{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|&hellip;))+\s*$"
 #: A stop that ends a sentence, with what may close after it; after a digit it may be a decimal point.
 CLOSED = r"(?:[。！？]|[^0-9\s][.!?])[\"'”’)）」』】]*\s*(?:[(（][^()（）]{1,30}[)）])?[^\p{L}\p{N}\p{P}]*$"
+#: Entities that a text may be cut in.
+_ENTITIES = "amp lt gt quot apos nbsp hellip mdash ndash lsquo rsquo ldquo rdquo laquo raquo middot copy".split()
+#: An end inside an entity, in a tag, or in an element that stresses words.
+BROKEN = rf"&(?:#[0-9A-Za-z]{{0,6}}|{'|'.join(sorted({n[:k] for n in _ENTITIES for k in range(2, len(n) + 1)}))})?$|</?[A-Za-z][^<>]*$|<(?:em|b|i|strong|mark)>[^<>]*$"
+_TAG = "</?[A-Za-z][^<>]*>"
 _SEP, _START = "\x00", "\x01"
 _MASK = (1 << 64) - 1
 _BASE, _MIX, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), 0xD6E8FEB86659FD93
 
 
 def normal(text: Column) -> Column:
-    """Text with white space collapsed, numbers masked and marks of omission at its end dropped."""
+    """Text with white space collapsed, tags dropped, numbers masked and marks of omission at its end dropped."""
     t = F.regexp_replace(F.regexp_replace(text, r"[\s 　]+", " "), r"[\x00\x01]", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, MARKS, ""), r"[0-9]+", "#"), r"^ +| +$", "")
 
 
+#: Scripts by which languages are told apart, the first that a text has letters of (two in a row, but for kana, which mix); any other text is 'latin'.
+SCRIPTS = {"kana": "[ぁ-ヿ]", "han": "[㐀-鿿]{2}", "hangul": "[가-힯]{2}", "cyrillic": "[Ѐ-ӿ]{2}", "arabic": "[؀-ۿ]{2}", "greek": "[Ͱ-Ͽ]{2}", "devanagari": "[ऀ-ॿ]{2}", "thai": "[฀-๿]{2}"}
+
+
 def language(text: Column) -> Column:
-    """'han' for a text with two Han characters in a row, else 'latin'."""
-    return F.when(text.rlike("[㐀-鿿]{2}"), "han").otherwise("latin")
+    """The script of a text, of SCRIPTS; 'latin' where it has none of them."""
+    out = F.lit("latin")
+    for name, letters in reversed(SCRIPTS.items()):
+        out = F.when(text.rlike(letters), name).otherwise(out)
+    return F.when(text.rlike("[^\x00-\u024f]"), out).otherwise("latin")
+
+
+def broken(text: Column) -> Column:
+    """True for an end inside a character (of a text that is sound before it), an entity or an element."""
+    t = F.rtrim(text)
+    return t.rlike(BROKEN) | t.rlike("^[^\ufffd]*\ufffd{1,3}$")
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -183,24 +201,24 @@ def scored(results: DataFrame) -> DataFrame:
     """``result_id``, ``source``, ``language``, ``marked``, ``log_odds``, ``cut`` of each snippet that isn't null or blank."""
     raw = results.select("result_id", "source", "snippet", F.xxhash64(F.regexp_replace(F.lower(F.substring_index(F.regexp_replace("url", "[?#].*$", ""), "://", -1)), r"^www\.|/\s*$", "")).alias("address"))
     # normal text is made once and kept for the passes of the model
-    texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
+    texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("broken", broken(F.col("snippet"))).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
     texts = texts.withColumn("language", language(F.col("text"))).withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
     rate_of = base_rates(texts)
     base = F.element_at(F.create_map(*(F.lit(x) for pair in (rate_of or {"": 0.5}).items() for x in pair)), F.col("language"))
     # a tail may be very frequent
     known = rates(counts(texts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    t = texts.select("result_id", "source", "marked", "language", "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    t = texts.select("result_id", "source", "marked", "broken", "language", "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
     rate = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.coalesce("fixed", F.lit(0.0)) + F.coalesce("slope", F.lit(1.0)) * base))
     t = t.join(known, ["tail_id", "salt"], "left").withColumn("log_odds", F.log(rate / (1 - rate)) - F.log(base / (1 - base))).drop("tail_id", "salt", "fixed", "slope")
     t = cut(t)
+    # the texts that the threshold decides on set it
     histograms: dict[tuple[str, bool], dict[int, int]] = {}
-    for r in t.groupBy("language", "marked", F.floor(F.col("log_odds") / BIN).alias("bin")).count().collect():
+    for r in t.where("not closed and not broken").groupBy("language", "marked", F.floor(F.col("log_odds") / BIN).alias("bin")).count().collect():  # a bounded number of bins for each of a few scripts
         histograms.setdefault((r.language, r.marked), {})[r.bin] = r["count"]
-    bound = F.lit(None).cast("double")
-    for marked, starts in ((False, THRESHOLDS), (True, MARKED_THRESHOLDS)):
-        for (lang, _), start in starts.items():
-            bound = F.when((F.col("language") == lang) & (F.col("marked") == marked), valley(histograms.get((lang, marked), {}), start)).otherwise(bound)
-    return t.withColumn("cut", (F.col("log_odds") < bound) & ~F.col("closed")).drop("closed")
+    bound = F.when(F.col("marked"), MARKED_THRESHOLD).otherwise(THRESHOLD)
+    for (lang, marked), own in histograms.items():
+        bound = F.when((F.col("language") == lang) & (F.col("marked") == marked), valley(own, MARKED_THRESHOLD if marked else THRESHOLD)).otherwise(bound)
+    return t.withColumn("cut", F.col("broken") | (F.col("log_odds") < bound) & ~F.col("closed")).drop("closed", "broken")
 
 
 def truncated(results: DataFrame) -> DataFrame:
