@@ -222,3 +222,10 @@ def p1_clean_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, extractions = _tables(spark, sf_dir)
     bad = residue(results, extractions).where("origin = 'search_results'").select(F.col("row_id").alias("result_id"))
     return results.select("result_id").join(bad, "result_id", "left_anti")
+
+
+def p1_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extract_id`` of the pages that remain once residue is excluded (pages without plain stay)."""
+    results, extractions = _tables(spark, sf_dir)
+    bad = residue(results, extractions).where("origin = 'extractions'").select(F.col("row_id").alias("extract_id"))
+    return extractions.select("extract_id").join(bad, "extract_id", "left_anti")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ def test_clean_results_are_those_not_found(spark, tmp_path):
     spark.createDataFrame([(1, "Caches", "https://a.example/x", weak, "a"), (2, "Caches", "https://b.example/y", "A plain snippet about caches.", "a"), (3, None, None, None, "a")], RESULTS).write.parquet(f"{tmp_path}/search_results.parquet")
     pages(spark, *((None, f"https://p{k}.example/z", None, weak) for k in range(4))).write.parquet(f"{tmp_path}/extractions.parquet")
     found = {r.row_id for r in p1.p1_found(spark, str(tmp_path)).where("origin = 'search_results'").collect()}
+    assert {r.extract_id for r in p1.p1_clean_pages(spark, str(tmp_path)).collect()} == set(range(4)) - {r.row_id for r in p1.p1_found(spark, str(tmp_path)).where("origin = 'extractions'").collect()}
     assert {r.result_id for r in p1.p1_clean_results(spark, str(tmp_path)).collect()} == {1, 2, 3} - found == {2, 3}
 
 
@@ -90,6 +92,23 @@ def test_truncation(spark):
     assert p3.truncated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "ends_inside"),
+    [
+        ("The worker reads the set&am", True), ("每秒可以处理 67 个请&#82", True), ("The worker <em", True), ("The worker reads <em>the sett", True), ("如果热备失败 <a href=\"", True), ("先保存快照并至少保留�", True), ("reads the file and &", True),
+        ("Research at AT&T", False), ("The <em>worker</em> reads", False), ("a < b", False), ("Questions &amp; answers", False), ("g�rbled t�xt�", False), ("whole text", False), ("", False), (None, None),
+    ],
+)
+def test_ends_inside_characters_entities_and_elements(spark, text, ends_inside):
+    assert spark.createDataFrame([(text,)], "t string").select(p3.broken(F.col("t")).alias("b")).first().b is ends_inside
+
+
+def test_languages_by_script(spark):
+    texts = {"今日は晴れ": "kana", "升级到以后": "han", "서버 설정": "hangul", "Сервер читает": "cyrillic", "Größe “x” – 5 €": "latin", "": "latin", "…": "latin"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", p3.language(F.col("t")).alias("l")).collect()
+    assert {r.t: r.l for r in rows} == texts
+
+
 def test_foreign_contexts_do_not_count(spark, monkeypatch):
     monkeypatch.setattr(p3, "SLOT_BITS", 9)  # nearly all contexts share their slot with an end
     texts = [*sentences(80, 4), *[s[:30] for s in sentences(20, 6)], "ab", "", "重试次数越多，等待的时间越长"]
@@ -155,6 +174,23 @@ def test_lines_of_html():
     assert got == ["a & b", "c", "d", "e", "f", "g"]
 
 
+def test_unclosed_noscript_hides_nothing():
+    assert p4.page_lines("<p>one</p><noscript>js<p>two</p><p>three</p>", None)[0] == ["one", "js", "two", "three"]
+    assert p4.page_lines("<p>one</p><NOSCRIPT>js<p>two</p></NOSCRIPT ><p>three</p>", None)[0] == ["one", "three"]
+    assert p4.page_lines("<noscript>a<p>b</p><noscript>js</noscript><p>c</p>", None)[0] == ["a", "b", "c"]
+
+
+def test_every_word_of_a_line_counts():
+    table = np.zeros((2, (1 << p4.TOKEN_BITS) + (1 << p4.LINE_BITS)), np.float32)
+    for w in ("menu", "home"):
+        table[0][p4._token(w)] = 50
+    for k in range(30):
+        table[1][p4._token(f"word{'abcdefghijklmnopqrstuvwxyz'[k % 26]}")] = 2
+    wording = p4.Wording(table)
+    few = wording("menu home")
+    assert few < 0 and wording("menu home " + " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")) > few
+
+
 def test_wide_characters_count_over_the_whole_line(monkeypatch):
     seen = []
     monkeypatch.setattr(p4, "regions", lambda *a: seen.append(list(a[0])) or a[0] * 0)
@@ -169,10 +205,8 @@ PLAIN = ["Größere Gruppen prüfen für Ärger", "Le délai a été réduit à
 @pytest.mark.parametrize("text", PLAIN)
 @pytest.mark.parametrize("codec", ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251"])
 def test_round_trip_of_single_byte_readings(text, codec):
-    try:
-        garbled = text.encode().decode(codec)
-    except UnicodeDecodeError:
-        pytest.skip("not readable that way")
+    # bytes without a character stand for themselves as C1 controls, as browsers read them
+    garbled = "".join(chr(b) if 0x80 <= b < 0xA0 and (c := bytes([b]).decode(codec, "replace")) == "\ufffd" else c if b >= 0x80 and (c := bytes([b]).decode(codec, "replace")) else chr(b) for b in text.encode())
     new, found = p5.repair(garbled)
     assert found
     assert new == text
@@ -221,6 +255,20 @@ def test_subjects_on_held_out(spark):
     assert p8.subject_areas(documents.limit(0), labels, areas).count() == 0
 
 
+def test_subjects_that_stand_alone():
+    y = [[0]] * 40 + [[1], [2]] * 20 + [[1, 2]] * 30
+    assert p8.alone(y, 4) == [True, False, False, False]
+    assert p8.alone([[0], [1]], 2) == [False, False] and p8.alone([], 2) == [False, False]
+
+
+def test_asides_have_words_of_their_own():
+    make = p8.Features()
+    inside, outside = make("(energy)"), make("energy")
+    assert len(inside) == 1 and not set(inside) & set(outside)
+    assert make("a [b c] d") == make("a") + make("[b c]") + make("d")
+    assert len(make("(" + "word " * 500 + ")")) == 500 == len(make("*" + "word " * 500 + "*"))
+
+
 def test_garbled_quotations():
     quote = "When UTF-8 is read as Latin-1, é shows up as Ã© and a quote as â€™."
     assert p5.repair(quote.encode().decode("cp1252")) == (quote, True)
