@@ -48,10 +48,17 @@ _MASK = (1 << 64) - 1
 _BASE, _MIX, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), 0xD6E8FEB86659FD93
 
 
+def marked(text: Column) -> Column:
+    """True for a text that ends with a mark of omission."""
+    return F.substring(text, -40, 40).rlike(MARKS)
+
+
 def normal(text: Column) -> Column:
     """Text with white space collapsed, tags dropped, numbers masked and marks of omission at its end dropped."""
-    t = F.regexp_replace(F.regexp_replace(text, r"[\s 　]+", " "), r"[\x00\x01]", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, MARKS, ""), r"[0-9]+", "#"), r"^ +| +$", "")
+    t = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, _TAG, "")).otherwise(text)
+    t = F.translate(F.regexp_replace(t, r"[\s 　]+", " "), "\x00\x01", "")
+    t = F.when(marked(text), F.regexp_replace(t, MARKS, "")).otherwise(t)
+    return F.btrim(F.regexp_replace(t, r"[0-9]+", "#"), F.lit(" "))
 
 
 #: Scripts by which languages are told apart, the first that a text has letters of (two in a row, but for kana, which mix); any other text is 'latin'.
@@ -69,7 +76,8 @@ def language(text: Column) -> Column:
 def broken(text: Column) -> Column:
     """True for an end inside a character (of a text that is sound before it), an entity or an element."""
     t = F.rtrim(text)
-    return t.rlike(BROKEN) | t.rlike("^[^\ufffd]*\ufffd{1,3}$")
+    has = lambda sign: F.contains(text, F.lit(sign))
+    return ((has("&") | has("<")) & t.rlike(BROKEN)) | (has("\ufffd") & t.rlike("^[^\ufffd]*\ufffd{1,3}$"))
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -201,7 +209,7 @@ def scored(results: DataFrame) -> DataFrame:
     """``result_id``, ``source``, ``language``, ``marked``, ``log_odds``, ``cut`` of each snippet that isn't null or blank."""
     raw = results.select("result_id", "source", "snippet", F.xxhash64(F.regexp_replace(F.lower(F.substring_index(F.regexp_replace("url", "[?#].*$", ""), "://", -1)), r"^www\.|/\s*$", "")).alias("address"))
     # normal text is made once and kept for the passes of the model
-    texts = cut(raw.withColumn("marked", F.col("snippet").rlike(MARKS)).withColumn("broken", broken(F.col("snippet"))).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
+    texts = cut(raw.withColumn("marked", marked(F.col("snippet"))).withColumn("broken", broken(F.col("snippet"))).withColumn("text", normal(F.col("snippet"))).drop("snippet")).where("text <> '' or marked")
     texts = texts.withColumn("language", language(F.col("text"))).withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
     rate_of = base_rates(texts)
     base = F.element_at(F.create_map(*(F.lit(x) for pair in (rate_of or {"": 0.5}).items() for x in pair)), F.col("language"))
@@ -216,8 +224,8 @@ def scored(results: DataFrame) -> DataFrame:
     for r in t.where("not closed and not broken").groupBy("language", "marked", F.floor(F.col("log_odds") / BIN).alias("bin")).count().collect():  # a bounded number of bins for each of a few scripts
         histograms.setdefault((r.language, r.marked), {})[r.bin] = r["count"]
     bound = F.when(F.col("marked"), MARKED_THRESHOLD).otherwise(THRESHOLD)
-    for (lang, marked), own in histograms.items():
-        bound = F.when((F.col("language") == lang) & (F.col("marked") == marked), valley(own, MARKED_THRESHOLD if marked else THRESHOLD)).otherwise(bound)
+    for (lang, mark), own in histograms.items():
+        bound = F.when((F.col("language") == lang) & (F.col("marked") == mark), valley(own, MARKED_THRESHOLD if mark else THRESHOLD)).otherwise(bound)
     return t.withColumn("cut", F.col("broken") | (F.col("log_odds") < bound) & ~F.col("closed")).drop("closed", "broken")
 
 
