@@ -29,6 +29,8 @@ SITE_PLACES = [
     (r"developers\.weixin\.qq\.com", [".markdown-body", ".content", "#js_content"]),
     (r"docs\.python\.org|developer\.mozilla\.org|docs\.docker\.com|kubernetes\.io", ["main", "article", "[role=main]"]),
 ]
+#: Usual containers of content.
+USUAL_PLACES = ["main", "article", "[role=main]", ".post-content", ".article-content", ".markdown-body", "#content", ".content"]
 SITE_TEXT, READABLE_TEXT = 200, 80
 
 
@@ -47,13 +49,30 @@ def charset(declared: Column, html: Column) -> Column:
 
 
 def normal_heading(title: Column) -> Column:
-    """Longest piece (the first among equals) of a heading without marks and links, in lower case; '' if nothing is left."""
-    t = F.regexp_replace(title, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"^#+\s*", ""), r"\s+", " ")
-    pieces = F.filter(F.transform(F.split(t, r"\s*[|｜·_–—]\s*|\s+-\s+"), lambda p: F.lower(F.trim(p))), lambda p: p != "")
+    """Longest piece (the first among equals) of a heading without marks and links, in lower case; '' if nothing is left.
+
+    A link of nothing but '#' is dropped whole.
+    """
+    t = F.regexp_replace(F.regexp_replace(title, r"\[\s*#*\s*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"^\s*#+\s*", ""), r"\s*#+\s*$", "")
+    pieces = F.filter(F.transform(F.split(t, r"\s*[|｜·_–—-]\s*"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " ")))), lambda p: p != "")
     return F.aggregate(pieces, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
 
 
+def without_title(content: Column, title: Column) -> Column:
+    """Content without a first line that is a level-one heading and says what the page's title says, or how it begins."""
+    first = F.trim(F.substring_index(content, "\n", 1))
+    head, whole = normal_heading(first), normal_heading(F.coalesce(title, F.lit("")))
+    rest = F.when(F.contains(content, F.lit("\n")), F.regexp_replace(F.regexp_replace(content, "^[^\\n]*\\n", ""), "^\\n+", "")).otherwise(content)
+    return F.when(first.rlike(r"^#\s") & (head != "") & (whole != "") & F.startswith(whole, head), rest).otherwise(content)
+
+
+def answer(content: Column, via: Column) -> Column:
+    """Content, or a note that tells the way taken where nothing was extracted."""
+    note = F.concat(F.lit("(no content, way taken: "), F.coalesce(via, F.lit("none")), F.lit("; the page may need scripts)"))
+    return F.when(F.coalesce(content, F.lit("")) == "", note).otherwise(content)
+
+
 def truncated(text: Column, most: int) -> Column:
     """Text cut after ``most`` characters with a note; shorter text stays."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(f"\n\n[...truncated at {most} characters]"))).otherwise(text)
@@ -69,14 +88,19 @@ def routed(content_type: Column, content: Column) -> Column:
     return F.when(kind.contains("text") | kind.contains("html") | (kind == ""), content).otherwise(F.concat(F.lit("["), kind, F.lit("] Binary content")))
 
 
+def entities(text: Column) -> Column:
+    """Text with the five entities of markup decoded."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def text_by_patterns(html: Column) -> Column:
     """Text of flat html without a parser: comments and scripts dropped, block tags as line ends, five entities decoded."""
     t = F.regexp_replace(html, r"(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
     t = F.regexp_replace(t, rf"(?i)</?({'|'.join(sorted(BLOCK_TAGS))}|br)(\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return squeezed(t)
+    return squeezed(entities(t))
 
 
 def decode_body(data: bytes | None, name: str | None) -> str:
@@ -203,7 +227,10 @@ def _readable(root: _Node) -> _Node | None:
 
 
 def choose(page: _Tree, url: str | None) -> tuple[_Node, str]:
-    """(content, way taken): a known place of the site, the most readable container, the largest block, or the body."""
+    """(content, way taken): a known place of the site, the most readable container, else the whole body.
+
+    Where the body has a usual container of content with text, the way is called 'fallback-largest'; the content is the body all the same.
+    """
     for pattern, places in SITE_PLACES:
         if url and re.search(pattern, url):
             for place in places:
@@ -214,8 +241,8 @@ def choose(page: _Tree, url: str | None) -> tuple[_Node, str]:
     best = _readable(page.root)
     if best is not None and len(best.text().strip()) >= READABLE_TEXT:
         return best, "readability"
-    blocks = [n for n in page.root.walk() if n.tag in ("div", "section", "article", "main", "td") and len(n.text().strip()) >= READABLE_TEXT]
-    return (max(blocks, key=lambda n: len(n.text())), "fallback-largest") if blocks else (page.root, "body")
+    usual = any(any(_matches(n, x) for x in USUAL_PLACES) and n.text().strip() for n in page.root.walk())
+    return page.root, "fallback-largest" if usual else "body"
 
 
 def _squeeze(text: str) -> str:
@@ -224,97 +251,121 @@ def _squeeze(text: str) -> str:
 
 
 def to_text(node: _Node) -> str:
+    """Text with a line end around each block; of trees of any depth."""
     out: list[str] = []
-
-    def put(n: _Node) -> None:
-        block = n.tag in BLOCK_TAGS
-        if block or n.tag == "br":
+    todo: list[_Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        block = x.tag in BLOCK_TAGS
+        if block or x.tag == "br":
             out.append("\n")
-        for x in n.items:
-            out.append(x) if isinstance(x, str) else put(x)
         if block:
-            out.append("\n")
-
-    put(node)
+            todo.append("\n")
+        todo += reversed(x.items)
     return _squeeze("".join(out))
 
 
 _ESCAPED = re.compile(r"([\\*`\[\]])")
-
-
-def to_markdown(node: _Node, url: str | None) -> str:
-    """Markdown with ATX headings, fenced code, '-' lists and tables; links are made absolute."""
-
-    def inline(items: list[_Node | str]) -> str:
-        parts = []
-        for x in items:
-            if isinstance(x, str):
-                parts.append(_ESCAPED.sub(r"\\\1", re.sub(r"\s+", " ", x)))
-                continue
-            body = inline(x.items)
-            if x.tag == "br":
-                parts.append("  \n")
-            elif x.tag in ("b", "strong") and body.strip():
-                parts.append(f"**{body.strip()}**")
-            elif x.tag in ("i", "em") and body.strip():
-                parts.append(f"_{body.strip()}_")
-            elif x.tag == "code":
-                parts.append(f"`{x.text()}`")
-            elif x.tag == "a":
-                to = x.attrs.get("href", "")
-                if body.strip():
-                    parts.append(f"[{body.strip()}]({absolute(to)})" if to else body)
-            elif x.tag == "img":
-                if x.attrs.get("alt"):
-                    parts.append(f"![{x.attrs['alt']}]({absolute(x.attrs.get('src', ''))})")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: A list deeper than this isn't indented any more.
+DEEPEST = 16
+
+
+class _Markdown:
+    """Renders a tree from its leaves to its root, without recursion: each node is text of a line or a list of blocks."""
+
+    def __init__(self, url: str | None) -> None:
+        self.url = url
+        self.text: dict[int, str] = {}
+        self.blocks: dict[int, list[str]] = {}
+
+    def absolute(self, to: str) -> str:
+        if not self.url or re.match(r"(?:https?|mailto|tel|javascript|data):|#", to, re.I):
+            return to
+        try:
+            return urljoin(self.url, to)
+        except ValueError:
+            return to
+
+    def of(self, root: _Node) -> str:
+        order: list[tuple[_Node, int, bool]] = []
+        todo = [(root, 0, False)]
+        while todo:
+            n, depth, line = todo.pop()
+            order.append((n, depth, line))
+            inner = 0 if n.tag == "blockquote" else depth + (n.tag == "li")
+            todo += [(x, inner, line or n.tag in _HEADINGS or x.tag not in BLOCK_TAGS or x.tag in ("td", "th")) for x in n.items if isinstance(x, _Node)]
+        for n, depth, line in reversed(order):
+            if line:
+                self.text[id(n)] = self._line(n)
             else:
-                parts.append(body)
-        return "".join(parts)
-
-    def absolute(to: str) -> str:
-        return to if not url or re.match(r"(?:mailto|tel|javascript|data):|#", to) else urljoin(url, to)
-
-    def blocks(n: _Node, depth: int = 0) -> list[str]:
+                self.blocks[id(n)] = self._blocks(n, depth)
+        return "\n\n".join(b for b in self.blocks[id(root)] if b)
+
+    def _body(self, items: list[_Node | str]) -> str:
+        return "".join(_ESCAPED.sub(r"\\\1", re.sub(r"\s+", " ", x)) if isinstance(x, str) else self.text.pop(id(x)) for x in items)
+
+    def _line(self, n: _Node) -> str:
+        body = self._body(n.items)
+        bare = body.strip()
+        if n.tag == "br":
+            return "  \n"
+        if n.tag in ("b", "strong"):
+            return f"**{bare}**" if bare else body
+        if n.tag in ("i", "em"):
+            return f"_{bare}_" if bare else body
+        if n.tag == "code":
+            return f"`{n.text()}`"
+        if n.tag == "a":
+            to = n.attrs.get("href", "")
+            return "" if not bare else f"[{bare}]({self.absolute(to)})" if to else body
+        if n.tag == "img":
+            return f"![{n.attrs['alt']}]({self.absolute(n.attrs.get('src', ''))})" if n.attrs.get("alt") else ""
+        return body
+
+    def _blocks(self, n: _Node, depth: int) -> list[str]:
+        if n.tag in _HEADINGS:
+            body = self._body(n.items).strip()
+            return [f"{'#' * int(n.tag[1])} {body}"] if body else []
+        if n.tag == "pre":
+            return ["```\n" + n.text().strip("\n") + "\n```"]
+        if n.tag == "hr":
+            return ["---"]
+        if n.tag in ("ul", "ol"):
+            lines = []
+            for k, li in enumerate((x for x in n.items if isinstance(x, _Node) and x.tag == "li"), 1):
+                own = self.blocks.pop(id(li)) or [""]
+                lines.append("  " * min(depth, DEEPEST) + ("- " if n.tag == "ul" else f"{k}. ") + own[0])
+                lines += own[1:]
+            return ["\n".join(lines)]
+        if n.tag == "table":
+            cells = [[self.text.get(id(c), "").strip() for c in r.items if isinstance(c, _Node) and c.tag in ("td", "th")] for r in n.walk() if r.tag == "tr"]
+            rows = [r for r in cells if r]
+            return ["\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]])] if rows else []
+        if n.tag == "tr":
+            return []  # its table reads the cells
         out: list[str] = []
         run: list[_Node | str] = []
-
-        def flush() -> None:
-            if (t := inline(run).strip()) :
-                out.append(t)
-            run.clear()
-
-        for x in n.items:
-            if isinstance(x, str) or x.tag not in BLOCK_TAGS:
+        for x in [*n.items, None]:
+            if x is not None and (isinstance(x, str) or x.tag not in BLOCK_TAGS):
                 run.append(x)
                 continue
-            flush()
-            if re.fullmatch("h[1-6]", x.tag):
-                if t := inline(x.items).strip():
-                    out.append("#" * int(x.tag[1]) + " " + t)
-            elif x.tag == "pre":
-                out.append("```\n" + x.text().strip("\n") + "\n```")
-            elif x.tag in ("ul", "ol"):
-                lines = []
-                for k, li in enumerate((i for i in x.items if isinstance(i, _Node) and i.tag == "li"), 1):
-                    own = blocks(li, depth + 1) or [""]
-                    lines.append("  " * depth + ("- " if x.tag == "ul" else f"{k}. ") + own[0])
-                    lines += own[1:]
-                out.append("\n".join(lines))
-            elif x.tag == "blockquote":
-                out.append("\n".join("> " + line for line in "\n\n".join(blocks(x)).split("\n")))
-            elif x.tag == "table":
-                rows = [[inline(c.items).strip() for c in r.items if isinstance(c, _Node) and c.tag in ("td", "th")] for r in x.walk() if r.tag == "tr"]
-                if rows := [r for r in rows if r]:
-                    head, *rest = rows
-                    out.append("\n".join("| " + " | ".join(r) + " |" for r in [head, ["---"] * len(head), *rest]))
-            elif x.tag == "hr":
-                out.append("* * *")
-            else:
-                out += blocks(x, depth)
-        flush()
+            if t := self._body(run).strip():
+                out.append(t)
+            run = []
+            if x is not None:
+                out += self.blocks.pop(id(x)) if id(x) in self.blocks else [self.text[id(x)].strip()]
+        if n.tag == "blockquote":
+            return ["\n".join("> " + line for line in "\n\n".join(out).split("\n"))]
         return out
 
-    return "\n\n".join(b for b in blocks(node) if b)
+
+def to_markdown(node: _Node, url: str | None) -> str:
+    """Markdown with ATX headings, fenced code, '-' lists and tables; with ``url``, links are made absolute. Trees of any depth."""
+    return _Markdown(url).of(node)
 
 
 def extract(html: str | None, url: str | None) -> tuple[str, str, str, str]:
@@ -324,7 +375,7 @@ def extract(html: str | None, url: str | None) -> tuple[str, str, str, str]:
     page = tree(html)
     node, via = choose(page, url)
     heading = next((n.text().strip() for n in page.root.walk() if n.tag == "h1"), "")
-    return page.title.strip() or heading, to_text(node), to_markdown(node, url), via
+    return page.title.strip() or heading, to_text(node), to_markdown(node, None if via == "site-selector" else url), via
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
