@@ -56,7 +56,7 @@ def marked(text: Column) -> Column:
 def normal(text: Column) -> Column:
     """Text with white space collapsed, tags dropped, numbers masked and marks of omission at its end dropped."""
     t = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, _TAG, "")).otherwise(text)
-    t = F.translate(F.regexp_replace(t, r"[\s 　]+", " "), "\x00\x01", "")
+    t = F.translate(F.regexp_replace(t, r"[\s\u00a0\u3000]+", " "), "\x00\x01", "")
     t = F.when(marked(text), F.regexp_replace(t, MARKS, "")).otherwise(t)
     return F.btrim(F.regexp_replace(t, r"[0-9]+", "#"), F.lit(" "))
 
