@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import constants as C
+from rankloom.functions import text as T
 from rankloom.functions import urls as U
 from rankloom.operators import official as O
 from rankloom.plans import pools as L
@@ -31,8 +33,12 @@ SELECT query_hash, coalesce(engine, '(none)') AS engine, created_at, CASE WHEN r
 def cache_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last write of each key wins; broken and null bodies are kept as misses."""
     c = L.table(spark, d, "result_cache").where("query_hash is not null")
-    w = Window.partitionBy("query_hash").orderBy(F.col("created_at").desc(), F.col("engine").asc_nulls_last(), F.col("results").asc_nulls_last())
-    last = c.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    # nulls come last: a body or engine that is there wins; texts are compared the other way round than times
+    order = F.struct("created_at", F.col("engine").isNotNull().alias("a"))
+    latest = c.groupBy("query_hash").agg(F.max(order).alias("o")).select("query_hash", "o.*").withColumnRenamed("created_at", "at")
+    same = c.withColumn("a", F.col("engine").isNotNull()).join(latest.withColumnRenamed("a", "b"), "query_hash").where("created_at = at and a = b")
+    last = same.groupBy("query_hash").agg(F.max("created_at").alias("created_at"), F.min(F.struct(F.coalesce("engine", F.lit("")).alias("e"), F.col("results").isNull().alias("n"), F.coalesce("results", F.lit("")).alias("r"), "engine", "results")).alias("x"))
+    last = last.select("query_hash", "created_at", "x.engine", "x.results")
     n = F.json_array_length("results")
     return last.select("query_hash", F.coalesce("engine", F.lit("(none)")).alias("engine"), "created_at", F.when(F.col("results").isNull(), F.lit(None).cast("boolean")).otherwise(n.isNotNull()).alias("ok"), n.alias("n"))
 
@@ -115,15 +121,40 @@ def breaker(spark: SparkSession, d: str) -> DataFrame:
     return s.select("event_id", opened.alias("open"))
 
 
+_BUILT_IN = ", ".join(f"('{r}')" for r in [*("." + t for t in N.NOTORIOUS_TLDS), *(h for h in C.SHORTENERS if h != "shortest.link")])
+_LOWERED = ", ".join(f"('lower', '{h}')" for h in C.LOWERED)
+
+
 @query(f"""
-WITH u AS (SELECT DISTINCT {S.host('url')} AS host FROM search_results), l AS (SELECT host, CASE WHEN host LIKE '%.test' THEN 'hosts' ELSE 'abp' END AS list FROM u WHERE regexp_full_match(host, '[a-z0-9.-]+\\.[a-z0-9-]+')),
-n AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY host) AS rn FROM l)
-SELECT list, host AS rule FROM n WHERE rn <= CASE list WHEN 'hosts' THEN 1000 ELSE 1500 END""")
+WITH u AS (SELECT {S.host('url')} AS host, min(result_id) AS n FROM search_results GROUP BY 1), h AS (SELECT * FROM u WHERE host <> ''),
+hosts AS (SELECT host AS rule FROM h WHERE host LIKE '%.test' AND contains(host, '.') AND NOT regexp_matches(host, '^[0-9.]+$|:') ORDER BY n LIMIT 1000),
+abp AS (SELECT host AS rule FROM h WHERE NOT host LIKE '%.test' AND contains(host, '.') AND regexp_full_match(host, '[a-z0-9_.-]+') AND NOT regexp_matches(host, '^[0-9.]+$') ORDER BY n LIMIT 1500),
+tlds AS (SELECT DISTINCT '.' || regexp_extract(host, '([^.]+)$', 1) AS rule FROM h WHERE regexp_full_match(regexp_extract(host, '([^.]+)$', 1), '[a-z0-9-]{{2,}}') AND (host LIKE '%.test' OR regexp_extract(host, '([^.]+)$', 1) IN ({S.quoted(N.NOTORIOUS_TLDS)})))
+SELECT 'remove' AS action, rule FROM (SELECT rule FROM hosts UNION SELECT rule FROM abp UNION SELECT rule FROM tlds UNION SELECT * FROM (VALUES {_BUILT_IN}) b(rule))
+UNION ALL SELECT * FROM (VALUES {_LOWERED}) l(action, rule)""")
 def blocklist_etl(spark: SparkSession, d: str) -> DataFrame:
-    """Two host lists as text in their formats, parsed back, with each list's limit, repeats dropped, sorted (the limits are the feature)."""
-    hosts = L.table(spark, d, "search_results").select(U.host(F.col("url")).alias("host")).where("host <> ''").distinct()
-    lines = hosts.select(F.when(F.col("host").endswith(".test"), F.concat(F.lit("0.0.0.0 "), "host")).otherwise(F.concat(F.lit("||"), "host", F.lit("^"))).alias("value"))
-    return N.parse_blocklists(lines)
+    """Three host lists as text in their formats, in the order in which hosts first appear, parsed with each list's limit and joined to the built-in rules."""
+    seen = L.table(spark, d, "search_results").select("result_id", U.host(F.col("url")).alias("host")).where("host <> ''").groupBy("host").agg(F.min("result_id").alias("n"))
+    test = F.endswith("host", F.lit(".test"))
+    one = lambda name, value: F.struct(F.lit(name).alias("list"), F.lit(name).alias("kind"), value.alias("value"))
+    tld = F.concat(F.lit("||*."), F.regexp_extract("host", r"([^.]+)$", 1), F.when(test, "^").otherwise("^$denyallow=example.org"))
+    lines = F.array(F.when(test, one("hosts", F.concat(F.lit("0.0.0.0 "), "host", F.lit(" # seen")))).otherwise(one("abp", F.concat(F.lit("||"), "host", F.lit("^$third-party")))), one("abp-tlds", tld))
+    return N.parse_blocklists(seen.select("n", F.explode(lines).alias("x")).select("n", "x.*"))
+
+
+def _fallback_sql(name: str, keep: str) -> str:
+    built = ", ".join(f"('{r}', 'remove')" for r in [*C.JUNK_TLDS, *C.SHORTENERS]) + ", " + ", ".join(f"('{r}', 'lower')" for r in C.LOWERED)
+    own = f"SELECT rule, action FROM domain_rules WHERE trim(rule) <> '' AND {keep}"
+    return f"SELECT '{name}' AS rules, rule, action FROM ({own} UNION ALL SELECT rule, action FROM (VALUES {built}) b(rule, action) WHERE action NOT IN (SELECT action FROM domain_rules WHERE trim(rule) <> '' AND {keep}))"
+
+
+@query(" UNION ALL ".join([_fallback_sql("all", "true"), _fallback_sql("without lower", "action <> 'lower'"), _fallback_sql("none", "action NOT IN ('lower', 'remove')")]))
+def rule_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The rules in force with the whole table, and with tables that lack one or both kinds, for which the built-in lists step in."""
+    rules = L.table(spark, d, "domain_rules")
+    kinds = {"all": rules, "without lower": rules.where("action <> 'lower'"), "none": rules.where("action not in ('lower', 'remove')")}
+    parts = [N.with_fallback(r).select(F.lit(k).alias("rules"), "rule", "action") for k, r in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""
@@ -134,16 +165,46 @@ m AS (
   SELECT query_id, dom, ord, label, CASE WHEN NOT list_contains([{S.quoted(O.LABEL_STOP)}], parts[1]) AND len(parts) >= 3 AND stem = parts[1] THEN 5 WHEN stem = label THEN 4
          WHEN length(stem) >= 4 AND starts_with(label, stem) THEN 3 WHEN length(label) >= 4 AND starts_with(stem, label) THEN 3 WHEN length(stem) >= 4 AND contains(label, stem) THEN 2
          WHEN substr(stem, 1, 3) = substr(label, 1, 3) AND levenshtein(stem, label) <= 2 THEN 1 ELSE 0 END AS score
-  FROM stems, labels WHERE length(label) >= 3 AND NOT list_contains([{S.quoted(O.LABEL_STOP)}], label))
-SELECT query_id, arg_min(dom, {{'s': -score, 'l': CASE WHEN score = 5 THEN 0 ELSE length(label) END, 'o': ord}}) AS domain, max(score) AS score FROM m WHERE score > 0 GROUP BY query_id""")
+  FROM stems, labels WHERE length(label) >= 3 AND NOT list_contains([{S.quoted(O.LABEL_STOP)}], label)),
+best AS (SELECT query_id, arg_min(dom, {{'s': -score, 'l': CASE WHEN score = 5 THEN 0 ELSE length(label) END, 'o': ord}}) AS domain, max(score) AS score FROM m WHERE score > 0 GROUP BY query_id),
+named AS (SELECT query_id, CASE {' '.join(f"WHEN contains({'lower(q)' if a.isascii() else 'q'}, '{a}') THEN '{h}'" for a, h in C.OFFICIAL_ALIASES)} END AS alias FROM queries_clean)
+SELECT query_id, coalesce(alias, domain) AS domain, CASE WHEN alias IS NULL THEN score END AS score FROM named LEFT JOIN best USING (query_id) WHERE coalesce(alias, domain) IS NOT NULL""")
 def official_domain(spark: SparkSession, d: str) -> DataFrame:
-    """The documentation host that a query's product words spell, of the authority hosts in the rule table."""
-    return O.inferred(L.queries_clean(spark, d), L.table(spark, d, "domain_rules"))
+    """The documentation host of a query: that of the first product alias it names (without a score), else the one its product words spell, of the authority hosts in the rule table."""
+    q = L.queries_clean(spark, d)
+    best = O.inferred(q, L.table(spark, d, "domain_rules"))
+    named = q.select("query_id", O.alias(F.col("q")).alias("alias")).join(best, "query_id", "left")
+    return named.select("query_id", F.coalesce("alias", "domain").alias("domain"), F.when(F.col("alias").isNull(), F.col("score")).alias("score")).where("domain is not null")
+
+
+_PROVIDER = "CASE WHEN list_contains(engines, 'tavily') THEN 'tavily' WHEN list_contains(engines, 'bocha') THEN 'bocha' WHEN list_contains(engines, 'zhipu') THEN 'zhipu' END"
+_SPLIT = "list_transform(string_split(coalesce(source, ''), '+'), lambda s: trim(s)) AS engines"
 
 
 @query(f"""
-SELECT result_id, title, url, substr(snippet, 1, CASE source WHEN 'tavily' THEN 800 ELSE 500 END) AS snippet, source FROM search_results WHERE list_contains(['tavily', 'bocha', 'zhipu'], source) AND {S.valid('url')} AND title IS NOT NULL""")
+WITH e AS (SELECT *, {_SPLIT} FROM search_results), p AS (SELECT *, {_PROVIDER} AS provider FROM e)
+SELECT result_id, title, url, substr(snippet, 1, CASE provider WHEN 'tavily' THEN 800 ELSE 500 END) AS snippet, provider AS source FROM p WHERE provider IS NOT NULL AND {S.valid('url')} AND title IS NOT NULL""")
 def api_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of search interfaces written as each provider's JSON and parsed back by its parser."""
-    r = L.table(spark, d, "search_results").where(F.col("source").isin("tavily", "bocha", "zhipu") & F.col("url").isNotNull() & F.col("title").isNotNull())
+    """Rows of search interfaces (alone or joined with other engines) written as each provider's JSON and parsed back by its parser."""
+    r = L.table(spark, d, "search_results").where(F.col("url").isNotNull() & F.col("title").isNotNull())
     return N.parsed(N.as_responses(r)).select(F.col("ref").alias("result_id"), "title", "url", "snippet", "source")
+
+
+@query("""
+SELECT query_hash, created_at, CASE WHEN regexp_matches(results, '"(?:code|status)"\\s*:\\s*(?:401|403|429)\\b') OR regexp_matches(results, '(?i)unauthori[sz]ed|invalid.{0,10}key|api key|quota|rate limit') THEN 'auth' ELSE 'contract' END AS error
+FROM result_cache WHERE results IS NOT NULL""")
+def answer_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Cached bodies read as a provider's answers: none has the shape of one, so each is an error of the contract or, by its wording, of the key."""
+    c = L.table(spark, d, "result_cache").where("results is not null").select(F.struct("query_hash", "created_at").alias("ref"), F.lit("tavily").alias("source"), F.col("results").alias("body"))
+    return N.failures(c).select("ref.query_hash", "ref.created_at", "error")
+
+
+@query(f"""
+WITH c AS (SELECT *, {S.POOL} AS pool, {_SPLIT} FROM search_results WHERE query_id IS NOT NULL),
+f AS (SELECT pool, bool_or(list_contains(engines, 'tavily')) AS t, bool_or(list_contains(engines, 'bocha')) AS b, bool_or(list_contains(engines, 'zhipu')) AS z FROM c GROUP BY pool)
+SELECT pool, CASE WHEN t THEN 'tavily' WHEN b THEN 'bocha' WHEN z THEN 'zhipu' END AS provider FROM f""")
+def provider_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The search interface that answers for each pool: the first of the fixed order that has rows there, null without one."""
+    c = L.captured(spark, d).select("pool", T.split_sources(F.col("source")).alias("engines"))
+    f = c.groupBy("pool").agg(*[F.bool_or(F.array_contains("engines", F.lit(p))).alias(p) for p in N.PROVIDERS])
+    return f.select("pool", F.coalesce(*[F.when(F.col(p), p) for p in N.PROVIDERS]).alias("provider"))
