@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.catalog.ranking import _FIELDS
+from rankloom.functions.text import coverage
 from rankloom.functions.urls import bare_host
 from rankloom.operators import evaluate as E
 from rankloom.operators import rank as R
@@ -161,12 +163,125 @@ def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _means(_grid(spark, d, [(f"floor={x}", R.RankConfig(cov_floor=x)) for x in FLOORS]))
 
 
-@query()
+def _values(rows: list[tuple], names: str) -> str:
+    """A table of configurations ``cfg``: a name and numbers."""
+    return f"cfg AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) if isinstance(x, str) else f'{float(x)}::DOUBLE' for x in r) + ')' for r in rows)}) t(config, {names}))"
+
+
+_WITH_BM = f"{_FIELDS}, scored_bm AS (SELECT s.*, coalesce(b.bm25, 0.0) AS bm25 FROM scored s LEFT JOIN bms b USING (pool, key))"
+_MEANS_OF = f" SELECT {_MEANS3} FROM metrics_grid GROUP BY config"
+
+
+@query(_grid_sql(f"{_WITH_BM}, {_values([(f'rrf={a} cov={b} bm25={c}', a, b, c) for a, b, c in GRID], 'a, b, c')}", f"a * rrf + b * coverage + c * bm25 - 0.15 * lower_host::INT {_BASE}") + _MEANS_OF)
 def config_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The joint grid of 108 points (no SQL: the crossed rows are slow there; the smaller grids check the same plan)."""
+    """The joint grid of 108 points over fusion, coverage and BM25."""
     return _means(_grid(spark, d, [(f"rrf={a} cov={b} bm25={c}", R.RankConfig(w_rrf=a, w_coverage=b, w_bm25=c)) for a, b, c in GRID]))
 
 
+#: The points of the other grids.
+BM25_GRID = [(b, a) for b in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0) for a in (0.4, 0.6, 0.8, 1.0)]
+WEIGHTS = [(a, w) for a in (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0) for w in (False, True)]
+RRF_KS = (10.0, 20.0, 40.0, 60.0, 100.0)
+POWERS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
+RERANK_WEIGHTS = (0.0, 0.2, 0.35, 0.5, 0.7, 1.0)
+
+
+@query(_grid_sql(f"{_WITH_BM}, {_values([(f'bm25={b} rrf={a}', b, a) for b, a in BM25_GRID], 'b, a')}", f"a * rrf + b * bm25 - 0.15 * lower_host::INT {_BASE}") + _MEANS_OF)
+def bm25_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of BM25 against those of the fusion."""
+    return _means(_grid(spark, d, [(f"bm25={b} rrf={a}", R.RankConfig(w_bm25=b, w_rrf=a)) for b, a in BM25_GRID]))
+
+
+def _fused_sql(weight: str, k: str, join: str = "") -> str:
+    """Fusion by configuration in SQL: ``rrf_c`` of each row, relative to the best of its pool."""
+    return f"""
+scored_bm AS (
+  SELECT s.*, c.*, s.raw_c / greatest(max(s.raw_c) OVER (PARTITION BY c.config, s.pool), 1e-9) AS rrf_c
+  FROM (SELECT f.config AS config_, f.raw_c, t.* EXCLUDE (rrf) FROM (
+          SELECT c.config, e.pool, e.key, coalesce(sum(({weight}) / ({k} + e.rank)), 0.0) AS raw_c
+          FROM (SELECT pool, key, unnest(CASE WHEN len(engines) > 0 THEN engines ELSE [NULL] END, recursive := true) FROM scored) e CROSS JOIN cfg c {join} GROUP BY ALL) f JOIN scored t USING (pool, key)) s JOIN cfg c ON c.config = s.config_)"""
+
+
+def _fused_grid_sql(cfg: str, weight: str, k: str, score: str, join: str = "", before: str = "") -> str:
+    return _grid_sql(f"{before}{cfg}, {_fused_sql(weight, k, join)}", score).replace("FROM scored_bm, cfg", "FROM scored_bm")
+
+
+@query(_fused_grid_sql(_values([(f"rrf={a} cov={round(1 - a, 2)} weighted={int(w)}", a, int(w)) for a, w in WEIGHTS], "a, w"), f"CASE WHEN c.w = 1 THEN {S.weight('e.engine')} ELSE 1.0 END", "20", "a * rrf_c + (1 - a) * coverage - 0.15 * lower_host::INT + 0.18 * authority - 0.08 * tutorial - 0.18 * mirror - 0.10 * homepage") + _MEANS_OF)
+def weight_stage(spark: SparkSession, d: str) -> DataFrame:
+    """First stage of the tuning: shares of fusion and coverage, with and without weights of the engines, no penalty for echoes."""
+    return _means(_grid(spark, d, [_weight_point(a, w) for a, w in WEIGHTS]))
+
+
+def _weight_point(a: float, w: bool) -> tuple[str, R.RankConfig]:
+    return f"rrf={a} cov={round(1 - a, 2)} weighted={int(w)}", R.RankConfig(w_rrf=a, w_coverage=1 - a, engine_weighted=w, echo_penalty=0.0)
+
+
+@query(_fused_grid_sql(_values([(f"k={k}", k) for k in RRF_KS], "k"), "1.0", "c.k", f"rrf_c - 0.15 * lower_host::INT {_BASE}") + _MEANS_OF)
+def k_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Third stage of the tuning: the constant of the fusion."""
+    return _means(_grid(spark, d, [(f"k={k}", R.RankConfig(rrf_k=k)) for k in RRF_KS]))
+
+
+_QUALITIES = "qualities AS (SELECT pool, engine, greatest(avg(coverage), 0.01) AS quality FROM (SELECT pool, coverage, unnest(engines, recursive := true) FROM scored) GROUP BY ALL), "
+
+
+@query(_fused_grid_sql(_values([(f"power={p}", p) for p in POWERS], "p"), "pow(quality, c.p)", "20", f"rrf_c - 0.15 * lower_host::INT {_BASE}", "LEFT JOIN qualities q ON q.pool = e.pool AND q.engine = e.engine", _QUALITIES) + _MEANS_OF)
+def quality_power_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Engines weighted by how well their rows cover the query, to a power."""
+    return _means(_grid(spark, d, [(f"power={p}", R.RankConfig(quality_power=p)) for p in POWERS]))
+
+
+@query()
+def tuned_config(spark: SparkSession, d: str) -> DataFrame:
+    """The three stages one after another, each from the best point of the one before: ``stage``, ``config`` and its means.
+
+    Each stage is one job; one row of it decides the next (the grids of the stages have SQL of their own).
+    """
+    order = [F.col("ndcg5").desc(), F.col("mrr").desc(), "config"]
+    best, out = R.DEFAULT, []
+    stages = [
+        ("weights", lambda c: [_weight_point(a, w) for a, w in WEIGHTS]),
+        ("penalties", lambda c: [(f"echo={e} lower={p}", replace(c, echo_penalty=e, lower_penalty=p)) for e, p in PENALTIES]),
+        ("k", lambda c: [(f"k={k}", replace(c, rrf_k=k)) for k in RRF_KS]),
+    ]
+    for name, points in stages:
+        settings = points(best)
+        top = _means(_grid(spark, d, settings)).orderBy(*order).first()
+        if top is not None:
+            best = dict(settings)[top.config]
+            out.append((name, *top))
+    return spark.createDataFrame(out, "stage string, config string, queries bigint, hit1 double, mrr double, ndcg5 double")
+
+
+@query(SQL["penalty_grid"].replace("SELECT config, count(*)", "SELECT row_number() OVER (ORDER BY round(avg(ndcg5), 4) DESC, round(avg(mrr), 4) DESC, config) AS place, config, count(*)"))
+def leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    """The points of the penalty grid in order: nDCG, then MRR, then name (as many rows as the grid has points)."""
+    means = penalty_grid(spark, d)
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.col("ndcg5").desc(), F.col("mrr").desc(), "config")).cast("bigint"))
+
+
+_PASSAGE = "substr(coalesce(title, '') || CASE WHEN coalesce(title, '') <> '' AND coalesce(snippet, '') <> '' THEN ' — ' ELSE '' END || coalesce(snippet, ''), 1, 512)"
+
+
+@query(f"""
+WITH RECURSIVE {S.SIGNALS}, {_values([(f'weight={w}', w) for w in RERANK_WEIGHTS], 'weight')},
+logits AS (SELECT * EXCLUDE (rank), rank AS old, CASE WHEN rank <= 15 THEN {S.coverage('terms', _PASSAGE)} END AS logit FROM ranking),
+scaled AS (SELECT *, (logit - min(logit) OVER (PARTITION BY pool)) / coalesce(nullif(max(logit) OVER (PARTITION BY pool) - min(logit) OVER (PARTITION BY pool), 0), 1) AS scaled FROM logits),
+blend AS (SELECT *, CASE WHEN weight > 0 THEN (1 - weight) * rrf + weight * scaled END AS combined FROM scaled, cfg),
+grid AS (SELECT *, row_number() OVER (PARTITION BY config, pool ORDER BY combined DESC NULLS LAST, old) AS rank FROM blend), {_metrics_sql('grid', 'config, pool, query_id, lang')}
+SELECT {_MEANS3} FROM metrics_grid GROUP BY config""")
+def rerank_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of every pool reranked by a scorer of their passages at several weights (the scorer is term coverage, in place of a model's logits)."""
+    rows = flagged(L.ranking(spark, d))
+    rows = R.with_scaled_logit(rows.withColumn("logit", coverage(F.col("terms"), R.passage(F.col("title"), F.col("snippet")), None)))
+    own = rows.select("pool", "query_id", "lang", "rank", "rrf", "scaled", "coverage", "is_gold", "junk", "aggregator", "chars")
+    weights = spark.createDataFrame([(f"weight={w}", w) for w in RERANK_WEIGHTS], "config string, weight double")
+    combined = F.when(F.col("weight") > 0, R.blended(F.col("weight")))
+    again = own.crossJoin(F.broadcast(weights)).withColumn("combined", combined)  # as many rows as RERANK_WEIGHTS
+    order = Window.partitionBy("config", "pool").orderBy(F.col("combined").desc_nulls_last(), "rank")
+    return _means(E.metrics(again.withColumn("rank", F.row_number().over(order)), ["config", "pool", "query_id", "lang"]))
+
+
 @query(_grid_sql(
     f"scored_bm AS (SELECT * FROM scored), cfg AS (SELECT * FROM (VALUES {', '.join(f'''('floor={x}', {x}::DOUBLE)''' for x in FLOORS)}) t(config, cf))", f"rrf - 0.15 * lower_host::INT {_BASE}", "cf") + """
 SELECT lang, arg_max(config, {'n': ndcg5, 'c': config}) AS best, max(ndcg5) AS ndcg5 FROM (SELECT coalesce(lang, '(none)') AS lang, config, round(avg(ndcg5), 4) AS ndcg5 FROM metrics_grid GROUP BY ALL) GROUP BY lang""")

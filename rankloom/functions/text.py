@@ -45,9 +45,10 @@ def query_terms(q: Column) -> Column:
     return F.array_distinct(F.concat(words, bigrams(han)))
 
 
-def coverage(terms: Column, title: Column, snippet: Column) -> Column:
+def coverage(terms: Column, title: Column, snippet: Column | None) -> Column:
     """Share of the terms that title and snippet contain; 1 without terms."""
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit(""))))
+    parts = [F.coalesce(x, F.lit("")) for x in (title, snippet) if x is not None]
+    text = F.lower(F.concat_ws(" ", *parts))
     hits = F.size(F.filter(terms, lambda t: F.contains(text, F.lower(t))))
     return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(hits / F.size(terms))
 

@@ -199,6 +199,25 @@ def top_n(rows: DataFrame, n: int, **kwargs) -> DataFrame:  # noqa: ANN003
     return ranked(rows, **kwargs).where(F.col("rank") <= n)
 
 
+def passage(title: Column, snippet: Column, most: int = 512) -> Column:
+    """The text that a scorer reads of a row: title and snippet with a dash between them where both are there, cut after ``most`` characters."""
+    t, s = F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))
+    return F.substring(F.concat(t, F.when((t != "") & (s != ""), " — ").otherwise(""), s), 1, most)
+
+
+def with_scaled_logit(rows: DataFrame, head: int = 15) -> DataFrame:
+    """Adds ``scaled``: the ``logit`` of the ``head`` best rows between the lowest and highest of them (0 where all are equal), null in the tail."""
+    w = Window.partitionBy("pool")
+    logit = F.when(F.col("rank") <= head, F.col("logit"))
+    low, high = F.min(logit).over(w), F.max(logit).over(w)
+    return rows.withColumn("scaled", (logit - low) / F.when(high - low == 0, 1.0).otherwise(high - low))
+
+
+def blended(weight: float | Column) -> Column:
+    """``rrf`` and the scaled logit by weight; null in the tail."""
+    return (1 - weight) * F.col("rrf") + weight * F.col("scaled")
+
+
 def rerank_blend(rows: DataFrame, weight: float = 0.35, head: int = 15) -> DataFrame:
     """Blends ``rrf`` of the ``head`` best rows with their min-max normalised ``logit``; the tail keeps its order.
 
@@ -207,11 +226,6 @@ def rerank_blend(rows: DataFrame, weight: float = 0.35, head: int = 15) -> DataF
     weight = min(1.0, max(0.0, weight))
     if weight == 0:
         return rows.withColumn("combined", F.lit(None).cast("double")).withColumn("new_rank", F.col("rank"))
-    in_head = F.col("rank") <= head
-    w = Window.partitionBy("pool")
-    logit = F.when(in_head, F.col("logit"))
-    low, high = F.min(logit).over(w), F.max(logit).over(w)
-    scaled = (F.col("logit") - low) / F.when(high - low == 0, 1.0).otherwise(high - low)
-    r = rows.withColumn("combined", F.when(in_head, (1 - weight) * F.col("rrf") + weight * scaled))
-    order = Window.partitionBy("pool").orderBy(F.when(in_head, 0).otherwise(1), F.col("combined").desc_nulls_last(), "rank")
+    r = with_scaled_logit(rows, head).withColumn("combined", blended(weight)).drop("scaled")
+    order = Window.partitionBy("pool").orderBy(F.col("combined").desc_nulls_last(), "rank")
     return r.withColumn("new_rank", F.row_number().over(order))
