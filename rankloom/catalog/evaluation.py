@@ -14,7 +14,6 @@ from rankloom.operators import evaluate as E
 from rankloom.operators import rank as R
 from rankloom.plans import pools as L
 from rankloom.plans import sql as S
-from rankloom.plans.skew import salted_join
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -291,49 +290,22 @@ def best_config(spark: SparkSession, d: str) -> DataFrame:
     return means.groupBy("lang").agg(F.max_by("config", F.struct("ndcg5", "config")).alias("best"), F.max("ndcg5").alias("ndcg5"))
 
 
-_API = "len(list_intersect(list_transform(string_split(coalesce(source, ''), '+'), lambda s: trim(s)), ['tavily', 'bocha', 'zhipu'])) > 0"
-
-
-@query(f"""
-WITH {S.KEPT}, {S.QUERIES_CLEAN},
-c AS (SELECT k.result_id, k.pool, k.idx, k.domain, {_API} AS api, {S.coverage(S.query_terms('q.q'), "coalesce(title, '') || ' ' || coalesce(snippet, '')")} AS coverage FROM kept k JOIN queries_clean q USING (query_id)),
-w AS (SELECT *, count_if(NOT api) OVER (PARTITION BY pool) AS prod, bool_or(NOT api) OVER (PARTITION BY pool, domain) AS known, sum(api::INT) OVER (PARTITION BY pool ORDER BY idx) AS api_n FROM c)
-SELECT strategy, count(*) AS rows, count(DISTINCT pool) AS pools FROM (
-  SELECT *, unnest(list_filter([CASE WHEN NOT api THEN 'prod' END, 'append', CASE WHEN NOT api OR coverage >= 0.2 THEN 'gate020' END, CASE WHEN NOT api OR coverage >= 0.4 THEN 'gate040' END, CASE WHEN NOT api OR NOT known THEN 'new_domain' END,
-    CASE WHEN NOT api OR api_n <= 5 THEN 'max5' END, CASE WHEN NOT api OR prod < 8 THEN 'rescue8' END, CASE WHEN NOT api OR prod < 12 THEN 'rescue12' END], lambda x: x IS NOT NULL)) AS strategy FROM w) GROUP BY strategy""")
-def ab_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that each way of taking in rows of search interfaces would rank."""
-    rows = R.with_coverage(salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "q"), ["query_id"], by="pool"))
-    api = F.exists("sources", lambda s: s.isin("tavily", "bocha", "zhipu"))
-    pool = Window.partitionBy("pool")
-    w = rows.withColumn("api", api).withColumn("prod", F.count_if(~F.col("api")).over(pool)).withColumn("known", F.bool_or(~F.col("api")).over(Window.partitionBy("pool", "domain")))
-    w = w.withColumn("api_n", F.sum(F.col("api").cast("int")).over(pool.orderBy("idx")))
-    own = ~F.col("api")
-    ways = {"prod": own, "append": F.lit(True), "gate020": own | (F.col("coverage") >= 0.2), "gate040": own | (F.col("coverage") >= 0.4), "new_domain": own | ~F.col("known"), "max5": own | (F.col("api_n") <= 5), "rescue8": own | (F.col("prod") < 8), "rescue12": own | (F.col("prod") < 12)}
-    each = w.select("pool", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in ways.items()]))).alias("strategy"))
-    return each.groupBy("strategy").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("pool").alias("pools"))
-
-
 @query(f"""
 WITH {S.KEPT}, {S.QUERIES_CLEAN}, g AS (SELECT k.pool, {_GOLD.replace('gold,', 'q.gold,')} AS is_gold FROM kept k JOIN queries_clean q USING (query_id))
 SELECT pool, count(*) AS rows, count_if(is_gold) AS gold_rows, bool_or(is_gold) AS gold_in_pool FROM g GROUP BY pool""")
 def pool_diagnosis(spark: SparkSession, d: str) -> DataFrame:
-    rows = salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "gold"), ["query_id"], by="pool")
+    rows = L.with_query(L.kept_rows(spark, d), spark, d)
     g = rows.withColumn("is_gold", E.is_gold(F.col("domain"), F.col("gold")))
     return g.groupBy("pool").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_gold").alias("gold_rows"), F.bool_or("is_gold").alias("gold_in_pool"))
 
 
-@query("""
-WITH p AS (SELECT vec_id, label AS pool, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
-c AS (SELECT p.*, list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS logit FROM p JOIN p q ON q.pool = p.pool AND q.rank = 1),
-r AS (SELECT *, (1.0::DOUBLE / (20 + rank)) / (1.0::DOUBLE / 21) AS rrf, min(CASE WHEN rank <= 15 THEN logit END) OVER (PARTITION BY pool) AS lo, max(CASE WHEN rank <= 15 THEN logit END) OVER (PARTITION BY pool) AS hi FROM c),
-b AS (SELECT *, CASE WHEN rank <= 15 THEN 0.65 * rrf + 0.35 * (logit - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END) END AS combined FROM r)
-SELECT vec_id, pool, round(combined, 6) AS combined, row_number() OVER (PARTITION BY pool ORDER BY CASE WHEN rank <= 15 THEN 0 ELSE 1 END, combined DESC NULLS LAST, rank) AS new_rank FROM b""")
+@query(f"""
+WITH RECURSIVE {S.SIGNALS},
+logits AS (SELECT * EXCLUDE (rank), rank AS old, CASE WHEN rank <= 15 THEN {S.coverage('terms', _PASSAGE)} END AS logit FROM ranking),
+scaled AS (SELECT *, (logit - min(logit) OVER (PARTITION BY pool)) / coalesce(nullif(max(logit) OVER (PARTITION BY pool) - min(logit) OVER (PARTITION BY pool), 0), 1) AS scaled FROM logits),
+blend AS (SELECT *, CASE WHEN old <= 15 THEN 0.65 * rrf + 0.35 * scaled END AS combined FROM scaled)
+SELECT pool, key, round(combined, 6) AS combined, row_number() OVER (PARTITION BY pool ORDER BY combined DESC NULLS LAST, old) AS new_rank FROM blend""")
 def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each label reranked by likeness to the label's first vector (a stand-in for a scorer's logits)."""
-    w = Window.partitionBy("pool").orderBy("vec_id")
-    p = L.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pool"), "embedding").withColumn("rank", F.row_number().over(w))
-    first = p.groupBy("pool").agg(F.min_by("embedding", "rank").alias("q"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    rows = p.join(first, "pool").withColumn("logit", dot).withColumn("rrf", (1 / (20 + F.col("rank"))) / F.lit(1 / 21))
-    return R.rerank_blend(rows).select("vec_id", "pool", F.round("combined", 6).alias("combined"), "new_rank")
+    """The first rows of every pool reranked by a scorer of their passages (term coverage, in place of a model's logits) at the default weight."""
+    rows = L.ranking(spark, d).withColumn("logit", coverage(F.col("terms"), R.passage(F.col("title"), F.col("snippet")), None))
+    return R.rerank_blend(rows).select("pool", "key", F.round("combined", 6).alias("combined"), "new_rank")

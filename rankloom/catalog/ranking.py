@@ -299,22 +299,6 @@ def empty_fallback(spark: SparkSession, d: str) -> DataFrame:
     return t.where("spare").join(t.where("not spare").select("pool").distinct(), "pool", "left_anti").select("result_id", "pool")
 
 
-@query(f"""
-WITH {_CAPTURED}, h AS (SELECT *, regexp_replace({S.host('url')}, '^www\\.', '') AS domain, {S.url_key('url')} AS key FROM captured WHERE {S.valid('url')}),
-g AS (SELECT query_id, lower(unnest(gold)) AS site FROM queries), m AS (SELECT h.query_id, site, key, min(pos) AS pos, min(result_id) AS result_id FROM h JOIN g ON g.query_id = h.query_id AND (domain = site OR domain LIKE '%.' || site) GROUP BY ALL)
-SELECT query_id, site, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, site ORDER BY pos, result_id) AS rank FROM m) WHERE rank <= 10""")
-def site_search(spark: SparkSession, d: str) -> DataFrame:
-    """For each query and site (its gold hosts): the first ten pages of that site, without repeats.
-
-    The pages of a hot query are pre-aggregated by address before they are numbered.
-    """
-    rows = U.with_address(L.captured(spark, d).select("query_id", "result_id", "pos", "url")).where("host <> ''").select("query_id", "result_id", "pos", F.explode(U.host_suffixes(F.col("domain"))).alias("site"), "key")
-    sites = L.table(spark, d, "queries").select("query_id", F.explode(F.array_distinct(F.transform("gold", lambda g: F.lower(g)))).alias("site"))
-    m = rows.join(sites, ["query_id", "site"]).groupBy("query_id", "site", "key").agg(F.min("pos").alias("pos"), F.min("result_id").alias("result_id"))
-    r = m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "site").orderBy("pos", "result_id")))
-    return r.where("rank <= 10").select("query_id", "site", "key", "rank")
-
-
 @query(f"""
 WITH {_CAPTURED}, h AS (SELECT *, {S.host('url')} AS host, {_API_SQL} AS api FROM captured WHERE {S.valid('url')})
 SELECT pool, host, count(*) AS rows FROM h WHERE api AND NOT EXISTS (SELECT 1 FROM h p WHERE p.pool = h.pool AND p.host = h.host AND NOT p.api) GROUP BY pool, host""")
@@ -356,6 +340,6 @@ WITH {S.KEPT}, {S.QUERIES_CLEAN}, e AS (SELECT r.pool, r.engine, {S.coverage(S.q
 SELECT engine, round(avg(coverage), 6) AS quality, count(*) AS rows FROM e GROUP BY engine""")
 def engine_quality(spark: SparkSession, d: str) -> DataFrame:
     """Mean coverage of each engine's rows."""
-    rows = salted_join(L.kept_rows(spark, d), L.queries_clean(spark, d).select("query_id", "q"), ["query_id"], by="pool")
+    rows = L.with_query(L.kept_rows(spark, d), spark, d)
     each = R.with_coverage(rows).select(F.explode("sources").alias("engine"), "coverage")
     return each.groupBy("engine").agg(F.round(F.avg("coverage"), 6).alias("quality"), F.count(F.lit(1)).alias("rows"))

@@ -28,17 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def place(spark: SparkSession) -> str:
+    """A new folder in the shared one; it is deleted when the driver ends, or by ``release``."""
+    where = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back, so that later stages don't repeat it.
 
-    Later stages read only the columns they need. The table is deleted when the driver ends, or by ``release``.
+    Later stages read only the columns they need.
     """
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    where = place(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def release(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def _modules() -> list:
     import importlib
 
-    return [importlib.import_module(f"rankloom.catalog.{m}") for m in ("ranking", "evaluation", "pages", "state")]
+    return [importlib.import_module(f"rankloom.catalog.{m}") for m in ("ranking", "routing", "evaluation", "pages", "state")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ deliberate extension: replays give the same answers.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,6 +56,63 @@ def negative_cache(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").transformWithStateInPandas(_Refusals(), "event_id bigint, refused boolean", "Append", "None")
 
 
+#: Lifetime of an entry of a process's own cache in seconds, and how many it holds.
+MEMORY_TTL, MEMORY_ENTRIES = 600, 200
+
+
+class Fifo:
+    """The cache of one process: entries live MEMORY_TTL, and beyond MEMORY_ENTRIES the one inserted first goes; neither a hit nor a rewrite moves an entry."""
+
+    def __init__(self, entries: list[tuple[str, float]] = ()) -> None:  # type: ignore[assignment]
+        self.until: dict[str, float] = dict(entries)
+
+    def ask(self, key: str, now: float) -> bool:
+        until = self.until.get(key)
+        if until is None:
+            return False
+        if until > now:
+            return True
+        del self.until[key]
+        return False
+
+    def write(self, key: str, now: float) -> None:
+        self.until[key] = now + MEMORY_TTL
+        if len(self.until) > MEMORY_ENTRIES:
+            del self.until[next(iter(self.until))]
+
+
+class _Memory(StatefulProcessor):
+    """A Fifo for each process, kept between batches; it never holds more than MEMORY_ENTRIES entries."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getValueState("entries", "entries string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        cache = Fifo(json.loads(self.entries.get()[0])) if self.entries.exists() else Fifo()
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out = []
+        for event_id, ts, query, kind in zip(batch["event_id"], batch["ts"], batch["query_hash"], batch["kind"], strict=True):
+            now = pd.Timestamp(ts).timestamp()
+            if kind == "write":
+                cache.write(query, now)
+            else:
+                out.append((event_id, cache.ask(query, now)))
+        self.entries.update((json.dumps(list(cache.until.items())),))
+        yield pd.DataFrame({"process": [key[0]] * len(out), "event_id": [x[0] for x in out], "hit": [x[1] for x in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def memory_cache(events: DataFrame) -> DataFrame:
+    """``process``, ``event_id``, ``hit`` of each question in a stream of ``process``, ``event_id``, ``ts``, ``query_hash``, ``kind`` ('ask' or 'write'); needs the RocksDB state store.
+
+    Counters of hits and questions are sums over the result.
+    """
+    own = events.select("process", "event_id", "ts", "query_hash", "kind").groupBy("process")
+    return own.transformWithStateInPandas(_Memory(), "process string, event_id bigint, hit boolean", "Append", "None")
+
+
 def latest_by_key(batch: DataFrame, path: str) -> None:
     """``foreachBatch`` sink of a last-write-wins cache: each batch is reduced to one row for a key and appended; readers take the latest."""
     batch.groupBy("query_hash").agg(F.max_by(F.struct("results", "engine"), "created_at").alias("v"), F.max("created_at").alias("created_at")).select("query_hash", "v.*", "created_at").write.mode("append").parquet(path)

@@ -82,3 +82,13 @@ def test_rrf_rewards_agreement(spark):
     got = {r.key: r.rrf for r in R.with_rrf(rows).collect()}
     assert got["four"] == 1.0
     assert got["one"] < 0.5
+
+
+def test_characters_and_rounding(spark):
+    assert [one(spark, T.has_cjk(F.col("t")), t=t) for t in ("a", "中", "の", "한", "é")] == [False, True, True, True, False]
+    assert one(spark, T.round_half_up(F.col("x"), 4), x=0.12345) == 0.1235 and one(spark, T.round_half_up(F.col("x"), 0), x=-0.5) == 0.0
+
+
+def test_passages(spark):
+    got = lambda t, s: one(spark, R.passage(F.col("t"), F.col("s")), t=t, s=s)
+    assert [got("a", "b"), got("a", None), got(None, "b"), got("", ""), len(got("a" * 600, "b"))] == ["a — b", "a", "b", "", 512]
