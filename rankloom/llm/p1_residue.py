@@ -2,26 +2,31 @@
 
 Every segment (a snippet, or a line of a page's text; of longer ones each sentence) is judged by evidence that adds up: placeholder
 detectors, phrases of notices, how little it says, whether its words meet the words of the page's address
-slug and title, and how many addresses and hosts show the very same segment once digits and names are
-masked. Talk about templates, errors or scripts counts against. Only segments that some detector holds
-for are grouped over the corpus; the groups are pre-aggregated and joined back salted.
+slug and title, whether they are words that slugs and titles of the corpus have at all, and how many addresses
+and hosts show the very same segment once digits and names are masked. Talk about templates, errors or
+scripts counts against. Segments that some detector holds for are grouped over the corpus, pre-aggregated by
+their masked text, and joined back salted. The weights of the evidence are fitted to the corpus: the patterns
+of evidence are counted, and expectation maximisation over these counts (at most two to the number of
+features, whatever the corpus) tells residue from other text, from stated beginnings.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import bigrams
 from rankloom.functions.urls import bare_host, path
 from rankloom.plans.durable import cut
+from rankloom.plans.skew import salted_join
 
 #: Unfilled placeholders of the usual template languages.
 PLACEHOLDER = (
     r"\{\{\{?[^{}\n]{1,40}\}\}|\$\{[^{}\n]{1,40}\}|#\{[^{}\n]{1,40}\}|\{%[^{}\n]{1,40}%\}|<%=?[^<>\n]{1,40}%>|\[\[[^\[\]\n]{1,40}\]\]"
-    r"|\[[A-Z][A-Z_]{2,30}\]|%[A-Z][A-Z_]{2,30}%|__[A-Z][A-Z_]{1,30}__|@@[A-Z_a-z]{2,30}@@|\{[a-z]+(?:[_.][a-z_]+)+\}|【(?:在此|请)[^】]{1,20}】|\{[A-Za-z]{3,30}\}|\[object Object\]"
+    r"|\[[A-Z][A-Z_]{2,30}\]|%[A-Z][A-Z_]{2,30}%|__[A-Z][A-Z_]{1,30}__|@@[A-Z_a-z]{2,30}@@|\{[a-z]+(?:[_.][a-z_]+)+\}|【(?:在此|请)[^】]{1,20}】|\{[A-Za-z]{3,30}\}|(?i:\[object object\])"
 )
 #: Text that stands where text should come, by its own wording. Groups that may repeat at any length are possessive, as others recurse; a longer run of x is data.
 FILLER = (
@@ -73,13 +78,27 @@ FILLER_WORDS = [*FILLER_OWN, *"dolor dolore sit elit sed do tempor ut et magna e
 #: Different words of FILLER_OWN, and share of FILLER_WORDS, from which a text is filler.
 OWN_WORDS, FILLER_SHARE = 3, 0.5
 
-#: Evidence a segment needs.
-THRESHOLD = 2.0
+#: Evidence of a segment: how often residue, and other text that a detector holds for, is taken to show it before anything is counted.
+BEGINNINGS = {
+    "dense": (0.4, 0.02),
+    "placeholder": (0.4, 0.5),
+    "notice": (0.6, 0.4),
+    "weak": (0.1, 0.1),
+    "talk": (0.01, 0.7),
+    "topical": (0.1, 0.8),
+    "mismatch": (0.9, 0.5),
+    "short": (0.8, 0.6),
+    "repeated": (0.5, 0.3),
+    "on_hosts": (0.5, 0.3),
+}
+#: Share of residue among such segments before anything is counted, segments that the beginnings count for, and rounds of the fit.
+RESIDUE_SHARE, STRENGTH, ROUNDS = 0.7, 50.0, 60
+#: Share of the rows whose slug or title has a term from which on it is a topic, and topics that make a segment topical.
+TOPIC_SHARE, TOPICS = 0.001, 3
 #: A line of more characters is a paragraph; it is judged sentence by sentence.
 PARAGRAPH = 240
 #: A shorter sentence is judged with the next one.
 SENTENCE = 20
-SALTS = 16
 
 
 def _words(segment: Column) -> Column:
@@ -88,13 +107,26 @@ def _words(segment: Column) -> Column:
     return F.size(F.regexp_extract_all(rest, F.lit(r"([A-Za-zÀ-ÿ'’]+)"), F.lit(1))) + F.size(F.regexp_extract_all(rest, F.lit("([㐀-鿿])"), F.lit(1))) / 2
 
 
+#: Words of addresses and titles that no page is about.
+_NO_TOPIC = "docs guide blog wiki article thread posts notes html with what reference tutorial howto page error errors".split()
+
+
+def _terms(latin: Column, han: Column) -> Column:
+    """Words of four letters and more, and pairs of Han characters."""
+    words = F.filter(F.regexp_extract_all(latin, F.lit("([a-zà-ÿ]{4,})"), F.lit(1)), lambda w: ~w.isin(_NO_TOPIC))
+    return F.array_distinct(F.concat(words, bigrams(F.regexp_extract_all(han, F.lit("([㐀-鿿]{2,})"), F.lit(1)))))
+
+
 def _topic(url: Column, title: Column) -> Column:
-    """Terms of the address slug and the title: words of four letters and more, and pairs of Han characters."""
+    """Terms of the address slug and the title."""
     slug = F.regexp_replace(F.lower(path(url)), r"[^a-z]+", " ")
-    text = F.concat_ws(" ", slug, F.lower(F.coalesce(title, F.lit(""))))
-    words = F.filter(F.regexp_extract_all(text, F.lit("([a-zà-ÿ]{4,})"), F.lit(1)), lambda w: ~w.isin("docs", "guide", "blog", "wiki", "article", "thread", "posts", "notes", "html", "with", "what", "reference", "tutorial", "howto", "page", "error", "errors"))
-    han = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("([㐀-鿿]{2,})"), F.lit(1))
-    return F.array_distinct(F.concat(words, bigrams(han)))
+    return _terms(F.concat_ws(" ", slug, F.lower(F.coalesce(title, F.lit("")))), F.coalesce(title, F.lit("")))
+
+
+def topics(pages: DataFrame) -> DataFrame:
+    """``term`` of each topic: terms that at least TOPIC_SHARE of the rows (``url``, ``title``) have in slug or title."""
+    least = TOPIC_SHARE * pages.count()
+    return pages.select(F.explode(_topic(F.col("url"), F.col("title"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("term")
 
 
 def signature(segment: Column) -> Column:
@@ -160,8 +192,28 @@ def _detected(segments: DataFrame) -> DataFrame:
     return d.where("placeholders > 0 or notice or weak or filler")
 
 
-def judged(segments: DataFrame) -> DataFrame:
-    """``origin, row_id, segment, score`` of the segments that a detector holds for."""
+def fitted(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], float]:
+    """(weight of each feature of BEGINNINGS, bias): log-odds of residue, by expectation maximisation over counted patterns of features.
+
+    Features are taken to be independent within residue and within other text. The beginnings count as
+    STRENGTH segments, so that they decide where there are few and the corpus decides where there are many.
+    """
+    shown = np.array(list(BEGINNINGS.values())).T  # residue, other
+    x = np.array([p for p, _ in patterns], float).reshape(-1, len(BEGINNINGS))
+    n = np.array([c for _, c in patterns], float)
+    share, rates = RESIDUE_SHARE, shown.copy()
+    for _ in range(ROUNDS):
+        weights = np.log(rates[0] / (1 - rates[0])) - np.log(rates[1] / (1 - rates[1]))
+        bias = np.log(share / (1 - share)) + np.log((1 - rates[0]) / (1 - rates[1])).sum()
+        residue = n / (1 + np.exp(-(x @ weights + bias)))
+        own = np.stack([residue, n - residue])
+        rates = (own @ x + STRENGTH * shown) / (own.sum(axis=1, keepdims=True) + STRENGTH)
+        share = (residue.sum() + STRENGTH * RESIDUE_SHARE) / (n.sum() + STRENGTH)
+    return weights.tolist(), float(bias)
+
+
+def judged(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """``origin, row_id, segment, score`` (log-odds of residue) of the segments that a detector holds for; ``pages`` has ``url`` and ``title`` of all rows."""
     s = F.col("segment")
     d = _detected(segments)
     d = d.withColumn("words", _words(s)).withColumn("talk", F.col("beside").rlike(TALK)).withColumn("sig", F.xxhash64(signature(s)))
@@ -169,22 +221,31 @@ def judged(segments: DataFrame) -> DataFrame:
     d = d.withColumn("mismatch", ~F.exists(_topic(F.col("url"), F.col("title")), lambda t: F.contains(text, t)))
     d = d.withColumn("host", bare_host(F.col("url"))).select("origin", "row_id", "segment", "placeholders", "notice", "weak", "filler", "words", "talk", "sig", "mismatch", "host", F.xxhash64("url").alias("address"))
     d = cut(d)
-    # the same segment on many addresses and hosts: pre-aggregated, and joined back over salts as one segment may be very frequent
-    seen = d.groupBy("sig").agg(F.approx_count_distinct("address", 0.1).alias("addresses"), F.approx_count_distinct("host", 0.1).alias("hosts"), F.avg(F.col("mismatch").cast("double")).alias("astray"))
-    seen = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    d = d.withColumn("salt", F.pmod(F.xxhash64("row_id", "origin"), F.lit(SALTS)).cast("int")).join(seen, ["sig", "salt"])
-    dense = (F.col("placeholders") > 0) & (F.col("words") <= 6 * F.col("placeholders"))
-    score = (
-        F.when(dense | F.col("filler"), 2.0).when(F.col("placeholders") > 0, 0.8).otherwise(0.0)
-        + F.when(F.col("notice"), 1.8).otherwise(0.0)
-        + F.when(F.col("weak") & ~F.col("notice"), 0.8).otherwise(0.0)
-        - F.when(F.col("talk"), 1.8).otherwise(0.0)
-        + F.when(F.col("mismatch"), 0.3).otherwise(0.0)
-        + F.when(F.col("words") <= 14, 0.3).otherwise(0.0)
-        + F.when((F.col("addresses") >= 3) & (F.col("astray") >= 0.6), 0.3).otherwise(0.0)
-        + F.when((F.col("hosts") >= 3) & (F.col("astray") >= 0.6), 0.2).otherwise(0.0)
-    )
-    return d.select("origin", "row_id", "segment", score.alias("score"))
+    # the same segment on many addresses and hosts: pre-aggregated, as one segment may be very frequent
+    seen = d.groupBy("sig").agg(F.approx_count_distinct("address", 0.1).alias("addresses"), F.approx_count_distinct("host", 0.1).alias("hosts"), F.avg(F.col("mismatch").cast("double")).alias("astray"), F.first("segment").alias("like"))
+    seen = cut(seen.withColumn("like", F.regexp_replace("like", PLACEHOLDER, " ")))
+    terms = seen.select("sig", F.explode(_terms(F.lower("like"), F.col("like"))).alias("term"))
+    about = salted_join(terms, topics(pages), ["term"], by="sig").groupBy("sig").agg(F.count(F.lit(1)).alias("topics"))
+    seen = seen.drop("like").join(about, "sig", "left")
+    again = F.col("astray") >= 0.6
+    features = {
+        "dense": (F.col("placeholders") > 0) & (F.col("words") <= 6 * F.col("placeholders")) | F.col("filler"),
+        "placeholder": F.col("placeholders") > 0,
+        "notice": F.col("notice"),
+        "weak": F.col("weak") & ~F.col("notice"),
+        "talk": F.col("talk"),
+        "topical": F.coalesce(F.col("topics") >= TOPICS, F.lit(False)),
+        "mismatch": F.col("mismatch"),
+        "short": F.col("words") <= 14,
+        "repeated": (F.col("addresses") >= 3) & again,
+        "on_hosts": (F.col("hosts") >= 3) & again,
+    }
+    e = cut(salted_join(d, seen, ["sig"], by="row_id").select("origin", "row_id", "segment", F.array(*[features[k].cast("int") for k in BEGINNINGS]).alias("features")))
+    weights, bias = fitted([(tuple(r.features), r["count"]) for r in e.groupBy("features").count().collect()])  # two to the number of features at most
+    score = F.lit(bias)
+    for k, w in enumerate(weights):
+        score = score + w * F.get("features", F.lit(k))
+    return e.select("origin", "row_id", "segment", score.alias("score"))
 
 
 def segments_of(results: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -206,7 +267,8 @@ def residue(results: DataFrame, extractions: DataFrame) -> DataFrame:
     title may be null: such a record simply has nothing its text could meet. Whole texts are read. Empty
     tables give no rows.
     """
-    return judged(segments_of(results, extractions)).where(F.col("score") >= THRESHOLD).select("origin", "row_id").distinct()
+    pages = results.select("url", "title").unionByName(extractions.select("url", "title"))
+    return judged(segments_of(results, extractions), pages).where(F.col("score") > 0).select("origin", "row_id").distinct()
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,26 @@ def test_residue_in_paragraphs(spark):
     assert [x.row_id for x in p1.residue(results(spark, kept[:1]), lines).collect()] == [0]
 
 
+def test_weights_are_fitted_to_the_corpus():
+    names = list(p1.BEGINNINGS)
+    pattern = lambda *on: tuple(int(k in on) for k in names)
+    few, bias = p1.fitted([])
+    assert dict(zip(names, few, strict=True))["talk"] < -4 and p1.fitted([])[1] == bias
+    # where talk about such pages is always topical, topics alone come to tell it
+    many = [(pattern("notice", "mismatch", "short"), 3_000), (pattern("dense", "placeholder", "mismatch", "short"), 2_000), (pattern("notice", "talk", "topical"), 2_000), (pattern("placeholder", "talk", "topical", "mismatch"), 1_000)]
+    weights, bias = p1.fitted(many)
+    assert dict(zip(names, weights, strict=True))["topical"] < dict(zip(names, few, strict=True))["topical"] - 2
+    score = lambda *on: bias + sum(w * x for w, x in zip(weights, pattern(*on), strict=True))
+    assert score("notice", "mismatch", "short") > 0 > score("notice", "topical", "mismatch")
+
+
+def test_topics(spark):
+    rows = [(f"https://h.example/docs/cold-starts-{k}", f"Cold starts in Nimbusdb, part {k}") for k in range(40)] + [("https://h.example/x", "批量导入说明")] * 3 + [(None, None)]
+    got = {r.term for r in p1.topics(spark.createDataFrame(rows, "url string, title string")).collect()}
+    assert {"cold", "starts", "nimbusdb", "批量", "导入"} <= got and not got & {"docs", "in", "的"}
+    assert p1.topics(spark.createDataFrame(rows, "url string, title string").limit(0)).count() == 0
+
+
 def test_clean_results_are_those_not_found(spark, tmp_path):
     # a weak wording alone is too little; with three addresses and hosts, two of them pages, it is residue
     weak = "Try again later, please wait for {{ name }} until all of it is here and the rest of it has come in too"
