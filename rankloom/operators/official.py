@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.constants import AUTHORITY_HOSTS, LABEL_STOP, OFFICIAL_ALIASES
 from rankloom.operators.pool import clean_rules
+from rankloom.plans.skew import bounded
 
 
 def label_score(stem: Column, label: Column) -> Column:
@@ -49,7 +50,7 @@ def inferred(queries: DataFrame, rules: DataFrame) -> DataFrame:
     own = queries.select("query_id", F.explode(stems(F.col("q"))).alias("stem"))
     first = F.get("parts", F.lit(0))
     hosted = ~F.array_contains(stop, first) & (F.size("parts") >= 3) & (F.col("stem") == first)
-    m = own.crossJoin(F.broadcast(labels)).withColumn("score", F.when(hosted, 5).otherwise(label_score(F.col("stem"), F.col("label")))).where("score > 0")
+    m = own.crossJoin(bounded(labels)).withColumn("score", F.when(hosted, 5).otherwise(label_score(F.col("stem"), F.col("label")))).where("score > 0")
     order = F.struct(-F.col("score"), F.when(F.col("score") == 5, 0).otherwise(F.length("label")), F.col("ord"))
     return m.groupBy("query_id").agg(F.min_by("dom", order).alias("domain"), F.max("score").alias("score"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.constants import AGGREGATOR_HOSTS
 from rankloom.functions.text import jaccard, split_sources, word_set
 from rankloom.functions.urls import host_suffixes, with_address
+from rankloom.plans.durable import cut
 from rankloom.plans.skew import bounded, salted_join
 
 #: Titles of two rows that are more alike than this are one page.
@@ -61,8 +62,8 @@ def kept(results: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rows = with_address(results).where("host <> ''")
     rows = rows.where(~F.col("url").rlike(f"(?i){AGGREGATOR_HOSTS}") & ~F.coalesce(F.col("title"), F.lit("")).rlike("百度图片|视频大全"))
-    acts = match_rules(with_address(results.select("url")), rules)
-    joined = salted_join(rows, acts, ["host"], by="result_id", how="left")
+    hosts = cut(with_address(results.select("url")).where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("_n")))
+    joined = salted_join(rows, match_rules(hosts, rules), ["host"], by="result_id", how="left", counts=hosts)
     has = lambda a: F.coalesce(F.array_contains("actions", F.lit(a)), F.lit(False))
     return joined.where(~has("remove")).withColumn("lower", has("lower")).withColumn("sources", split_sources(F.col("source"))).withColumn("acts", F.coalesce("bare_actions", F.array().cast("array<string>"))).drop("actions", "bare_actions")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import clean_query, query_language
 from rankloom.operators import pool as P
 from rankloom.operators import rank as R
+from rankloom.plans.durable import cut
 from rankloom.plans.skew import salted_join
 
 
@@ -44,7 +45,7 @@ def kept_rows(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) ->
 
 def query_of_pools(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """``pool``, ``query_id``, ``q``, ``lang``, ``gold`` of each pool whose query is known; a query may have very many pools."""
-    pools = (captured(spark, sf_dir) if raw is None else raw).select("pool", "query_id").distinct()
+    pools = cut((captured(spark, sf_dir) if raw is None else raw).select("pool", "query_id").distinct())
     return salted_join(pools, queries_clean(spark, sf_dir).drop("route"), ["query_id"], by="pool")
 
 
