@@ -151,6 +151,37 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("strategy").agg(F.count(F.lit(1)).alias("pages"), F.count("text").alias("answered"), F.count_if(F.contains(F.lower("text"), title)).alias("titled"), F.count_if(F.col("text").rlike(_FURNITURE)).alias("with_furniture"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
 
 
+@query(f"""
+WITH k AS (SELECT extract_id, url, html, plain, via, CASE WHEN html IS NOT NULL THEN 'text/html' ELSE 'text/plain' END AS kind FROM extractions)
+SELECT extract_id, CASE WHEN NOT {S.valid('url')} THEN 'invalid address' WHEN kind = 'text/html' AND coalesce(plain, html) = '' THEN 'empty' WHEN kind = 'text/html' THEN 'page' WHEN regexp_matches(plain, '^\\s*<') THEN 'page' WHEN plain = '' THEN 'empty' ELSE 'text' END AS route,
+       CASE WHEN NOT {S.valid('url')} THEN NULL ELSE '# ' || {S.host('url')} || chr(10) || chr(10) || 'URL: ' || url END AS head FROM k""")
+def page_routes(spark: SparkSession, d: str) -> DataFrame:
+    """What a fetch does with each answer: pages go to the extraction, text passes, empty ones get a note; addresses must be http or https."""
+    url, host = F.col("url"), U.host(F.col("url"))
+    html = F.col("html").isNotNull()
+    route = F.when(~U.is_valid_url(url), "invalid address").when(html & (F.coalesce("plain", "html") == ""), "empty").when(html | F.col("plain").rlike(r"^\s*<"), "page").when(F.col("plain") == "", "empty").otherwise("text")
+    head = F.when(U.is_valid_url(url), F.concat(F.lit("# "), host, F.lit("\n\nURL: "), url))
+    return L.table(spark, d, "extractions").select("extract_id", route.alias("route"), head.alias("head"))
+
+
+@query("""
+SELECT extract_id, replace(plain, chr(0), '') AS text FROM extractions WHERE plain IS NOT NULL""")
+def decoded_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as the bytes of an answer that names UTF-8, decoded again by the reader of bodies."""
+    bodies = L.table(spark, d, "extractions").where("plain is not null").select("extract_id", F.encode("plain", "UTF-8").alias("body"), F.lit("utf-8").alias("charset"))
+    return X.decoded(bodies)
+
+
+@query(r"""
+SELECT extract_id, coalesce(nullif(trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')), ''), '') AS document_title, len(regexp_extract_all(coalesce(html, ''), '(?i)<(?:script|style|noscript|iframe|svg|canvas|form|button|input|select|textarea)[\s>/]')) AS stripped FROM extractions""")
+def page_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The document title of each page, and how many elements go before anything else is read."""
+    html = F.coalesce("html", F.lit(""))
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
+    gone = F.size(F.regexp_extract_all(html, F.lit(r"(?i)(<(?:script|style|noscript|iframe|svg|canvas|form|button|input|select|textarea)[\s>/])"), F.lit(1)))
+    return L.table(spark, d, "extractions").select("extract_id", title.alias("document_title"), gone.cast("bigint").alias("stripped"))
+
+
 @query()
 def page_content(spark: SparkSession, d: str) -> DataFrame:
     """Title, text, markdown and the way taken of each page, by the parser (tested on small pages)."""

@@ -119,10 +119,17 @@ WITH w AS (SELECT result_id, {S.POOL} AS pool, {_WORDS.format('title')} AS w FRO
 SELECT a.result_id AS a, b.result_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity
 FROM w a JOIN w b ON a.pool = b.pool AND a.result_id < b.result_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.85""")
 def title_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of one pool with titles that are alike (a pool is one capture: tens of rows)."""
-    w = L.captured(spark, d).select("result_id", "pool", T.word_set(F.col("title")).alias("w"))
-    a, b = w.select("pool", F.col("result_id").alias("a"), F.col("w").alias("wa")), w.select("pool", F.col("result_id").alias("b"), F.col("w").alias("wb"))
-    j = a.join(b, "pool").where("a < b").withColumn("s", T.jaccard(F.col("wa"), F.col("wb"))).where(F.col("s") > P.SAME_TITLE)
+    """Rows of one pool with titles that are alike (a pool is one capture: tens of rows).
+
+    Two word sets that are more than SAME_TITLE alike share a word among the first few of each in any common
+    order, so only rows that share one of those are compared, not all pairs of a pool.
+    """
+    w = L.captured(spark, d).select("result_id", "pool", T.word_set(F.col("title")).alias("w")).where(F.size("w") > 0)
+    order = F.transform(F.array_sort(F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["h"])
+    first = F.size("w") - F.ceil(F.size("w") * P.SAME_TITLE).cast("int") + 1
+    each = w.withColumn("h", F.explode(F.slice(order, F.lit(1), first)))
+    a, b = (each.select("pool", "h", F.col("result_id").alias(n), F.col("w").alias(f"w{n}")) for n in "ab")
+    j = a.join(b, ["pool", "h"]).where("a < b").dropDuplicates(["a", "b"]).withColumn("s", T.jaccard(F.col("wa"), F.col("wb"))).where(F.col("s") > P.SAME_TITLE)
     return j.select("a", "b", F.round("s", 6).alias("similarity"))
 
 

@@ -114,6 +114,18 @@ def decode_body(data: bytes | None, name: str | None) -> str:
     return data.decode("utf-8", "replace") if text.count("�") > 0.01 * len(text) else text
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, bodies, names = (c.to_pylist() for c in batch.columns)
+        texts = [decode_body(b, n).replace("\x00", "") for b, n in zip(bodies, names, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["extract_id", "text"])
+
+
+def decoded(bodies: DataFrame) -> DataFrame:
+    """``extract_id``, ``text`` of ``extract_id``, ``body`` (bytes) and ``charset`` as named; null bodies give ''."""
+    return bodies.select("extract_id", "body", "charset").mapInArrow(_decode, "extract_id bigint, text string")
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "items", "parent")
 

@@ -51,9 +51,12 @@ class _Refusals(StatefulProcessor):
         pass
 
 
-def negative_cache(events: DataFrame) -> DataFrame:
-    """``event_id``, ``refused`` of a stream of events by ``user_id``; needs the RocksDB state store."""
-    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").transformWithStateInPandas(_Refusals(), "event_id bigint, refused boolean", "Append", "None")
+def negative_cache(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """``event_id``, ``refused`` of a stream of events by ``key``; needs the RocksDB state store.
+
+    With the engine as key this is the breaker of each engine: it refuses while a failure is less than NEGATIVE_TTL back.
+    """
+    return events.select(key, "event_id", "ts", "event_type").groupBy(key).transformWithStateInPandas(_Refusals(), "event_id bigint, refused boolean", "Append", "None")
 
 
 #: Lifetime of an entry of a process's own cache in seconds, and how many it holds.
