@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.plans.durable import cut
+from rankloom.plans.skew import salted_join
 
 
 #: Lengths of the contexts in characters, and slots of the bits that tell which may be an end.
@@ -26,8 +27,6 @@ ORDERS = (2, 4, 6, 9, 13, 18, 24)
 SLOT_BITS = 24
 #: Counts that a task holds before it hands them on.
 HELD = 4_000_000
-#: Orders whose contexts are joined over salts.
-SALTED, SALTS = 3, 8
 #: Weight of the shorter context in the estimate by the next longer one.
 BACKOFF = 4.0
 #: Log-odds below which a text counts as cut, plain ones and those with a mark of omission, of languages and columns too small for a distribution of their own.
@@ -167,13 +166,11 @@ def counts(texts: DataFrame) -> DataFrame:
     # a tail shorter than the longest context is the whole text
     tails = texts.select("tail_id", "tail", "address").distinct().groupBy("tail_id", "tail").agg(F.count(F.lit(1)).alias("n"))
     contexts = cut(tails.select("tail_id", "tail", "n").mapInArrow(_of_tails, "tail_id bigint, k int, key bigint, n bigint"))
-    ends = cut(contexts.groupBy("key", "k").agg(F.sum("n").alias("ends")))
+    ends = cut(contexts.groupBy("key", "k").agg(F.sum("n").alias("ends"), F.count(F.lit(1)).alias("_n")))
     on = texts.select("text").mapInArrow(_count_on(texts.sparkSession, _words(ends)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("on"))
-    # short contexts are few and frequent, so they are joined over salts
-    salts = F.sequence(F.lit(0), F.when(F.col("k") < SALTED, SALTS - 1).otherwise(0))
-    model = ends.join(on, "key", "left").select("key", "ends", F.coalesce("on", F.lit(0)).alias("on"), F.explode(salts).alias("salt"))
-    salt = F.when(F.col("k") < SALTED, F.pmod("tail_id", F.lit(SALTS)).cast("int")).otherwise(0)
-    return contexts.select("tail_id", "k", "key", salt.alias("salt")).join(model, ["key", "salt"]).select("tail_id", "k", "ends", "on")
+    model = ends.join(on, "key", "left").select("key", "ends", F.coalesce("on", F.lit(0)).alias("on"))
+    # short contexts are few and frequent
+    return salted_join(contexts.select("tail_id", "k", "key"), model, ["key"], by="tail_id", counts=ends.select("key", "_n")).select("tail_id", "k", "ends", "on")
 
 
 def rates(counted: DataFrame) -> DataFrame:
@@ -213,11 +210,10 @@ def scored(results: DataFrame) -> DataFrame:
     texts = texts.withColumn("language", language(F.col("text"))).withColumn("tail", F.substring("text", -40, 40)).withColumn("tail_id", F.xxhash64("tail"))
     rate_of = base_rates(texts)
     base = F.element_at(F.create_map(*(F.lit(x) for pair in (rate_of or {"": 0.5}).items() for x in pair)), F.col("language"))
-    # a tail may be very frequent
-    known = rates(counts(texts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    t = texts.select("result_id", "source", "marked", "broken", "language", "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"), F.pmod(F.xxhash64("result_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    t = texts.select("result_id", "source", "marked", "broken", "language", "tail_id", (F.col("tail").rlike(CLOSED) & ~F.col("marked")).alias("closed"))
     rate = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.coalesce("fixed", F.lit(0.0)) + F.coalesce("slope", F.lit(1.0)) * base))
-    t = t.join(known, ["tail_id", "salt"], "left").withColumn("log_odds", F.log(rate / (1 - rate)) - F.log(base / (1 - base))).drop("tail_id", "salt", "fixed", "slope")
+    t = salted_join(t, rates(counts(texts)), ["tail_id"], by="result_id", how="left")  # a tail may be very frequent
+    t = t.withColumn("log_odds", F.log(rate / (1 - rate)) - F.log(base / (1 - base))).drop("tail_id", "fixed", "slope")
     t = cut(t)
     # the texts that the threshold decides on set it
     histograms: dict[tuple[str, bool], dict[int, int]] = {}
