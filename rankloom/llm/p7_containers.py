@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.tokenizer import VOCABULARY, token_ids
 from rankloom.plans.durable import cut
+from rankloom.plans.skew import bounded
 
 #: Texts of one size are numbered in groups of about this many.
 NUMBERED_AT_ONCE = 500_000
+#: Kinds of containers that are broadcast; more are joined without.
+MOST_KINDS = 1_000
 
 
 def fill(window: int, counts: Mapping[int, int]) -> dict[int, int]:
@@ -81,7 +84,7 @@ def packed(sized: DataFrame, containers: DataFrame) -> DataFrame:
     """
     spark = sized.sparkSession
     kinds = containers.where(F.col("capacity_tokens") >= 1).groupBy("container_kind").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
-    each = sized.crossJoin(F.broadcast(kinds))  # a fixed table of three rows
+    each = sized.crossJoin(bounded(kinds, MOST_KINDS))  # a fixed table of three rows
     n, c = F.col("n_tokens"), F.col("capacity")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, c)).otherwise(F.array(F.lit(0)))
     items = each.select("container_kind", "capacity", "doc_id", "n_tokens", F.posexplode(starts).alias("part_no", "first_token"))

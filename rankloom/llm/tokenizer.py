@@ -21,7 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary of byte_bpe_50k lies, if the caller doesn't say.
@@ -39,9 +39,14 @@ _SPLIT = regex.compile(PATTERN)
 _SAFE_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
+#: Vocabularies that came with a task, by their path on the driver.
+_SHIPPED: dict[str, bytes] = {}
+
+
 @functools.cache
 def _ranks(path: str) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    data = _SHIPPED[path] if path in _SHIPPED else Path(path).read_bytes()
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 @functools.cache
@@ -144,13 +149,15 @@ def encode(text: str | None, path: str = VOCABULARY) -> np.ndarray:
     return np.concatenate([next(short) if len(p) <= LONG_TEXT else _encode_part(p, path, pool) for p in parts])
 
 
-def _encoder(path: str, counts: bool):
+def _encoder(spark: SparkSession, path: str, counts: bool):
+    vocabulary = spark.sparkContext.broadcast(Path(path).read_bytes())  # under a megabyte; executors need no copy of the file
     kind = pa.int32() if counts else pa.list_(pa.int32())
 
     def batch_of(ids: list[int], values: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, kind)], ["id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _SHIPPED.setdefault(path, vocabulary.value)
         for batch in batches:
             ids, values, held = [], [], 0
             for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -173,4 +180,4 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY,
     integer, unique and not null. Other columns don't matter. An empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(path, counts), f"id bigint, ids {'int' if counts else 'array<int>'}")
+    return rows.mapInArrow(_encoder(df.sparkSession, path, counts), f"id bigint, ids {'int' if counts else 'array<int>'}")
