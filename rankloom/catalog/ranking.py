@@ -253,6 +253,11 @@ API = ["tavily", "bocha", "zhipu"]
 RESCUE_FLOOR, QUALITY_FLOOR = 12, 3
 
 
+def rescue_floor(value: str | None) -> int:
+    """The floor that a setting names: a whole number of 1 or more, else RESCUE_FLOOR."""
+    return int(value) if value and value.strip().isdigit() and int(value) >= 1 else RESCUE_FLOOR
+
+
 def _api(source):  # noqa: ANN001, ANN202
     return F.exists(T.split_sources(source), lambda s: s.isin(API))
 
@@ -265,11 +270,11 @@ _CAPTURED = f"captured AS (SELECT *, {S.POOL} AS pool FROM search_results WHERE
 WITH {_CAPTURED}, {S.QUERIES_CLEAN}, t AS (SELECT c.*, route, {_API_SQL} AS api FROM captured c JOIN queries_clean q USING (query_id)),
 n AS (SELECT *, count_if(NOT api) OVER (PARTITION BY pool) AS production FROM t WHERE route = 'cn')
 SELECT result_id, pool, api FROM n WHERE NOT api OR production < 12""")
-def rescue_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Chinese pools: rows of search interfaces are appended only where the other engines gave fewer than RESCUE_FLOOR rows."""
+def rescue_gate(spark: SparkSession, d: str, floor: str | None = None) -> DataFrame:
+    """Chinese pools: rows of search interfaces are appended only where the other engines gave fewer rows than the floor (a setting, else RESCUE_FLOOR)."""
     t = salted_join(L.captured(spark, d).select("result_id", "query_id", "pool", "source"), L.queries_clean(spark, d).select("query_id", "route"), ["query_id"], by="result_id").where("route = 'cn'").withColumn("api", _api(F.col("source")))
     n = t.withColumn("production", F.count_if(~F.col("api")).over(Window.partitionBy("pool")))
-    return n.where(~F.col("api") | (F.col("production") < RESCUE_FLOOR)).select("result_id", "pool", "api")
+    return n.where(~F.col("api") | (F.col("production") < rescue_floor(floor))).select("result_id", "pool", "api")
 
 
 #: Order in which English pools fall back.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rankloom.functions.constants import AGGREGATOR_HOSTS, DEFAULT_ENGINE_WEIGHT, DOC_HOST, DOC_PATH, ECHO_WORDS, ENGINE_WEIGHTS
 from rankloom.functions.text import coverage, query_terms, tokens
@@ -205,6 +208,46 @@ def passage(title: Column, snippet: Column, most: int = 512) -> Column:
     return F.substring(F.concat(t, F.when((t != "") & (s != ""), " — ").otherwise(""), s), 1, most)
 
 
+_MODELS: dict[str, Callable | None] = {}
+
+
+def _model(name: str, load: Callable[[], Callable]) -> Callable | None:
+    """The model of this worker process, loaded at its first use; None for good once that failed."""
+    if name not in _MODELS:
+        try:
+            _MODELS[name] = load()
+        except Exception:  # noqa: BLE001
+            _MODELS[name] = None
+    return _MODELS[name]
+
+
+def with_logits(rows: DataFrame, name: str, load: Callable[[], Callable], head: int = 15) -> DataFrame:
+    """Adds ``logit`` of the ``head`` best rows by a model: ``load()`` gives a function from lists of queries and passages to numbers.
+
+    Each worker loads the model once, when it first has rows. Where it can't be loaded or fails on a batch the
+    logits are null, and ``rerank_blend`` leaves the order as it was. Rows of the tail have a null logit. The
+    rows come with ``q``, ``title``, ``snippet`` and ``rank``.
+    """
+    ready = rows.withColumn("_passage", F.when(F.col("rank") <= head, passage(F.col("title"), F.col("snippet"))))
+    names = ready.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(names.index("_passage")).to_pylist()
+            asked = batch.column(names.index("q")).to_pylist()
+            at = [k for k, t in enumerate(texts) if t is not None]
+            logits: list[float | None] = [None] * len(texts)
+            model = _model(name, load) if at else None
+            try:
+                for k, x in zip(at, model([asked[k] or "" for k in at], [texts[k] for k in at]) if model else [], strict=bool(model)):
+                    logits[k] = float(x)
+            except Exception:  # noqa: BLE001
+                logits = [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logits, pa.float64())], [*names, "logit"])
+
+    return ready.mapInArrow(run, StructType([*ready.schema.fields, StructField("logit", DoubleType())])).drop("_passage")
+
+
 def with_scaled_logit(rows: DataFrame, head: int = 15) -> DataFrame:
     """Adds ``scaled``: the ``logit`` of the ``head`` best rows between the lowest and highest of them (0 where all are equal), null in the tail."""
     w = Window.partitionBy("pool")

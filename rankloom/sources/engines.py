@@ -105,9 +105,11 @@ def keys_of(*places: dict[str, str | None] | None) -> dict[str, str]:
 
 
 def provider_of(keys: dict[str, str | None], forced: str | None = None) -> str | None:
-    """The provider to ask: the forced one, else the first of tavily, bocha and zhipu with a key."""
+    """The provider to ask: the forced one, else the first of tavily, bocha and zhipu with a key. A forced one without a key raises ValueError."""
     own = keys_of(keys)
-    return forced if forced in own else next((p for p in PROVIDERS if p in own), None)
+    if forced and forced not in own:
+        raise ValueError(f"no key of {forced}; there are keys of: {', '.join(own) or 'none'}")
+    return forced or next((p for p in PROVIDERS if p in own), None)
 
 
 #: Entries taken from a list of each kind, in the order of the list; lists of top-level domains have no limit.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import urls as U
-from rankloom.functions.text import clean_query
+from rankloom.functions.text import clean_query, round_half_up
 from rankloom.operators import extract as X
 from rankloom.plans import pools as L
 
@@ -28,7 +28,7 @@ def search(spark: SparkSession, tables: str, text: str, n: int | None = None) ->
     raw = L.captured(spark, tables).join(F.broadcast(asked), "query_id", "left_semi")  # the same text under several ids
     last = raw.agg(F.max("pool").alias("pool"))
     own = L.ranking(spark, tables, raw=raw.join(F.broadcast(last), "pool", "left_semi"))
-    return own.where(F.col("rank") <= clamped(n, 1, MOST_ROWS, ROWS)).select("rank", "title", "url", "snippet", F.round("final_score", 4).alias("score")).orderBy("rank")
+    return own.where(F.col("rank") <= clamped(n, 1, MOST_ROWS, ROWS)).select("rank", "title", "url", "snippet", round_half_up(F.col("final_score"), 4).alias("score")).orderBy("rank")
 
 
 def site(spark: SparkSession, tables: str, domain: str, text: str, n: int | None = None) -> DataFrame:

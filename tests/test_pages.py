@@ -126,6 +126,8 @@ def test_redirects(spark):
 def test_keys():
     assert N.keys_of({"tavily": " ", "zhipu": "_x", "_note": "k"}, None, {"tavily": " file ", "bocha": "b"}, {"tavily": "last"}) == {"tavily": "file", "bocha": "b"}
     assert N.provider_of({"zhipu": "k", "tavily": "t"}, "zhipu") == "zhipu" and N.provider_of({}) is None
+    with pytest.raises(ValueError, match="no key of bocha"):
+        N.provider_of({"tavily": "t"}, "bocha")
 
 
 MOBILE = """<div tpl="a" data-log='{"mu": "https://zhidao.baidu.com/q"}'><h3>Kept</h3><p class="c-abstract">abs</p></div><div tpl="b" data-log='{"mu": "https://baike.baidu.com/x"}'><h3>Entry</h3></div>

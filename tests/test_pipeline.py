@@ -161,6 +161,32 @@ def test_rerank(spark):
     assert [r.new_rank for r in R.rerank_blend(df, weight=0).orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
+def test_model_is_loaded_late_and_may_fail(spark):
+    df = spark.createDataFrame([(1, k, 1 / k, "redis", t, None) for k, t in enumerate(("x", "redis", None, "redis"), 1)], "pool bigint, rank int, rrf double, q string, title string, snippet string")
+
+    def fine():
+        return lambda qs, ps: [float(q in p) for q, p in zip(qs, ps, strict=True)]
+
+    def missing():
+        raise OSError("no model")
+
+    def broken():
+        return lambda qs, ps: [1.0]
+
+    got = {r["rank"]: r.logit for r in R.with_logits(df, "fine", fine, head=3).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 0.0, 4: None}
+    assert [r.new_rank for r in R.rerank_blend(R.with_logits(df, "fine", fine, head=3), 1.0, head=3).orderBy("rank").collect()] == [2, 1, 3, 4]
+    for name, load in (("missing", missing), ("broken", broken)):
+        same = R.rerank_blend(R.with_logits(df.coalesce(1), name, load), 0.35).orderBy("rank").collect()
+        assert [r.new_rank for r in same] == [1, 2, 3, 4] and all(r.logit is None for r in same)
+
+
+def test_rescue_floor():
+    from rankloom.catalog.ranking import rescue_floor
+
+    assert [rescue_floor(x) for x in (None, "", "0", "-3", "x", "7", " 9 ")] == [12, 12, 12, 12, 12, 7, 9]
+
+
 def test_empty_tables(spark):
     empty = pool_id(spark.createDataFrame([], SCHEMA))
     no_rules = spark.createDataFrame([], RULES)
