@@ -30,8 +30,8 @@ PLACEHOLDER = (
 )
 #: Text that stands where text should come, by its own wording. Groups that may repeat at any length are possessive, as others recurse; a longer run of x is data.
 FILLER = (
-    r"(?i)lorem ipsum dolor|\bipsum dolor sit|consectetur adipiscing|^\W*(?:(?:undefined|null|NaN|none|text|test|content|title)(?:\W++|$)){2,}+$"
-    r"|^\W*(?:x{4,240}+(?:\W++|$))++$|^\W*(?:(?:asdf|qwerty|qwer|zxcv|foo|bar|baz|blah)\W*+){2,}+$|^\W*(?:todo|tbd|fixme|tba)\b[\W]*(?:$|:|write|add|fill)|^\W*untitled (?:document|page)|\bNaN results\b|results found for (?:null|undefined)"
+    r"(?i)lorem ipsum dolor|\bipsum dolor sit|consectetur adipiscing|^\W*(?:(?:undefined|null|NaN|none|text|test|content|title)(?:\W++|$)){2,}+(?:[0-9a-f]{4,16}\W*)?$"
+    r"|^\W*(?:x{4,240}+(?:\W++|$))++$|^\W*(?:(?:asdf|qwerty|qwer|zxcv|foo|bar|baz|blah)\W*+){2,}+(?:[0-9a-f]{4,16}\W*)?$|^\W*(?:todo|tbd|fixme|tba)\b[\W]*(?:$|:|write|add|fill)|^\W*untitled (?:document|page)|\bNaN results\b|results found for (?:null|undefined)"
     r"|\b(?:sample|dummy|placeholder|example|filler) (?:text|copy|content)[.,:]? (?:replace|edit|to be|goes|please|only)|\breplace this (?:with|text)|this is an example page|\bto be supplied by\b"
     r"|\byour (?:\w+ ){1,2}(?:goes|comes|here)\b|\binsert (?:a |your |the )?(?:\w+ ){1,6}here\b|\bcomes? in this box|edit or delete (?:it|this)|\bcoming soon\W*$"
     r"|^(?:示例(?:内容|文字|文本)\W*){2,}|此处为.{0,4}(?:示例|占位)|(?:示例|占位)(?:文字|文本|内容)[，,].{0,2}请|请(?:在此|输入|填写)(?:输入|填写)?.{0,4}(?:描述|内容|简介|标题|摘要)|在此(?:填写|输入)"

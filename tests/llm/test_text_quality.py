@@ -24,7 +24,7 @@ def pages(spark, *rows):
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], PAGES).withColumn("lines", F.lit("clash"))
 
 
-RESIDUE = ["{{title}}", "Welcome to ${site}, your home for #{topic}.", "404 Not Found", "Please enable JavaScript to continue.", "页面不存在或已被删除。", "Lorem ipsum dolor sit amet consectetur.", "undefined undefined", "[object Object]", "TODO: write summary", "Seite nicht gefunden (Fehler 404).", "ACCESS DENIED. YOU DO NOT HAVE PERMISSION TO VIEW THIS PAGE."]
+RESIDUE = ["{{title}}", "Welcome to ${site}, your home for #{topic}.", "404 Not Found", "Please enable JavaScript to continue.", "页面不存在或已被删除。", "Lorem ipsum dolor sit amet consectetur.", "undefined undefined", "undefined undefined undefined [96b10]", "[OBJECT OBJECT]", "[object Object]", "TODO: write summary", "Seite nicht gefunden (Fehler 404).", "ACCESS DENIED. YOU DO NOT HAVE PERMISSION TO VIEW THIS PAGE."]
 TALK = ["How to design a 404 page: explain what went wrong and offer a search box.", "In the templates, {{ name }} is replaced at render time when the page is built.", "Since version 3 the site no longer needs JavaScript, so text browsers show it.", "本文介绍如何自定义404页面，并给出返回首页的链接。", "Placeholder text such as lorem ipsum has long helped typesetters.", "A plain snippet about caches.", "", None, "  ", "x" * 100_000]
 
 
