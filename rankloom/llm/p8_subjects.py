@@ -141,8 +141,8 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple
     if len(known):
         names = sc.broadcast(known)
         divided = rows.repartition(-(-total // BLOCK), "doc_id")
+        # a file for each block: the steps read them without a shuffle
         blocks = cut(divided.mapInArrow(_blocks(names, len(subjects)), ", ".join(f"{k} binary" for k in _BLOCK)))
-        blocks = blocks.repartition(-(-total // BLOCK))
         first, second = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model]
         for step in range(1, STEPS + 1):
             shared = sc.broadcast(tuple(model))
