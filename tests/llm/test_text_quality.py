@@ -295,3 +295,14 @@ def test_garbled_quotations():
     sign = "The replacement character � marks bytes that a decoder could not read."
     assert p5.repair(sign.encode().decode("cp1252")) == (sign, True)
     assert p5.repair(sign.encode().decode("mac_roman")) == (sign, True)
+
+
+def test_hot_texts_are_divided_and_change_nothing(spark, monkeypatch):
+    whole = sentences(200, 2)
+    df = results(spark, whole + [whole[0]] * 150 + [s[:-9] for s in sentences(40, 11)] + ["Please enable JavaScript to continue."] * 120 + RESIDUE)
+    e = pages(spark, ("T", None, None, "Menu\n" + "Page not found\n" * 30))
+    cut_rows = lambda: {(r.result_id, round(r.log_odds, 9), r.cut) for r in p3.scored(df).collect()}
+    found = lambda: {(r.origin, r.row_id) for r in p1.residue(df, e).collect()}
+    want = cut_rows(), found()
+    monkeypatch.setattr("rankloom.plans.skew.ROWS_A_PART", 20)
+    assert (cut_rows(), found()) == want
