@@ -43,7 +43,7 @@ def match_rules(hosts: DataFrame, rules: DataFrame, key: str = "host") -> DataFr
     keeps the partitioning of the distinct hosts.
     """
     h = F.col(key)
-    r = bounded(clean_rules(rules).select(F.struct("domain", (F.col("kind") == "tld").alias("end")).alias("_rule"), "kind", "action"))
+    r = bounded(clean_rules(rules).select(F.struct("domain", (F.col("kind") == "tld").alias("end")).alias("_rule"), "kind", "action"), of=rules)
     distinct = hosts.select(key).where(h != "").distinct()
     parents = F.transform(host_suffixes(h), lambda x: F.struct(x.alias("domain"), F.lit(False).alias("end")))
     # a 'tld' rule may end inside a label

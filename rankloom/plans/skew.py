@@ -11,9 +11,13 @@ ROWS_A_PART = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
-def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` marked for broadcast if it has ``most`` rows or fewer; else as it is, and Spark shuffles both sides."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def bounded(table: DataFrame, most: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """``table`` marked for broadcast if it has ``most`` rows or fewer; else as it is, and Spark shuffles both sides.
+
+    With ``of``, a table that has at least as many rows is counted instead, such as the stored one it was made of.
+    """
+    rows = table.limit(most + 1).count() if of is None else of.count()
+    return F.broadcast(table) if rows <= most else table
 
 
 def salted_join(rows: DataFrame, dimension: DataFrame, keys: list[str], by: str, how: str = "inner", most: int | None = None, counts: DataFrame | None = None) -> DataFrame:
